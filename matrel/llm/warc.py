@@ -32,6 +32,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT_BYTES = 100
+#: Tasks of a read at most; further bundles share them.
+MAX_READ_TASKS = 20_000
 #: WARC-Date of every record: the archives hold no clock time, so that a task run again writes the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -209,7 +211,8 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame, with_paylo
     """Every record of the bundles that the index names. A task reads one frame at a time, located by the seek table;
     digests of responses are checked against what was read."""
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_reader(f"{folder}/bundles", with_payload), READ)
+    tasks = max(1, min(bundles.count(), MAX_READ_TASKS))  # a given number, as a few names would be merged into one task
+    return bundles.repartition(tasks).mapInArrow(_reader(f"{folder}/bundles", with_payload), READ)
 
 
 def read_record(folder: str, entry) -> tuple[dict[str, str], bytes]:
