@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "quality", "token_counts", "toxicity", "mixing", "pieces")
+MODULES = ("warc", "quality", "token_counts", "toxicity", "mixing", "pieces", "embeddings")
 
 
 def queries() -> dict:
