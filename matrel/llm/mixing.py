@@ -38,22 +38,22 @@ MARKS = "#*$%&|<>!"
 
 
 def n_tokens(text: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Runs of characters other than ASCII white space, counted by their ends."""
+    return F.regexp_count(F.concat(text, F.lit(" ")), F.lit(r"[^\x20\x09-\x0D][\x20\x09-\x0D]")).cast("long")
 
 
 def statistics(text: Column) -> list[Column]:
-    """One column for each entry of BINS. Characters are counted by deleting them with translate or comparing lengths."""
+    """One column for each entry of BINS; characters are counted by a character class."""
     size = F.length(text)
-    without = lambda marks: size - F.length(F.translate(text, marks, ""))
+    number = lambda marks: F.regexp_count(text, F.lit(f"[{marks}]"))
     tokens = F.greatest(n_tokens(text), F.lit(1))
     return [
         n_tokens(text),
         size / tokens,
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(size, F.lit(1)),
-        without(MARKS) / tokens,
-        without("0123456789.?") / tokens,
-        *(without(x) / F.greatest(size, F.lit(1)) for x in LETTERS),
+        number("A-Z") / F.greatest(size, F.lit(1)),
+        number(MARKS) / tokens,
+        number("0-9.?") / tokens,
+        *(number(x) / F.greatest(size, F.lit(1)) for x in LETTERS),
     ]
 
 
