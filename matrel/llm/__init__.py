@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "quality", "token_counts", "toxicity", "mixing", "pieces", "embeddings", "simhash", "suffix_dedup")
+MODULES = ("warc", "quality", "token_counts", "toxicity", "mixing", "pieces", "embeddings", "simhash", "suffix_dedup", "lm_scoring")
 
 
 def queries() -> dict:
