@@ -1,6 +1,7 @@
 """Texts packed into chunks, for operators that ask the whole corpus about what a chunk holds.
 
-A chunk is a row (chunk, ids, sizes, data): the documents of a few MB of text. The rows are written once, as a table in
+A chunk is a row (chunk, ids, sizes, data, rest): the documents of a few MB of text, and any further columns of theirs as
+an Arrow stream. The rows are written once, as a table in
 the shared folder that is bucketed by chunk, so a pass that brings answers back to the chunks shuffles the answers and
 not the texts. Questions go out as one binary value for each (chunk, group), each distinct question of a chunk once:
 a string that a third of all documents hold is one entry for each chunk, not for each document.
@@ -24,7 +25,7 @@ CHUNK_BYTES = 4 << 20
 #: Stands for a null id inside a chunk.
 NO_ID = np.iinfo(np.int64).min
 
-SCHEMA = "chunk long, ids binary, sizes binary, data binary"
+SCHEMA = "chunk long, ids binary, sizes binary, data binary, rest binary"
 ANSWER = "chunk long, kind int, grp int, value binary"
 ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("grp", pa.int32()), ("value", pa.binary())])
 
@@ -34,35 +35,45 @@ def _pack(chunk_bytes: int):
         part, n = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def flush():
-            nonlocal ids, texts, size, n
-            row = [[(part << 32) + n], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [b"".join(texts)]]
-            ids, texts, size, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "ids", "sizes", "data"])
+            nonlocal ids, texts, rest, size, n
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for r in rest:
+                    out.write_batch(r)
+            row = [[(part << 32) + n], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [b"".join(texts)], [sink.getvalue().to_pybytes() if rest[0].num_columns else None]]
+            ids, texts, rest, size, n = [], [], [], 0, n + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["chunk", "ids", "sizes", "data", "rest"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            more = pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema([batch.schema.field(i) for i in range(2, batch.num_columns)]))
+            since = 0
+            for at, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 raw = (text.as_py() or "").encode()
                 if texts and size + len(raw) > chunk_bytes:
+                    rest.append(more.slice(since, at - since))
+                    since = at
                     yield flush()
                 ids.append(NO_ID if key is None else key)
                 texts.append(raw)
                 size += len(raw)
+            rest.append(more.slice(since))
         if texts:
             yield flush()
 
     return run
 
 
-def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The bucketed table of chunks of docs (null texts are empty). Buckets: the session's shuffle partitions, so that
-    answers, shuffled by chunk, meet the chunks without another exchange."""
+def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The bucketed table of chunks of docs (null texts are empty); carry: further columns to keep. Buckets: the session's
+    shuffle partitions, so that answers, shuffled by chunk, meet the chunks without another exchange."""
     spark = docs.sparkSession
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000))
     name = f"matrel_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(chunk_bytes), SCHEMA)
+    packed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *carry).mapInArrow(_pack(chunk_bytes), SCHEMA)
     packed.write.option("compression", "zstd").option("path", fresh_path(spark, "chunks")).bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -80,10 +91,16 @@ class Chunk:
         self.ids = np.frombuffer(table["ids"][0].as_py(), np.int64)
         self.sizes = np.frombuffer(table["sizes"][0].as_py(), np.int64)
         self.data = table["data"][0].as_py()
+        self.packed_rest = table["rest"][0].as_py()
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
 
 
+    def rest(self) -> pa.Table:
+        """The columns that were carried."""
+        return pa.ipc.open_stream(self.packed_rest).read_all()
+
+
 def ask(chunks: DataFrame, answers: DataFrame | None, fn: Callable, schema: str) -> DataFrame:
     """fn(chunk, {(kind, group): value}) for each chunk, with the answers that came back to it; gives an Arrow table."""
     if answers is None:

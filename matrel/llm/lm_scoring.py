@@ -175,6 +175,19 @@ def _score_rows(shared, groups: int):
     return run
 
 
+def _most_frequent(words: DataFrame, most: int) -> list:
+    """The rows of the most frequent words. A histogram of counts (sixteenths of a doubling, so a thousand bins at most)
+    tells which bins are in whole; only these and the bin at the edge are sorted, and only the result is collected."""
+    bin_of = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    sizes = {r["b"]: r["count"] for r in words.groupBy(bin_of.alias("b")).count().collect()}
+    have, edge = 0, 0
+    for edge in sorted(sizes, reverse=True):
+        have += sizes[edge]
+        if have >= most:
+            break
+    return materialize(words.where(bin_of >= edge).orderBy(F.desc("n"), "word").limit(most), "lm-vocabulary").collect()
+
+
 def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score), one row for each row of docs: mean losses per token in
     nats, the end of the text being a token, and their difference.
@@ -192,7 +205,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VO
     def ids_of(chunk: Chunk, _: dict) -> pa.Table:
         return pa.table({"chunk": pa.array([chunk.number] * len(chunk.ids), pa.int64()), "doc_id": pa.array(chunk.ids, pa.int64())})
 
-    slim = chunks.select("chunk", "ids", F.lit(b"").alias("sizes"), F.lit(b"").alias("data"))
+    slim = chunks.select("chunk", "ids", *(F.lit(b"").alias(c) for c in ("sizes", "data", "rest")))
     members = ask(slim, None, ids_of, "chunk long, doc_id long")
     wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     hits = members.join(wanted, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_set("doc_id").alias("ids"))  # a chunk's own ids at most
@@ -203,7 +216,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VO
 
     targets = materialize(hits.mapInArrow(pack, ANSWER), "lm-targets")
     words = materialize(ask(chunks, targets, _word_rows(groups), ANSWER).groupBy("grp").applyInArrow(_add_words(vocabulary), "word string, n long, t long"), "lm-words")
-    top = words.where("word is not null").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    top = _most_frequent(words.where("word is not null"), vocabulary)
     all_n, all_t = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     # texts end once each: the boundary is a token of every document
     texts = chunks.select(F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0))).first()[0]

@@ -61,12 +61,16 @@ def _bin(value: Column, ends: tuple) -> Column:
     return sum((value > F.lit(float(x))).cast("int") for x in ends)
 
 
+def _slim(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
+    """keep, tokens and the bins of the statistics."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    stats = docs.select(*keep, *(s.alias(f"__s{i}") for i, s in enumerate(statistics(text))))
+    return stats.withColumns({"tokens": F.col("__s0"), **{f"b{i}": _bin(F.col(f"__s{i}"), ends).cast("tinyint") for i, ends in enumerate(BINS)}}).drop(*(f"__s{i}" for i in range(len(BINS))))
+
+
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens, b0, b1 ...): slim rows, written once, on which all later passes run."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    stats = docs.select(F.col(id_col).alias("doc_id"), *(s.alias(f"s{i}") for i, s in enumerate(statistics(text))))
-    slim = stats.select("doc_id", F.col("s0").alias("tokens"), *(_bin(F.col(f"s{i}"), ends).cast("tinyint").alias(f"b{i}") for i, ends in enumerate(BINS)))
-    return materialize(slim, "mixing-profile")
+    return materialize(_slim(docs, text_col, [F.col(id_col).alias("doc_id")]), "mixing-profile")
 
 
 def fit_domains(slim: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -87,19 +91,23 @@ def fit_domains(slim: DataFrame, labelled: DataFrame) -> tuple[list[str], np.nda
     return domains, np.log(prior / prior.sum()), np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def posteriors(slim: DataFrame, domains: list[str], prior: np.ndarray, likelihood: np.ndarray) -> DataFrame:
-    """(doc_id, tokens, p): p is the array of domain posteriors. The model is K x 80 literals inside the expression."""
+def posteriors(slim: DataFrame, domains: list[str], prior: np.ndarray, likelihood: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep and p: p is the array of domain posteriors. The model is K x 80 literals inside the expression."""
     at = lambda i, k: F.element_at(F.array(*(F.lit(float(v)) for v in likelihood[i, :, k])), F.col(f"b{i}").cast("int") + 1)
     score = F.array(*(F.lit(float(prior[k])) + sum(at(i, k) for i in range(len(BINS))) for k in range(len(domains))))
-    rows = slim.select("doc_id", "tokens", score.alias("s"))
-    rows = rows.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / total).alias("p"))
+    rows = slim.select(*keep, score.alias("__s"))
+    rows = rows.withColumn("__e", F.transform("__s", lambda x: F.exp(x - F.array_max("__s"))))
+    total = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(*keep, F.transform("__e", lambda x: x / total).alias("p"))
+
+
+def point(p: Column, u: np.ndarray) -> Column:
+    """A document's rate before projection."""
+    return F.lit(1.0) + sum(p[k] * F.lit(float(v)) for k, v in enumerate(u))
 
 
 def rate(p: Column, u: np.ndarray, least: float = 0.0) -> Column:
-    point = F.lit(1.0) + sum(p[k] * F.lit(float(v)) for k, v in enumerate(u))
-    return F.greatest(F.lit(float(least)), point)
+    return F.greatest(F.lit(float(least)), point(p, u))
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = 40, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -114,8 +122,8 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, least: float = 0.0, steps: i
     scale = max(1.0, float(np.abs(targets).sum()))
 
     def measure(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = rows.select("p", t.alias("t"), rate(p, u, least).alias("r"))
-        free = F.when(F.col("r") > F.lit(float(least)), F.col("t")).otherwise(F.lit(0.0))
+        at = rows.select("p", t.alias("t"), rate(p, u, least).alias("r"), (point(p, u) >= F.lit(float(least))).alias("open"))
+        free = F.when(F.col("open"), F.col("t")).otherwise(F.lit(0.0))
         sums = [F.sum(F.col("r") * F.col("t") * p[i]) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
         got = np.array([v or 0.0 for v in at.agg(*(c.alias(f"c{n}") for n, c in enumerate(sums))).first()], float)
         h = np.zeros((k, k))
@@ -140,26 +148,43 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, least: float = 0.0, steps: i
     return u, float(np.abs(gap).sum() / scale)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """((doc_id, n_tokens, posteriors, rate), report). weights: share of the tokens that each domain is to have (of
-    domains not named: none); without weights every domain gets the same. budget: expected tokens of the mix as a
-    multiple of the corpus. least: lower bound of the rates, 0 unless every document is to stay.
-
-    Null and empty texts have no tokens, a posterior and a rate. Repeated rows repeat their result. With no labelled row
-    there is one domain "all"; with no tokens every rate is 1. Other columns are not read.
-    """
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """((doc_id, tokens, p), model): posteriors of all documents and what gives their rates."""
     slim = profile(docs, id_col, text_col)
     domains, prior, likelihood = fit_domains(slim, labelled)
     if not domains:
         domains = ["all"]
-    rows = materialize(posteriors(slim, domains, prior[: len(domains)], likelihood), "mixing-rows")
+    rows = materialize(posteriors(slim, domains, prior[: len(domains)], likelihood, ["doc_id", "tokens"]), "mixing-rows")
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([(weights or dict.fromkeys(domains, 1.0)).get(d, 0.0) for d in domains], float)
     share = share / share.sum() if share.sum() > 0 else np.full(len(domains), 1 / len(domains))
     targets = share * total * budget
     u, gap = fit_rates(rows, targets, least) if total else (np.zeros(len(domains)), 0.0)
-    out = rows.select("doc_id", F.col("tokens").alias("n_tokens"), F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("p")).alias("posteriors"), rate(F.col("p"), u, least).alias("rate"))
-    return out, {"domains": domains, "targets": targets.tolist(), "gap": gap, "u": u.tolist()}
+    return rows, {"domains": domains, "prior": prior[: len(domains)], "likelihood": likelihood, "targets": targets, "gap": gap, "u": u, "least": least}
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """((doc_id, n_tokens, posteriors, rate), model). weights: share of the tokens that each domain is to have (of
+    domains not named: none); without weights every domain gets the same. budget: expected tokens of the mix as a
+    multiple of the corpus. least: lower bound of the rates, 0 unless every document is to stay.
+
+    Null and empty texts have no tokens, a posterior and a rate. Repeated rows repeat their result. With no labelled row
+    there is one domain "all"; with no tokens every rate is 1. Other columns are not read.
+    """
+    rows, model = fit_mix(docs, labelled, weights, budget, least, id_col, text_col)
+    return rows.select("doc_id", F.col("tokens").alias("n_tokens"), F.map_from_arrays(F.array(*map(F.lit, model["domains"])), F.col("p")).alias("posteriors"), rate(F.col("p"), model["u"], least).alias("rate")), model
+
+
+def draw_mix(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, as often as their rates say: the whole part of rate + a number in [0, 1) that is a
+    hash of the id. One scan, no shuffle."""
+    inside = _slim(docs.select(F.struct(*docs.columns).alias("__row")), f"__row.{text_col}", ["__row"])
+    rows = posteriors(inside, model["domains"], model["prior"], model["likelihood"], ["__row"])
+    chance = F.pmod(F.xxhash64(F.col(f"__row.{id_col}").cast("string"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = F.floor(rate(F.col("p"), model["u"], model["least"]) + chance).cast("int")
+    # the unused mark keeps the optimizer from moving a filter on copies below, where each use would repeat the whole model
+    counted = rows.select("__row", copies.alias("__copies"), F.monotonically_increasing_id().alias("__mark"))
+    return counted.select("__row", "__mark", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")
 
 
 def label_domains(labels: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

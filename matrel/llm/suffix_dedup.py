@@ -242,7 +242,7 @@ def _owner_answers(length: int, batch: int):
     return run
 
 
-def _result(chunk: Chunk, gone: np.ndarray, with_text: bool) -> pa.Table:
+def _result(chunk: Chunk, gone: np.ndarray, with_text: bool, carry: tuple[str, ...] = ()) -> pa.Table:
     ids, sizes, lost, spans, digests, texts = [], [], [], [], [], []
     raw = np.frombuffer(chunk.data, np.uint8)
     for key, a, b in zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist()):
@@ -264,11 +264,16 @@ def _result(chunk: Chunk, gone: np.ndarray, with_text: bool) -> pa.Table:
                 left = raw[a:b][stays[char]].tobytes()
             texts.append(left.decode())
     columns = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-    return pa.table(columns | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+    if with_text:
+        columns["kept_text"] = pa.array(texts, pa.string())
+    if carry:
+        columns |= {f"carried_{c}": v for c, v in zip(carry, chunk.rest().columns)}
+    return pa.table(columns)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, batch: int = BATCH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), one row for each row of docs.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), batch: int = BATCH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), one row for each row of docs; each column named in
+    carry comes along as carried_<name>.
 
     Exact over whole texts as UTF-8 bytes; matches never cross documents. kept_text has every character that is not
     removed with all its bytes, so it is valid text. Null texts count as empty; texts under length bytes lose nothing;
@@ -277,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     if not 24 <= length <= 79:
         raise ValueError("length must be 24 to 79")
-    chunks = write_chunks(docs, id_col, text_col)
+    chunks = write_chunks(docs, id_col, text_col, carry=tuple(carry))
     groups = groups_of(chunks)
     anchors = ask(chunks, None, lambda c, _: _Asked(c, groups, length).anchor_rows(), ANSWER)
     shared = materialize(anchors.groupBy("grp").applyInArrow(_anchor_answers, ANSWER), "anchor-answers")
@@ -293,9 +298,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def decide(chunk: Chunk, answers: dict) -> pa.Table:
         known = _Asked(chunk, groups, length)
         known.shared(answers)
-        return _result(chunk, known.removed(answers), with_text)
+        return _result(chunk, known.removed(answers), with_text, tuple(carry))
 
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", `carried_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return ask(chunks, shared.unionByName(owned), decide, fields)
 
 

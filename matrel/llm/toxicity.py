@@ -141,6 +141,21 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is under the threshold. No shuffle."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            x = np.array([features(t, m["words"], m["stems"]) for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(m["calibration"].apply(m["trees"].score(x)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
