@@ -346,7 +346,7 @@ def projection_candidates(nodes: DataFrame, direction: list[float], horizon: int
     tail = p.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("p"), F.desc("node")))).where(F.col("r") <= horizon)
     rows = p.select("node", "p", "part").union(tail.select("node", "p", F.col("part") + 1))
     ahead = F.collect_list("node").over(Window.partitionBy("part").orderBy("p", "node").rowsBetween(1, horizon))
-    pairs = rows.select(F.col("node").alias("src"), F.explode(ahead).alias("dst"))
+    pairs = rows.select(F.col("node").alias("src"), ahead.alias("ahead")).select("src", F.explode("ahead").alias("dst"))
     return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
