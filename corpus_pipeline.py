@@ -34,9 +34,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters inside a 50-byte string that also starts in a document with a smaller id go, and n_chars follows;
     documents of which nothing but white space is left go. Texts without repeats stay as they are, null ones too."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffix_dedup.remove_repeats(docs.withColumn("was_null", F.col("text").isNull()), with_text=True, carry=(*rest, "was_null"))
+    null = "text_was_null" + "_" * max(map(len, docs.columns))  # a name that no column has
+    out = suffix_dedup.remove_repeats(docs.withColumn(null, F.col("text").isNull()), with_text=True, carry=(*rest, null))
     out = out.where(~((F.col("n_removed") > 0) & (F.trim(F.translate("kept_text", "\n\t\r\x0b\x0c", "     ")) == "")))
-    text = F.when(F.col("carried_was_null"), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    text = F.when(F.col(f"carried_{null}"), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
     columns = {c: F.col(f"carried_{c}") for c in rest} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)

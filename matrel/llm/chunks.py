@@ -73,7 +73,8 @@ def write_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000))
     name = f"matrel_chunks_{uuid.uuid4().hex}"
-    packed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *carry).mapInArrow(_pack(chunk_bytes), SCHEMA)
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"carried_{c}") for c in carry)]
+    packed = docs.select(columns).mapInArrow(_pack(chunk_bytes), SCHEMA)
     packed.write.option("compression", "zstd").option("path", fresh_path(spark, "chunks")).bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
