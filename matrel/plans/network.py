@@ -19,9 +19,9 @@ from ..sources import text as T
 REGISTRY: dict[str, tuple] = {}
 
 
-def register(name: str, group: str, inputs: tuple[str, ...], outputs: tuple[str, ...], **defaults):
+def register(kind: str, group: str, inputs: tuple[str, ...], outputs: tuple[str, ...], **defaults):
     def keep(fn: Callable):
-        REGISTRY[name] = (group, inputs, outputs, fn, defaults)
+        REGISTRY[kind] = (group, inputs, outputs, fn, defaults)
         return fn
 
     return keep
