@@ -279,16 +279,12 @@ def bit_operations(spark, sf_dir):
 
 # ---- statistics -----------------------------------------------------------------------------------------------------
 
-_LINE_COLUMNS = "select l_returnflag as y, l_quantity as w, cast(feat as integer) as i, case feat when 0 then l_quantity when 1 then l_discount else l_tax end as v, l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem, (select unnest(range(0, 3)) as feat)"
-
-
 def _suff_sql(by: str, w: str, sign: str = "1.0", pairs: str = "1 = 1") -> str:
     b = f"{by}, " if by else ""
-    ab = f"a.{by}, " if by else ""
-    return f"""with c as ({_LINE_COLUMNS}), t as (
-        select {b}-1 as i, -1 as j, {w} * ({sign}) as value from c where i = 0
-        union all select {b}i, -1, {w} * v * ({sign}) from c
-        union all select {ab}a.i, b.i, {w.replace('w', 'a.w')} * a.v * b.v * ({sign.replace('l_line', 'a.l_line')}) from c a join c b on a.l_orderkey = b.l_orderkey and a.l_partkey = b.l_partkey and a.l_suppkey = b.l_suppkey and a.l_linenumber = b.l_linenumber where {pairs})
+    return f"""with c as (select l_returnflag as y, l_quantity as w, l_linenumber, [l_quantity, l_discount, l_tax] as x from lineitem), n as (select cast(unnest(range(0, 3)) as integer) as i), t as (
+        select {b}-1 as i, -1 as j, {w} * ({sign}) as value from c
+        union all select {b}n.i, -1, {w} * x[n.i + 1] * ({sign}) from c, n
+        union all select {b}a.i, b.i, {w} * x[a.i + 1] * x[b.i + 1] * ({sign}) from c, n a, n b where {pairs})
         select {b}cast(i as integer) as i, cast(j as integer) as j, round(sum(value), 6) + 0.0 as value from t group by {b}i, j"""
 
 
