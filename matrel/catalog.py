@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tables", "scoring", "algebra", "networks")
+MODULES = ("tables", "scoring", "algebra", "networks", "connectors")
 
 
 def queries() -> dict:
