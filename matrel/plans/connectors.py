@@ -129,7 +129,7 @@ def network_scores(spark, sf_dir):
 SQL["network_scores"] = "with a as (select unnest(range(0, 2)) as c) select cast(x.c as integer) as actual, cast(y.c as integer) as predicted, cast(case when x.c <> y.c then 0 else (select count(*) from part where (p_size > 25) = (x.c = 1)) end as bigint) as n from a x, a y"
 
 
-@query("stream_moments", "select event_type, date_trunc('hour', ts) as hour, cast(count(*) as bigint) as n, round(sum(value), 4) as s, round(sum(value * value), 3) as q from events group by 1, 2")
+@query("stream_moments", "select event_type, date_trunc('hour', ts) as hour, cast(count(*) as bigint) as n, round(sum(value), 6) as s, round(sum(value * value), 6) as q from events group by 1, 2")
 def stream_moments(spark, sf_dir):
     """Extension: hourly moments of the event stream, written by micro-batch; the last value of a window counts."""
     path = scratch(spark, "stream")
@@ -139,7 +139,7 @@ def stream_moments(spark, sf_dir):
     keep = lambda df, number: df.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
     out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{path}/out").groupBy("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour")).agg(F.max_by(F.struct("n", "s", "q"), "batch").alias("m"))
-    return rows.select("event_type", "hour", "m.n", F.round("m.s", 4).alias("s"), F.round("m.q", 3).alias("q"))
+    return rows.select("event_type", "hour", "m.n", F.round("m.s", 6).alias("s"), F.round("m.q", 6).alias("q"))
 
 
 @query("stream_missing_keys", "select cast(c_custkey as varchar) as key, cast(0 as integer) as obs, c_acctbal as v from customer")

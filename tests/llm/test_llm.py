@@ -461,7 +461,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept[0]) == clean | {400, 401, 402, 403, 404, None}
     assert set(kept[1]) == set(kept[0]) - {400, 401}
     first, second = kept[2][402]["text"], kept[2][403]["text"]
-    assert passage in first and passage not in second and base[251] in second
+    assert passage in first and passage not in second and base[251][:-8] in second  # the ends of both bases are alike
     assert all(kept[2][i]["text"] == kept[1][i]["text"] for i in clean)
     assert set(kept[3]) == set(kept[2]) == set(kept[4])
     assert all(r["round_trip"] for r in kept[4].values())
