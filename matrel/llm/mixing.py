@@ -58,7 +58,8 @@ def statistics(text: Column) -> list[Column]:
 
 
 def _bin(value: Column, ends: tuple) -> Column:
-    return sum((value > F.lit(float(x))).cast("int") for x in ends)
+    """How many ends are under the value; a filter of a literal array, as unrolled comparisons make the generated code large."""
+    return F.size(F.filter(F.array(*(F.lit(float(x)) for x in ends)), lambda x: value > x))
 
 
 def _slim(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
@@ -101,49 +102,46 @@ def posteriors(slim: DataFrame, domains: list[str], prior: np.ndarray, likelihoo
     return rows.select(*keep, F.transform("__e", lambda x: x / total).alias("p"))
 
 
-def point(p: Column, u: np.ndarray) -> Column:
-    """A document's rate before projection."""
-    return F.lit(1.0) + sum(p[k] * F.lit(float(v)) for k, v in enumerate(u))
-
-
 def rate(p: Column, u: np.ndarray, least: float = 0.0) -> Column:
-    return F.greatest(F.lit(float(least)), point(p, u))
+    """The projection of 1 + p . u onto rates of at least least."""
+    weights = F.array(*(F.lit(float(v)) for v in u))
+    return F.greatest(F.lit(float(least)), F.aggregate(F.zip_with(p, weights, lambda a, b: a * b), F.lit(1.0), lambda a, v: a + v))
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = 40, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
     """(u, relative gap): u gives the rates by rate(). rows: (tokens, p); targets: expected tokens of each domain.
 
-    A step is the scaled gradient divided by the curvature of the rates that are not at their bound, damped: the damping
-    shrinks while the gap does and grows when a step fails. Ends when the gap is under tolerance of all targets, or
-    when no step shrinks it any more (targets out of reach: the least-squares gap remains).
+    A step is the scaled gradient in the metric of the whole curvature, sum_d tokens_d * p_d p_d', taken once: rates at
+    their bound only lessen the curvature, so the step never overshoots the least-squares model. It is halved if a gap
+    grows all the same. Ends when the gap is under tolerance of all targets, or shrinks no more (targets out of reach: the
+    least-squares gap remains). A pass sums one number for each domain.
     """
     k = len(targets)
     p, t = F.col("p"), F.col("tokens").cast("double")
     scale = max(1.0, float(np.abs(targets).sum()))
+    sums = lambda columns, df: np.array([v or 0.0 for v in df.agg(*(c.alias(f"c{n}") for n, c in enumerate(columns))).first()], float)
+
+    h = np.zeros((k, k))
+    h[np.triu_indices(k)] = sums([F.sum(t * p[i] * p[j]) for i in range(k) for j in range(i, k)], rows)
+    h += np.triu(h, 1).T
+    inverse = np.linalg.inv(h + 1e-6 * max(1e-9, float(np.trace(h)) / k) * np.eye(k))
+
+    def reached(u: np.ndarray) -> np.ndarray:
+        return sums([F.sum(F.col("m") * p[i]) for i in range(k)], rows.select("p", (rate(p, u, least) * t).alias("m")))
 
-    def measure(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = rows.select("p", t.alias("t"), rate(p, u, least).alias("r"), (point(p, u) >= F.lit(float(least))).alias("open"))
-        free = F.when(F.col("open"), F.col("t")).otherwise(F.lit(0.0))
-        sums = [F.sum(F.col("r") * F.col("t") * p[i]) for i in range(k)] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        got = np.array([v or 0.0 for v in at.agg(*(c.alias(f"c{n}") for n, c in enumerate(sums))).first()], float)
-        h = np.zeros((k, k))
-        h[np.triu_indices(k)] = got[k:]
-        return got[:k], h + np.triu(h, 1).T
-
-    u = np.zeros(k)
-    reached, h = measure(u)
-    gap, damping = reached - targets, 1e-4
+    u, length = np.zeros(k), 1.0
+    gap = reached(u) - targets
     for _ in range(steps):
-        if np.abs(gap).sum() <= tolerance * scale or damping > 1e4:
+        if np.abs(gap).sum() <= tolerance * scale or length < 1e-4:
             break
-        tried = u - np.linalg.solve(h + damping * max(1e-9, float(np.trace(h)) / k) * np.eye(k), gap)
-        new, new_h = measure(tried)
-        before, after = (float(np.square(g).sum()) for g in (gap, new - targets))
+        tried = u - length * (inverse @ gap)
+        new = reached(tried) - targets
+        before, after = float(np.square(gap).sum()), float(np.square(new).sum())
         if after >= before:
-            damping *= 10
+            length /= 2
             continue
-        u, gap, h, damping = tried, new - targets, new_h, max(damping / 5, 1e-9)
-        if after > 0.999 * before:
+        u, gap = tried, new
+        if after > 0.995 * before:
             break
     return u, float(np.abs(gap).sum() / scale)
 
