@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, release
 
 #: UTF-8 bytes of a chunk; one longer text is a chunk by itself.
 CHUNK_BYTES = 4 << 20
@@ -102,15 +102,20 @@ class Chunk:
         return pa.ipc.open_stream(self.packed_rest).read_all()
 
 
+def _released(out: pa.Table) -> pa.Table:
+    release()
+    return out
+
+
 def ask(chunks: DataFrame, answers: DataFrame | None, fn: Callable, schema: str) -> DataFrame:
     """fn(chunk, {(kind, group): value}) for each chunk, with the answers that came back to it; gives an Arrow table."""
     if answers is None:
-        return chunks.groupBy("chunk").applyInArrow(lambda t: fn(Chunk(t), {}), schema)
+        return chunks.groupBy("chunk").applyInArrow(lambda t: _released(fn(Chunk(t), {})), schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("an answer for no chunk")
         values = dict(zip(zip(right["kind"].to_pylist(), right["grp"].to_pylist()), right["value"].to_pylist()))
-        return fn(Chunk(left), values)
+        return _released(fn(Chunk(left), values))
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)

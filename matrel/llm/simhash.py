@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, read_table
+from .common import components, materialize, read_table, release
 from .unionfind import Forest
 
 #: Seed of the shingle hash, fixed by the operator's contract.
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, id_col: str = "
         for batch in batches:
             fp = [fingerprint(t, size, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
@@ -205,6 +206,8 @@ def _link_rows(distance: int, words: int):
             group, first, rep, fp = merged()
             if len(rep) and (got := compare(group, first, rep, fp)) is not None:
                 yield got
+        held.clear()
+        release()
 
     return run
 

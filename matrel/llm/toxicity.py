@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import read_table
+from .common import read_table, release
 
 #: Labelled rows that are used for fitting, at most (about: rows are taken by a hash of their id).
 SAMPLE_ROWS = 24_000
@@ -152,6 +152,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: s
         for batch in batches:
             x = np.array([features(t, m["words"], m["stems"]) for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(m["calibration"].apply(m["trees"].score(x)) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
