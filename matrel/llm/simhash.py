@@ -8,6 +8,9 @@ Which classes share a table: the fingerprint is cut into blocks; with d or fewer
 (pigeonhole), so a class enters one table for each choice of agreeing blocks, and a table row is compared with rows of
 its key only, in the order of its distance to the first pivot. Keys with very many classes are cut into pieces of
 bounded size, and each pair of pieces is compared in a group of its own.
+
+Similarity of shingle sets (similar_components) goes in two steps. Tables keyed by min-wise hashes and a wide distance of
+fingerprints give groups that hold both ends of every similar pair; inside a group the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +36,11 @@ PIVOTS = 16
 GROUP_ROWS = 8192
 #: Rows that a task gathers before it compares them; a key is never split here.
 CHUNK_ROWS = 65_536
+#: Tables of shingle sets, and the min-wise hashes that make up a key. A pair of similarity s shares a hash with
+#: probability s, so one of 0.8 is in no common table with probability (1 - 0.8 ** 3) ** 32 = 1e-10.
+TABLES, LEAST = 32, 3
+#: Shingle sets of one group that are compared in one piece.
+PIECE_SETS = 1024
 
 _FP = np.dtype("<u8")
 
@@ -62,7 +70,10 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3, words: int = 1) -> np.ndarray:
     """words x 64 bits; a bit is 1 if it is set in over half of the shingle hashes. Further words hash the hashes."""
-    h = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size), words)
+
+
+def fingerprint_of(h: np.ndarray, words: int = 1) -> np.ndarray:
     out = np.zeros(words, _FP)
     if not len(h):
         return out
@@ -97,11 +108,6 @@ def block_tables(bits: int, distance: int, blocks: int) -> list[list[tuple[int,
     return [[(cuts[i], cuts[i + 1]) for i in chosen] for chosen in itertools.combinations(range(blocks), blocks - distance)]
 
 
-def band_tables(bits: int, width: int) -> list[list[tuple[int, int]]]:
-    """One table for each band of width bits."""
-    return [[(a, a + width)] for a in range(0, bits, width)]
-
-
 def pivot_distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Rows x pivots; fp: rows x words."""
     return np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots], 1)
@@ -150,6 +156,9 @@ def link_block(key: np.ndarray, fp: np.ndarray, first: np.ndarray, pivots: np.nd
         step += 1
 
 
+ROWS = "tab int, key long, first short, rep long, fp binary"
+
+
 def _table_rows(tables: list, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = _splitmix(PIVOTS * words).reshape(PIVOTS, words)[:1]
@@ -212,27 +221,34 @@ def _link_rows(distance: int, words: int):
     return run
 
 
+def in_pieces(rows: DataFrame, key: list[str], most: int, tag: str) -> DataFrame:
+    """rows (with a column rep) and the columns i, j: a key with over most rows is cut by hash into pieces, and a row goes to
+    each pair of pieces that its own piece is in."""
+    large = rows.groupBy(*key).count().where(F.col("count") > most).select(*key, F.ceil(F.col("count") / F.lit(float(most))).cast("int").alias("n"))
+    large = materialize(large, tag)
+    if large.isEmpty():
+        return rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    own = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda b: F.struct(F.least(b, F.coalesce(own, F.lit(0))).alias("i"), F.greatest(b, F.coalesce(own, F.lit(0))).alias("j")))
+    return rows.join(large, key, "left").select(*rows.columns, F.explode(pieces).alias("p")).select(*rows.columns, "p.i", "p.j")
+
+
+def linked_classes(rows: DataFrame, distance: int, words: int) -> DataFrame:
+    """(node, component) of the classes that link, from their table rows (ROWS)."""
+    rows = in_pieces(rows, ["tab", "key"], GROUP_ROWS, "fingerprint-keys").select("tab", "key", "i", "j", "first", "rep", "fp")
+    rows = rows.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "first")
+    return components(rows.mapInArrow(_link_rows(distance, words), "rep long, root long").distinct())
+
+
 def link_fingerprints(fps: DataFrame, distance: int, tables: list, words: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for rows (doc_id, fp): fingerprints within distance bits that share a table are linked;
     component_id is the smallest doc_id reachable.
 
-    Each distinct fingerprint is compared once, whatever the number of its documents. Key pieces: a key with over
-    GROUP_ROWS classes is cut by hash into pieces, and a class goes to each pair of pieces that its own piece is in.
+    Each distinct fingerprint is compared once, whatever the number of its documents.
     """
     cls = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     cls = materialize(cls.select("rep", "fp"), "fingerprint-classes")
-    rows = cls.mapInArrow(_table_rows(tables, words), "tab int, key long, first short, rep long, fp binary")
-    large = rows.groupBy("tab", "key").count().where(F.col("count") > GROUP_ROWS).select("tab", "key", F.ceil(F.col("count") / F.lit(float(GROUP_ROWS))).cast("int").alias("n"))
-    large = materialize(large, "fingerprint-keys")
-    if large.isEmpty():
-        rows = rows.select("tab", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "first", "rep", "fp")
-    else:
-        own = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda b: F.struct(F.least(b, F.coalesce(own, F.lit(0))).alias("i"), F.greatest(b, F.coalesce(own, F.lit(0))).alias("j")))
-        rows = rows.join(large, ["tab", "key"], "left").select("tab", "key", F.explode(pieces).alias("p"), "first", "rep", "fp").select("tab", "key", "p.i", "p.j", "first", "rep", "fp")
-    rows = rows.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "first")
-    edges = rows.mapInArrow(_link_rows(distance, words), "rep long, root long").distinct()
-    comp = components(edges)
+    comp = linked_classes(cls.mapInArrow(_table_rows(tables, words), ROWS), distance, words)
     known = cls.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -254,23 +270,149 @@ def simhash_components(docs: DataFrame, distance: int = 3, size: int = 3, id_col
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+_FACTORS = _splitmix(TABLES * LEAST) | np.uint64(1)
+
+
+def least_keys(h: np.ndarray) -> np.ndarray:
+    """For each table the key of a shingle set: LEAST min-wise hashes in one."""
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 1024):
+        low = np.minimum(low, (_FACTORS[:, None] * h[None, a : a + 1024]).min(axis=1))
+    key = np.zeros(TABLES, np.uint64)
+    for r in range(LEAST):
+        key = (key ^ low[r::LEAST]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def _same(h: np.ndarray) -> bytes:
+    """Tells shingle sets apart."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _sketches(size: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fp, keys = [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), size)
+                same.append(_same(h))
+                fp.append(fingerprint_of(h, words).tobytes())
+                keys.append(least_keys(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (same, fp, keys))], names=["doc_id", "same", "fp", "keys"])
+        release()
+
+    return run
+
+
+def _least_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = _splitmix(PIVOTS * words).reshape(PIVOTS, words)[:1]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4000):
+                part = batch.slice(a, 4000)
+                n = part.num_rows
+                first = pivot_distances(np.frombuffer(b"".join(part.column(1).to_pylist()), _FP).reshape(-1, words), pivot)[:, 0]
+                key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64).reshape(n, TABLES)
+                for t in range(TABLES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(key[:, t])), pa.array(first), part.column(0), part.column(1)], names=["tab", "key", "first", "rep", "fp"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(text.as_py(), size) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_same(h) for h in made], pa.binary()), pa.array([h.tobytes() for h in made], pa.binary())], names=["rep", "same", "hashes"])
+        release()
+
+    return run
+
+
+def link_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Root position of each of the sets (distinct sorted numbers): a forest of the pairs of that Jaccard similarity or more.
+
+    Sets go by size, so those that one can be similar to are a run; pairs already in one tree are not compared."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[k]) for k in order], np.int64)
+    every, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    forest = Forest(len(sets))
+    mark = np.zeros(len(every), np.int32)
+    for i in np.flatnonzero(size):
+        high = int(np.searchsorted(size, size[i] / similarity + 1e-6, "right"))
+        label = forest.label
+        if high <= i + 1 or (label[order[i + 1 : high]] == label[order[i]]).all():
+            continue
+        own = flat[starts[i] : ends[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat[starts[i + 1] : ends[high - 1]]], starts[i + 1 : high] - starts[i + 1])
+        mark[own] = 0
+        near = np.flatnonzero(both >= similarity * (size[i] + size[i + 1 : high] - both) - 1e-9)
+        forest.add(np.full(len(near), order[i]), order[i + 1 + near])
+    return forest.label
+
+
+def _link_set_rows(similarity: float):
+    """Arrow function over rows (component, i, j, rep, hashes) sorted by the first three: (rep, root) for rows that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, reps, sets = None, [], []
+
+        def compare():
+            rep = np.array(reps, np.int64)
+            root = link_sets(sets, similarity)
+            out = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]])], names=["rep", "root"])
+
+        for batch in batches:
+            for *group, rep, hashes in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if group != held:
+                    if len(reps) > 1:
+                        yield compare()
+                    held, reps, sets = group, [], []
+                reps.append(rep)
+                sets.append(np.frombuffer(hashes.as_py(), _FP))
+        if len(reps) > 1:
+            yield compare()
+        release()
+
+    return run
+
+
 def similarity_distance(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets of that Jaccard similarity, and half a standard deviation more."""
+    """Differing bits that pairs of that Jaccard similarity stay under: the number expected and nine standard deviations
+    (the expectation is that of large sets; of 4 shingles against 5 it is two deviations more)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 9 * math.sqrt(bits * share * (1 - share)))
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 8, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by shingles of five words and a similarity: fingerprints of words x 64 bits estimate it, and
-    bands of width bits bring together what is to be compared.
+def similar_components(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents whose sets of shingles of size words have a Jaccard similarity of at least that are
+    linked; component_id is the smallest doc_id reachable.
 
-    With 512 bits and 16-bit bands a pair of similarity 0.8, 0.85, 0.9 shares a band with probability 0.91, 0.975,
-    0.998 and its estimate has a standard deviation of about 0.02; unrelated texts (256 bits apart) never link. Null and
-    empty texts are one group, as are equal ones.
+    Fingerprints of words x 64 bits that share a table and are not too far apart make up groups; what links in a group is
+    told by the sets themselves, so no pair below the similarity links. A text of fewer words is one shingle. Null and
+    empty texts are one group, as are texts of one set.
     """
-    bits = 64 * words
-    fps = materialize(fingerprints(docs, size, words, id_col, text_col), "fingerprints")
-    return link_fingerprints(fps, similarity_distance(similarity, bits), band_tables(bits, width), words).select("doc_id", "component_id")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fps = materialize(text.mapInArrow(_sketches(size, words), "doc_id long, same binary, fp binary, keys binary"), "fingerprints")
+    cls = fps.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    cls = materialize(cls.select("rep", "fp", "keys", "same"), "fingerprint-classes")
+    wide = linked_classes(cls.mapInArrow(_least_rows(words), ROWS), similarity_distance(similarity, 64 * words), words)
+    members = materialize(cls.join(wide, F.col("rep") == F.col("node")).select("rep", "same", "component"), "near-members")
+    sets = text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "rep long, same binary, hashes binary")
+    sets = sets.dropDuplicates(["rep", "same"]).join(in_pieces(members, ["component"], PIECE_SETS, "near-pieces"), ["rep", "same"])
+    sets = sets.select("component", "i", "j", "rep", "hashes").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    comp = components(sets.mapInArrow(_link_set_rows(similarity), "rep long, root long").distinct())
+    known = cls.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return fps.select("doc_id", "same").join(known, "same", "left").select("doc_id", "component_id")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

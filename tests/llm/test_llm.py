@@ -405,6 +405,47 @@ def test_block_tables_lose_no_pair():
     assert same.any(axis=1).all()
 
 
+def test_similar_components(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(400):  # pairs about the threshold: one run of words of the second is another
+        n = rng.randrange(8, 160)
+        x = [rng.choice(words) for _ in range(n)]
+        cut = round(rng.uniform(0.0, 0.2) * n)
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join(x[: n - cut] + [rng.choice(words) for _ in range(cut)]))]
+    hub = [rng.choice(words) for _ in range(120)]
+    rows += [(1000 + k, " ".join(hub[: 120 - k] + [rng.choice(words) for _ in range(k)])) for k in range(40)]
+    rows += [(2000, "again and " * 50), (2001, "again and " * 4), (2002, None), (2003, " "), (2004, "one two"), (2005, "one two three"), (None, rows[0][1]), (2006, "one TWO"), (2007, rows[8][1]), (2007, rows[20][1])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    low, pairs = {s: min(j for j, z in sets if z == s and j is not None) for _, s in sets}, []
+    distinct = list(low)
+    for a, b in itertools.combinations(distinct, 2):
+        if a and b and 5 * len(a & b) >= 4 * len(a | b):
+            pairs.append((a, b))
+        pairs += [(a, b)] if low[a] == low[b] else []  # rows of one id
+    near = [len(a & b) / len(a | b) for a, b in itertools.combinations(distinct, 2) if a & b]
+    assert sum(0.75 <= x < 0.8 for x in near) > 20 and sum(0.8 <= x < 0.85 for x in near) > 20
+    change = True
+    while change:
+        change = False
+        for a, b in pairs:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                change = True
+    want = sorted(((i, low[s]) for i, s in sets), key=str)
+    for piece in (1024, 5):
+        monkeypatch.setattr(simhash, "PIECE_SETS", piece)
+        got = simhash.similar_components(docs_of(spark, rows)).collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert simhash.similar_components(docs_of(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(None, 3), (7, 7)]
