@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matrel.llm import mixing, pieces, simhash, suffix_dedup, toxicity
 from matrel.llm.common import materialize, read_table
 
-#: Shares of the mix, and its tokens as a multiple of what came in; every document stays (rates of 1 at least).
+#: Shares of the mix, and its tokens as a multiple of what came in.
 WEIGHTS = {"en-q1": 0.60, "de-q1": 0.14, "fr-q1": 0.14, "es-q1": 0.10, "en-q0": 0.02}
 BUDGET = 1.2
 
@@ -45,9 +45,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by rates that bring the expected tokens of the domains to WEIGHTS; none is left out."""
+    """Documents drawn by nonnegative rates that bring the expected tokens of the domains to WEIGHTS: those of domains over
+    their share are left out or kept by chance, others are repeated. Rows without tokens stay, once each."""
     domains = mixing.label_domains(read_table(spark, sf_dir, "labels"), docs)
-    _, model = mixing.fit_mix(docs, domains, WEIGHTS, BUDGET, least=1.0)
+    _, model = mixing.fit_mix(docs, domains, WEIGHTS, BUDGET)
     return mixing.draw_mix(docs, model)
 
 

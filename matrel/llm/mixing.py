@@ -177,11 +177,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
 
 def draw_mix(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, as often as their rates say: the whole part of rate + a number in [0, 1) that is a
-    hash of the id. One scan, no shuffle."""
+    hash of the id; rows without tokens, on which no target hangs, once. One scan, no shuffle."""
     inside = _slim(docs.select(F.struct(*docs.columns).alias("__row")), f"__row.{text_col}", ["__row"])
-    rows = posteriors(inside, model["domains"], model["prior"], model["likelihood"], ["__row"])
+    rows = posteriors(inside, model["domains"], model["prior"], model["likelihood"], ["__row", "tokens"])
     chance = F.pmod(F.xxhash64(F.col(f"__row.{id_col}").cast("string"), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = F.floor(rate(F.col("p"), model["u"], model["least"]) + chance).cast("int")
+    copies = F.when(F.col("tokens") == 0, 1).otherwise(F.floor(rate(F.col("p"), model["u"], model["least"]) + chance).cast("int"))
     # the unused mark keeps the optimizer from moving a filter on copies below, where each use would repeat the whole model
     counted = rows.select("__row", copies.alias("__copies"), F.monotonically_increasing_id().alias("__mark"))
     return counted.select("__row", "__mark", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")

@@ -298,6 +298,24 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pipeline_mix_meets_targets(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(13)
+    low = [rng.random() < 0.4 for _ in range(1500)]
+    rows = [(i, t.upper().replace(" ", " # ") if y else t, "en") for i, (t, y) in enumerate(zip(prose(rng, 1500), low))] + [(5000, None, "de"), (5001, " ", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    spark.createDataFrame([(i, int(not y), 0) for i, y in enumerate(low) if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = C.mix_sources(spark, docs, str(tmp_path)).collect()
+    tokens = collections.Counter()
+    for r in got:
+        tokens["en-q0" if r["doc_id"] < 1500 and low[r["doc_id"]] else "en-q1"] += len((r["text"] or "").split())
+    came = sum(len((t or "").split()) for _, t, _ in rows)
+    for d in ("en-q0", "en-q1"):  # what was drawn, as a share of what came in
+        assert abs(tokens[d] / came - C.BUDGET * C.WEIGHTS[d] / (C.WEIGHTS["en-q0"] + C.WEIGHTS["en-q1"])) < 0.03
+    assert {5000, 5001} <= {r["doc_id"] for r in got}
+
+
 # ---- 9 ------------------------------------------------------------------------------------------------------------------
 
 
