@@ -1,12 +1,13 @@
 """Cross-entropy difference scores from matched n-gram models.
 
-A target and a background bigram model share one vocabulary (the most frequent words of the corpus, an unknown word and
-a text boundary) and one form: p(w | v) = (c(v, w) + MASS * p(w)) / (c(v) + MASS) with p(w) = (c(w) + 1) / (N + V). A
+A target and a background bigram model share one vocabulary (every word of the corpus, or the most frequent ones if a limit
+is given; an unknown word and a text boundary) and one form: p(w | v) = (c(v, w) + MASS * p(w)) / (c(v) + MASS) with p(w) = (c(w) + 1) / (N + V). A
 document's score is the mean over its tokens of log p_target - log p_background; higher is nearer to the target.
 
-Counts cover every document and stay spread over the cluster. A chunk of documents sends each distinct bigram it holds
-once, with its counts, to the group that owns the bigram; the group adds the counts of all chunks up and answers each
-chunk for the bigrams it asked about. Only the vocabulary, whose size is a parameter, is broadcast.
+Counts cover every document and stay spread over the cluster. Words and bigrams are 63-bit hashes, told apart by the lowest
+bit. A chunk of documents sends each distinct word and bigram it holds once, with its counts, to the group that owns it;
+the group adds the counts of all chunks up and answers each chunk for what it asked about. Nothing that grows with the
+corpus is broadcast; a limited vocabulary is.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +24,11 @@ from pyspark.sql import functions as F
 from .chunks import ANSWER, ANSWER_ARROW, NO_ID, Chunk, ask, groups_of, write_chunks
 from .common import materialize, read_table
 
-#: Words of the shared vocabulary at most; ids are 16 bits, with 0 for unknown words and BOUNDARY for a text's ends.
-VOCABULARY = 65_000
-BOUNDARY = 65_535
+#: In place of a word's hash: a text's ends, and words outside a limited vocabulary.
+BOUNDARY, UNKNOWN = 2, 4
 #: Weight of the unigram model in a bigram probability, in counts.
 MASS = 50.0
-_TARGET, _BIGRAMS = 0, 1
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _expand(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+_TARGET, _COUNTS, _TOTALS = 0, 1, 2
 
 
 def _target_ids(answers: dict) -> set[int]:
@@ -99,78 +92,100 @@ def _add_words(most: int):
     return run
 
 
-def _bigrams(chunk: Chunk, ids: dict[bytes, int]) -> list[np.ndarray]:
-    """For each document its bigrams v * 65536 + w, from boundary to boundary."""
-    out = []
-    get = ids.get
-    for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist()):
-        x = np.array([BOUNDARY, *[get(w, 0) for w in words_of(chunk.data[a:b])], BOUNDARY], np.uint32)
-        out.append((x[:-1] << np.uint32(16)) | x[1:])
-    return out
+class Tokens:
+    """The tokens of a chunk: hashes of its distinct words, and for each token (v, w) as places there; doc tells its text."""
+
+    def __init__(self, chunk: Chunk, known: frozenset | None):
+        local: dict[bytes, int] = {}
+        hashes, texts = [BOUNDARY], []
+        for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist()):
+            words = words_of(chunk.data[a:b])
+            for w in words:
+                if w not in local:
+                    local[w] = len(hashes)
+                    hashes.append(xxhash.xxh3_64_intdigest(w) & ~1 if known is None or w in known else UNKNOWN)
+            texts.append(np.array([0, *map(local.__getitem__, words), 0], np.int32))
+        self.hashes = np.array(hashes, np.uint64)
+        self.v, self.w = np.concatenate([x[:-1] for x in texts]), np.concatenate([x[1:] for x in texts])
+        self.sizes = np.array([len(x) - 1 for x in texts])
+        x, y = self.hashes[self.v], self.hashes[self.w]
+        key = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.pairs = ((key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
 
 
 def _by_group(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by group, bounds of the groups in it); within a group keys stay sorted."""
-    group = ((keys * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(groups)
+    group = (((keys >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)
     order = np.argsort(group, kind="stable")
     return order, np.searchsorted(group[order], np.arange(groups + 1))
 
 
-def _bigram_rows(shared, groups: int):
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _count_rows(shared, groups: int):
     def run(chunk: Chunk, answers: dict) -> pa.Table:
         target = _target_ids(answers)
-        docs = _bigrams(chunk, shared.value["ids"])
-        every, count = np.unique(np.concatenate(docs), return_counts=True)
-        wanted = [d for d, key in zip(docs, chunk.ids.tolist()) if key in target]
-        t = np.zeros(len(every), np.uint32)
-        if wanted:
-            some, n = np.unique(np.concatenate(wanted), return_counts=True)
-            t[np.searchsorted(every, some)] = n
+        x = Tokens(chunk, shared and shared.value)
+        every, at, count = np.unique(np.concatenate([x.hashes[x.w], x.pairs]), return_inverse=True, return_counts=True)
+        own = np.repeat(np.array([key in target for key in chunk.ids.tolist()], bool), x.sizes)
+        t = np.bincount(at[np.concatenate([own, own])], minlength=len(every))
         order, bounds = _by_group(every, groups)
         rows = []
         for g in np.flatnonzero(np.diff(bounds)):
             part = order[bounds[g] : bounds[g + 1]]
-            key = every[part]
-            rows.append((chunk.number, _BIGRAMS, int(g), _squeeze(np.stack([np.diff(key, prepend=np.uint32(0)), count[part].astype(np.uint32), t[part]]).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1))))
+            raw = _planes(np.diff(every[part], prepend=np.uint64(0))) + _planes(count[part].astype(np.uint32)) + _planes(t[part].astype(np.uint32))
+            rows.append((chunk.number, _COUNTS, int(g), zstandard.ZstdCompressor(level=1).compress(raw)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ANSWER_ARROW)], schema=ANSWER_ARROW)
 
     return run
 
 
-def _add_bigrams(table: pa.Table) -> pa.Table:
-    """For each chunk the counts over all chunks of the bigrams it sent, in its order."""
+def _add_counts(table: pa.Table) -> pa.Table:
+    """For each chunk the counts over all chunks of what it sent, in its order; and for chunk -1 the number of distinct words
+    of the group and the sums of their counts."""
     asked = []
     for value in table["value"].to_pylist():
-        x = np.ascontiguousarray(_expand(value, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)).view(np.uint32).reshape(3, -1)
-        asked.append((np.cumsum(x[0], dtype=np.uint32), x[1], x[2]))
-    every, at = np.unique(np.concatenate([k for k, _, _ in asked]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([c for _, c, _ in asked]), len(every))
-    t = np.bincount(at, np.concatenate([c for _, _, c in asked]), len(every))
+        raw = zstandard.ZstdDecompressor().decompress(value)
+        k = len(raw) // 16
+        asked.append((np.cumsum(_numbers(raw[: 8 * k], np.uint64), dtype=np.uint64), _numbers(raw[8 * k : 12 * k], np.uint32), _numbers(raw[12 * k :], np.uint32)))
     cuts = np.cumsum([0, *(len(k) for k, _, _ in asked)])
-    values = [_squeeze(np.stack([n[i], t[i]]).astype(np.uint64).view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)) for i in (at[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
-    return pa.table({"chunk": table["chunk"], "kind": table["kind"], "grp": table["grp"], "value": pa.array(values, pa.binary())}, schema=ANSWER_ARROW)
+    every, at = np.unique(np.concatenate([k for k, _, _ in asked]), return_inverse=True)
+    n, t = (np.bincount(at, np.concatenate([a[c] for a in asked]), len(every)).astype(np.uint64) for c in (1, 2))
+    values = [zstandard.ZstdCompressor(level=1).compress(_planes(n[i]) + _planes(t[i])) for i in (at[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+    word = every & np.uint64(1) == 0
+    values.append(np.array([word.sum(), n[word].sum(), t[word].sum()], np.int64).tobytes())
+    group = table["grp"].to_pylist()
+    rows = ([*table["chunk"].to_pylist(), -1], [*table["kind"].to_pylist(), _TOTALS], [*group, group[0]], values)
+    return pa.table([pa.array(c, f.type) for c, f in zip(rows, ANSWER_ARROW)], schema=ANSWER_ARROW)
 
 
-def _score_rows(shared, groups: int):
+def _score_rows(shared, groups: int, size: int, totals: tuple[int, int]):
     def run(chunk: Chunk, answers: dict) -> pa.Table:
-        model = shared.value
-        docs = _bigrams(chunk, model["ids"])
-        every = np.unique(np.concatenate(docs))
+        x = Tokens(chunk, shared and shared.value)
+        every = np.unique(np.concatenate([x.hashes[x.w], x.pairs]))
         order, bounds = _by_group(every, groups)
         n, t = np.zeros(len(every)), np.zeros(len(every))
         for g in np.flatnonzero(np.diff(bounds)):
-            got = np.ascontiguousarray(_expand(answers[_BIGRAMS, int(g)], np.uint8).reshape(2, 8, -1).transpose(0, 2, 1)).view(np.uint64).reshape(2, -1)
+            raw = zstandard.ZstdDecompressor().decompress(answers[_COUNTS, int(g)])
             part = order[bounds[g] : bounds[g + 1]]
-            n[part], t[part] = got[0], got[1]
-        v, w = (every >> np.uint32(16)).astype(np.int64), (every & np.uint32(0xFFFF)).astype(np.int64)
-        log_p = [np.log((c + MASS * model[f"p_{m}"][w]) / (model[f"c_{m}"][v] + MASS)) for m, c in (("target", t), ("background", n))]
-        rows = []
-        for key, d in zip(chunk.ids.tolist(), docs):
-            at = np.searchsorted(every, d)
-            ht, hb = (-float(x[at].mean()) for x in log_p)
-            rows.append((None if key == NO_ID else key, len(d) - 1, ht, hb, hb - ht))
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+            n[part], t[part] = _numbers(raw[: len(raw) // 2], np.uint64), _numbers(raw[len(raw) // 2 :], np.uint64)
+        word, pair = np.searchsorted(every, x.hashes), np.searchsorted(every, x.pairs)
+        starts = np.cumsum(x.sizes) - x.sizes
+        losses = []
+        for c, total in ((t, totals[1]), (n, totals[0])):
+            single = c[word]
+            p = (single + 1) / (total + size + 2)
+            losses.append(-np.add.reduceat(np.log((c[pair] + MASS * p[x.w]) / (single[x.v] + MASS)), starts) / x.sizes)
+        ids = [None if key == NO_ID else key for key in chunk.ids.tolist()]
+        columns = (pa.array(ids, pa.int64()), pa.array(x.sizes - 1, pa.int64()), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[1] - losses[0]))
+        return pa.table(list(columns), names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return run
 
@@ -188,16 +203,16 @@ def _most_frequent(words: DataFrame, most: int) -> list:
     return materialize(words.where(bin_of >= edge).orderBy(F.desc("n"), "word").limit(most), "lm-vocabulary").collect()
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score), one row for each row of docs: mean losses per token in
     nats, the end of the text being a token, and their difference.
 
     target_ids: one column of ids; their documents, which are also in the background, make up the target model. Null
     and empty texts have the end as their only token. Rows without id count in the background and are scored; repeated
-    rows count each time. Without any target document the target model is uniform. Other columns are not read.
+    rows count each time. vocabulary: the number of most frequent words to tell apart, all words if None. Without any target document the target model is uniform. Other columns are not read.
     """
-    if not 0 < vocabulary < BOUNDARY:
-        raise ValueError(f"vocabulary must be under {BOUNDARY}")
+    if vocabulary is not None and vocabulary < 1:
+        raise ValueError("vocabulary must be positive")
     spark = docs.sparkSession
     chunks = write_chunks(docs, id_col, text_col)
     groups = groups_of(chunks)
@@ -215,22 +230,16 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VO
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_TARGET] * b.num_rows, pa.int32()), pa.array([0] * b.num_rows, pa.int32()), pa.array([np.array(x, np.int64).tobytes() for x in b.column(1).to_pylist()], pa.binary())], schema=ANSWER_ARROW)
 
     targets = materialize(hits.mapInArrow(pack, ANSWER), "lm-targets")
-    words = materialize(ask(chunks, targets, _word_rows(groups), ANSWER).groupBy("grp").applyInArrow(_add_words(vocabulary), "word string, n long, t long"), "lm-words")
-    top = _most_frequent(words.where("word is not null"), vocabulary)
-    all_n, all_t = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    # texts end once each: the boundary is a token of every document
-    texts = chunks.select(F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0))).first()[0]
-    target_texts = members.join(wanted, "doc_id", "left_semi").count()
-    model: dict = {"ids": {r["word"].encode(): i + 1 for i, r in enumerate(top)}}
-    for name, col, total, ends in (("background", "n", all_n, texts), ("target", "t", all_t, target_texts)):
-        c = np.zeros(BOUNDARY + 1)
-        c[1 : len(top) + 1] = [r[col] for r in top]
-        c[0], c[BOUNDARY] = total - c.sum(), ends
-        model[f"c_{name}"], model[f"p_{name}"] = c, (c + 1) / (c.sum() + len(top) + 2)
-    shared = spark.sparkContext.broadcast(model)
-    asked = ask(chunks, targets, _bigram_rows(shared, groups), ANSWER)
-    counts = materialize(asked.groupBy("grp").applyInArrow(_add_bigrams, ANSWER), "lm-bigrams")
-    return ask(chunks, counts, _score_rows(shared, groups), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    shared = None
+    if vocabulary is not None:
+        words = materialize(ask(chunks, targets, _word_rows(groups), ANSWER).groupBy("grp").applyInArrow(_add_words(vocabulary), "word string, n long, t long"), "lm-words")
+        shared = spark.sparkContext.broadcast(frozenset(r["word"].encode() for r in _most_frequent(words.where("word is not null"), vocabulary)))
+    asked = ask(chunks, targets, _count_rows(shared, groups), ANSWER)
+    counts = materialize(asked.groupBy("grp").applyInArrow(_add_counts, ANSWER), "lm-counts")
+    sums = [np.frombuffer(r["value"], np.int64) for r in counts.where(F.col("chunk") == -1).select("value").collect()]  # one row a group
+    found, all_n, all_t = (int(v) for v in np.sum(sums, axis=0)) if sums else (1, 0, 0)
+    size = found - 1 if shared is None else len(shared.value)  # the boundary is counted as a word of its own
+    return ask(chunks, counts.where("chunk >= 0"), _score_rows(shared, groups, size, (all_n, all_t)), "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,22 @@ def test_lm_scoring(spark):
     assert lm_scoring.score_documents(docs_of(spark, []), spark.createDataFrame([], "i long")).count() == 0
 
 
+def test_lm_scoring_knows_every_word(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{(i * 720 + k) % 72_000}" for k in range(1440))) for i in range(100)] + [(200, f"w1 w71999 w{rng.randrange(72_000)}")]
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs_of(spark, rows), spark.createDataFrame([(3,), (50,)], "i long")).collect()}
+    ends = lambda t: ["</>", *t.split(), "</>"]
+    n = len({w for _, t in rows for w in t.split()})
+    assert n == 72_000
+    for own, name in (({3, 50}, "target_loss"), (set(dict(rows)), "background_loss")):
+        pairs = collections.Counter(p for i, t in rows if i in own for p in itertools.pairwise(ends(t)))
+        single = collections.Counter(w for i, t in rows if i in own for w in ends(t)[1:])
+        total = sum(single.values()) + n + 2
+        for i, t in rows:
+            want = -np.mean([math.log((pairs[v, w] + lm_scoring.MASS * (single[w] + 1) / total) / (single[v] + lm_scoring.MASS)) for v, w in itertools.pairwise(ends(t))])
+            assert abs(got[i][name] - want) < 1e-9
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------------
 
 
