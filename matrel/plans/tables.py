@@ -436,7 +436,7 @@ def path_functions(spark, sf_dir):
 
 @query("size_and_time_text", "select o_orderkey, printf('%d:%02d:%02d.%03d', o_orderkey * 997 // 3600000, (o_orderkey * 997 // 60000) % 60, (o_orderkey * 997 // 1000) % 60, (o_orderkey * 997) % 1000) as took, case when o_orderkey < 1000 then cast(o_orderkey as varchar) || 'b' else printf('%.1fkB', round(o_orderkey / 1000.0 + 0.000001, 1)) end as size from orders where o_orderkey < 900000")
 def size_and_time_text(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 900000")
+    o = read(spark, sf_dir, "orders")
     return o.select("o_orderkey", T.milliseconds_text(F.col("o_orderkey") * 997).alias("took"), T.bytes_text(F.col("o_orderkey")).alias("size"))
 
 

@@ -225,3 +225,11 @@ def test_mixed_radix_round_trip(digits, k):
     for _ in range(k):
         v = A.predecessor(v, limits)
     assert v == start
+
+
+def test_size_text_of_all_orders(spark, tmp_path):
+    from matrel.plans import tables
+
+    want = {999: "999b", 1500: "1.5kB", 950_000: "950.0kB", 2_500_000: "2.5MB", 3_000_000_000: "3.0GB"}
+    spark.createDataFrame([(k,) for k in want], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["o_orderkey"]: r["size"] for r in tables.size_and_time_text(spark, str(tmp_path)).collect()} == want
