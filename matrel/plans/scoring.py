@@ -170,7 +170,7 @@ def pca(spark, sf_dir):
 
 @query("fisher_lda")
 def fisher_lda(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("key", "obs", F.slice("x", 1, 12).alias("x"), F.col("label").cast("int").alias("label"))
+    v = vectors(spark, sf_dir).select("key", "obs", "x", F.col("label").cast("int").alias("label"))
     return M.cells(L.fit_lda(v).transform(v).select("key", "obs", "x")).select("key", "feat", F.round("v", DIGITS).alias("v"))
 
 

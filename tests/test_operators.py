@@ -233,3 +233,14 @@ def test_size_text_of_all_orders(spark, tmp_path):
     want = {999: "999b", 1500: "1.5kB", 950_000: "950.0kB", 2_500_000: "2.5MB", 3_000_000_000: "3.0GB"}
     spark.createDataFrame([(k,) for k in want], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r["o_orderkey"]: r["size"] for r in tables.size_and_time_text(spark, str(tmp_path)).collect()} == want
+
+
+def test_lda_sees_every_feature(spark, tmp_path):
+    from matrel.plans import scoring
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=64) + (np.arange(64) == 40) * 30.0 * (i % 2)).tolist(), i % 2) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = {int(r["key"]): r["v"] for r in scoring.fisher_lda(spark, str(tmp_path)).where("feat = 0").collect()}
+    a, b = (np.array([v[i] for i in v if i % 2 == y]) for y in (0, 1))
+    assert abs(a.mean() - b.mean()) > 5 * max(a.std(), b.std())
