@@ -379,7 +379,7 @@ def test_samples_follow_the_lattice(model):
         z = np.logaddexp.reduce(list(every.values()))
         p = {a: math.exp(b - z) for a, b in every.items()}
         n = 6000
-        at = lat.look_up([pieces.units(text)])[0]
+        at = lat.look_up([text])[0]
         found = pieces.sample_paths(lat, [at] * n, [pieces.row_key(i, 7) for i in range(n)], 3)
         first, second = (collections.Counter(tuple(lat.id[r[k][0]].tolist()) for r in found) for k in (0, 1))
         for a in sorted(p, key=p.get)[-4:]:
