@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def sufficient(obs: DataFrame, by: list[str] | None = None, pairs: str = "full", weight: str | None = None) -> DataFrame:
     """Weighted moments in cell form: (by, i, j, value) with i = j = -1 the mass, j = -1 the sums, else second moments
@@ -104,7 +106,7 @@ def running_total(df: DataFrame, order: str, value: str, descending: bool = Fals
     partition sums its own, and the totals of the partitions before (one number each) are added."""
     key = F.col(order).desc() if descending else F.col(order)
     parts = df.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
-    parts = parts.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else parts.persist()
+    parts = cut(parts)
     inner = parts.withColumn("__inner", F.sum(value).over(Window.partitionBy("__part").orderBy(key)))
     sums = parts.groupBy("__part").agg(F.sum(value).alias("__sum"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -5,16 +5,13 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End of a lineage: a checkpoint where the session has a folder for one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from ..storage import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -33,57 +30,63 @@ def supersets(cliques: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): the least id reachable. Each round takes the least label among neighbours and then jumps to the
-    label's own label, so rounds grow with the logarithm of the diameter on most graphs."""
-    e = both_ways(edges.select("src", "dst")).distinct().persist()
-    labels = _cut(nodes.select("id", F.col("id").alias("component")))
+    """(id, component): the least id reachable, for every row of nodes; edges (src, dst) between nodes.
+
+    Each round takes the least label among neighbours and then jumps to the label's own label, so rounds grow with the
+    logarithm of the diameter on most graphs. A round ends in a checkpoint, so plans do not grow."""
+    e = cut(both_ways(edges.select("src", "dst").where("src <> dst")).distinct())
+    labels = nodes.select("id", F.col("id").alias("component"))
     for _ in range(max_rounds):
         near = e.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        up = step.select(F.col("id").alias("low"), F.col("low").alias("jump"))
-        moved = _cut(step.join(up, "low", "left").select("id", F.least("low", F.coalesce("jump", "low")).alias("new"), "component"))
-        changed = moved.where("new <> component").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("component"))
-        if not changed:
-            e.unpersist()
+        step = cut(labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low")))
+        if step.where("low <> component").isEmpty():
             return labels
+        up = step.select(F.col("id").alias("low"), F.col("low").alias("jump"))
+        labels = step.join(up, "low", "left").select("id", F.least("low", F.coalesce("jump", "low")).alias("component"))
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Edges (src, dst, w) of a minimum spanning forest, by rounds in which every component takes its least edge (ties by
-    ends, so that no cycle arises)."""
-    labels = nodes.select("id", F.col("id").alias("component"))
-    chosen = None
+    """Edges (src, dst, w), src < dst, of a minimum spanning forest, by rounds in which every component takes its least
+    edge (ties by ends, so that no cycle arises) and components that an edge joins become one. A round works on the edges
+    that are left between components, of which at most one for each pair stays."""
+    e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct("w", F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).alias("e"))
+    chosen = []
     for _ in range(max_rounds):
-        e = edges.join(labels.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b")
-        one = F.struct("w", F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"))
-        sides = e.select(F.col("a").alias("component"), one.alias("e")).union(e.select(F.col("b").alias("component"), one.alias("e")))
-        best = _cut(sides.groupBy("component").agg(F.min("e").alias("e")).select("e.*").distinct())
-        if best.isEmpty():
-            break
-        new = best.select(F.col("p").alias("src"), F.col("q").alias("dst"), "w")
-        chosen = new if chosen is None else chosen.union(new)
-        labels = connected_components(nodes, chosen)
-    return chosen if chosen is not None else edges.select("src", "dst", "w").where("false")
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(source, id, distance) for the reachable nodes, by rounds of relaxation that join only what the last one improved."""
-    e = both_ways(edges.select("src", "dst", "w")).persist()
-    best = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")))
+        e = cut(e.where("a <> b").groupBy("a", "b").agg(F.min("e").alias("e")))
+        if e.isEmpty():
+            return reduce(DataFrame.union, chosen) if chosen else edges.select("src", "dst", "w").where("false")
+        sides = e.select(F.col("a").alias("c"), "a", "b", "e").union(e.select(F.col("b").alias("c"), "a", "b", "e"))
+        best = cut(sides.groupBy("c").agg(F.min(F.struct("e", "a", "b")).alias("s")).select("s.*").distinct())
+        chosen.append(best.select(F.col("e.p").alias("src"), F.col("e.q").alias("dst"), F.col("e.w").alias("w")))
+        ends = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
+        labels = cut(connected_components(ends, best.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        to = lambda c, n: labels.select(F.col("id").alias(c), F.col("component").alias(n))  # noqa: B023, E731
+        e = e.join(to("a", "x"), "a").join(to("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "e")
+    raise RuntimeError(f"no end after {max_rounds} rounds")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(source, id, distance) for the reachable nodes, by rounds of relaxation that join only what the last one improved.
+    Weights are not negative."""
+    e = cut(both_ways(edges.select("src", "dst", "w")))
+    best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance")).distinct())
     front = best
     for _ in range(max_rounds):
         reach = front.join(e, front["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
-        better = reach.join(best, ["source", "id"], "left").where("distance is null or new < distance").select("source", "id", F.col("new").alias("distance"))
-        front = _cut(better)
+        all_ = cut(best.join(reach, ["source", "id"], "full_outer").select("source", "id", F.least("distance", "new").alias("distance"), (F.coalesce("new", F.lit(float("inf"))) < F.coalesce("distance", F.lit(float("inf")))).alias("moved")))
+        best, front = all_.drop("moved"), all_.where("moved").drop("moved")
         if front.isEmpty():
-            e.unpersist()
             return best
-        best = _cut(best.union(front).groupBy("source", "id").agg(F.min("distance").alias("distance")))
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
+def all_pairs_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, id, distance) of every pair of nodes that a path joins, a node and itself (0) too. The result has the square
+    of a component's size in rows, as the question asks."""
+    return shortest_paths(edges, nodes.select("id"))
+
+
 # ---- small graphs on the driver -------------------------------------------------------------------------------------
 
 
@@ -342,7 +345,7 @@ def projection_candidates(nodes: DataFrame, direction: list[float], horizon: int
     """Candidates by a random projection: each node with the next ones in the order of the projection. The order is cut
     into ranges whose last horizon nodes are also put before the next range."""
     p = nodes.select("node", A.weighted(F.col("x"), direction).alias("p")).repartitionByRange(parts, "p").withColumn("part", F.spark_partition_id())
-    p = _cut(p)
+    p = cut(p)
     tail = p.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("p"), F.desc("node")))).where(F.col("r") <= horizon)
     rows = p.select("node", "p", "part").union(tail.select("node", "p", F.col("part") + 1))
     ahead = F.collect_list("node").over(Window.partitionBy("part").orderBy("p", "node").rowsBetween(1, horizon))

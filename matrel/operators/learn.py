@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.stats import sufficient
+from ..storage import cut
 
 
 def _dimension(df: DataFrame) -> int:
@@ -388,7 +389,7 @@ def fit_boosted(df: DataFrame, classes: int, rounds: int = 100, depth: int = 2,
         if error <= 1e-12:
             break
         rows = rows.withColumn("weight", F.col("weight") * F.when(wrong, F.lit(float(np.exp(alpha)))).otherwise(1.0) / F.lit(float(all_)))
-        rows = rows.checkpoint() if r % 5 == 4 and df.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+        rows = cut(rows) if r % 5 == 4 else rows
     return out
 
 

@@ -3,9 +3,6 @@ shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -14,6 +11,7 @@ from ..operators import sampling as P
 from ..sources import binary as B
 from ..sources import text as T
 from ..sources.store import Store
+from ..storage import fresh_path as scratch
 from ..streaming import incremental as S
 from .network import Network
 from .tables import read, rounded, vectors
@@ -32,12 +30,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def scratch(spark, tag: str) -> str:
-    """A new folder that executors and driver share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query("text_table", "select cast(p_partkey as varchar) as key, cast(0 as integer) as obs, cast(p_size as double) as a, round(p_retailprice, 4) as b from part")
 def text_table(spark, sf_dir):
     path = scratch(spark, "text")

@@ -78,10 +78,9 @@ def random_projection(spark, sf_dir):
     return G.top_edges(G.scored(G.projection_candidates(v, direction, 10), v), 3).withColumn("weight", F.round("weight", 4))
 
 
-@query("neighbours", f"{_S}, b as (select src, dst from s union select dst, src from s) select src, cast(count(*) as integer) as n, cast(sum(dst) as bigint) as total from b group by src")
+@query("neighbours", f"{_S}, b as (select src, dst from s union select dst, src from s) select src, list(dst order by dst) as neighbours from b group by src")
 def neighbours(spark, sf_dir):
-    out = G.neighbours(sparse(spark, sf_dir)[1])
-    return out.select("src", F.size("neighbours").alias("n"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    return G.neighbours(sparse(spark, sf_dir)[1])
 
 
 @query("components", f"{_S}, b as (select src, dst from s union select dst, src from s), r(node, other) as (select vec_id, vec_id from embeddings union select r.node, b.dst from r join b on r.other = b.src) select node as id, min(other) as component from r group by node")
@@ -89,13 +88,26 @@ def components(spark, sf_dir):
     return G.connected_components(*sparse(spark, sf_dir))
 
 
-@query("spanning_forest", f"{_S}, b as (select src, dst from s union select dst, src from s), r(node, other) as (select vec_id, vec_id from embeddings union select r.node, b.dst from r join b on r.other = b.src), c as (select node, min(other) as c from r group by node) select cast((select count(*) from embeddings) - (select count(distinct c) from c) as bigint) as n_edges")
+# every node has at most one edge that goes out, so a component has at most one cycle: the forest lacks its heaviest edge
+@query("spanning_forest", f"""{_S}, r(a, b) as (select src, dst from s union select r.a, s.dst from r join s on r.b = s.src), c as (select a from r where a = b), k as (select a, min(b) as cycle from r where a in (select a from c) and b in (select a from c) group by a),
+    e as (select s.src as id, least(src, dst) as p, greatest(src, dst) as q, w, cycle from s left join k on k.a = s.src), o as (select id, p, q, w, cycle, row_number() over (partition by cycle order by w desc, p desc, q desc, id) as n from e)
+    select p as src, q as dst, w from o where cycle is null or n > 1""")
 def spanning_forest(spark, sf_dir):
-    return G.spanning_forest(*sparse(spark, sf_dir)).agg(F.count("*").alias("n_edges"))
+    return G.spanning_forest(*sparse(spark, sf_dir))
 
 
-@query("shortest_paths", f"{_S}, b as (select src, dst, w from s union all select dst, src, w from s), r(id, distance) as (select cast(1 as bigint), cast(0 as double) union select b.dst, r.distance + b.w from r join b on r.id = b.src where r.distance + b.w <= 40) select cast(1 as bigint) as source, id, min(distance) as distance from r group by id")
+@query("shortest_paths", f"{_S}, b as (select src, dst, w from s union all select dst, src, w from s), r(id, distance, seen) as (select cast(1 as bigint), cast(0 as double), [cast(1 as bigint)] union all select b.dst, r.distance + b.w, list_append(seen, b.dst) from r join b on r.id = b.src where not list_contains(seen, b.dst)) select cast(1 as bigint) as source, id, min(distance) as distance from r group by id")
 def shortest_paths(spark, sf_dir):
-    """From node 1, distances up to 40."""
+    """From node 1. The SQL goes along every path without a loop; a component has one cycle at most, so they are few."""
     e, s = sparse(spark, sf_dir)
-    return G.shortest_paths(s, e.where("id = 1")).where("distance <= 40")
+    return G.shortest_paths(s, e.where("id = 1"))
+
+
+_N = "s as (select cast(n_nationkey as bigint) as src, cast((n_nationkey * 7 + 3) % 25 as bigint) as dst, cast(n_nationkey % 4 + n_regionkey + 1 as double) as w from nation where n_nationkey <> (n_nationkey * 7 + 3) % 25)"
+
+
+@query("all_pairs_paths", f"{_N}, b as (select src, dst, w from s union all select dst, src, w from s), r(source, id, distance, seen) as (select cast(n_nationkey as bigint), cast(n_nationkey as bigint), cast(0 as double), [cast(n_nationkey as bigint)] from nation union all select source, b.dst, r.distance + b.w, list_append(seen, b.dst) from r join b on r.id = b.src where not list_contains(seen, b.dst)) select source, id, min(distance) as distance from r group by source, id")
+def all_pairs_paths(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_regionkey")
+    s = n.select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 25).alias("dst"), (F.col("id") % 4 + F.col("n_regionkey") + 1).cast("double").alias("w")).where("src <> dst")
+    return G.all_pairs_paths(n, s)
