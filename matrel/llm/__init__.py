@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import embeddings, lm_scoring, mixing, pieces, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 
-MODULES = ("warc", "quality", "token_counts", "toxicity", "mixing", "pieces", "embeddings", "simhash", "suffix_dedup", "lm_scoring")
+MODULES = (warc, quality, token_counts, toxicity, mixing, pieces, embeddings, simhash, suffix_dedup, lm_scoring)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in MODULES for k, q in import_module(f"{__name__}.{m}").SQL.items()}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}

@@ -77,10 +77,10 @@ class Isotonic:
     """Pool-adjacent-violators fit of probability on score; steps, with linear interpolation between block centres."""
 
     def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(score, kind="stable")
+        at, back = np.unique(score, return_inverse=True)  # equal scores are one point, so their order does not matter
         blocks: list[list[float]] = []  # sum of y, count, sum of score
-        for s, v in zip(score[order], y[order]):
-            blocks.append([float(v), 1.0, float(s)])
+        for s, v, n in zip(at, np.bincount(back, y, len(at)), np.bincount(back, minlength=len(at))):
+            blocks.append([float(v), float(n), float(s) * n])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, shared_dir
+
 #: Word separators fixed by the operator contracts: ASCII white space.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
@@ -28,23 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or where that is unset one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        root = getattr(spark, "_matrel_shared", "")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="matrel-")
-        spark._matrel_shared = root
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and no lost executor loses it."""
     spark = df.sparkSession

@@ -47,6 +47,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _unit(batch: list) -> np.ndarray:
     x = np.array(batch, float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components would leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -22,8 +22,10 @@ from .common import read_table, release
 
 #: Labelled rows that are used for fitting, at most (about: rows are taken by a hash of their id).
 SAMPLE_ROWS = 24_000
-#: Lexicon entries of each kind at most.
+#: Lexicon entries of each kind at most (those of the highest odds); the toxic fitting texts that must hold an entry, in
+#: number and as a share; the log odds it must have. Parameters of the model, like the depth of its trees.
 LEXICON_WORDS = 3000
+LEXICON_TEXTS, LEXICON_SHARE, LEXICON_ODDS = 3, 0.002, 1.5
 #: Characters of a word beginning.
 STEM = 5
 #: Words between a lexicon word and a word of second person that count as near.
@@ -74,9 +76,9 @@ def _lexicon(texts: DataFrame, at_most: int) -> tuple[dict[str, float], dict[str
     found = []
     for terms in (bare, F.array_distinct(F.transform(F.filter(bare, lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM)))):
         counts = texts.select("toxic", F.explode(terms).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("c1"), F.count("*").alias("c"))
-        # odds with half a document added on either side; a term needs 3 toxic texts and 0.2 % of them
+        # odds with half a document added on either side
         odds = F.ln((F.col("c1") + 0.5) / F.lit(float(n1 + 1))) - F.ln((F.col("c") - F.col("c1") + 0.5) / F.lit(float(n0 + 1)))
-        rows = counts.where(F.col("c1") >= max(3, 0.002 * n1)).withColumn("odds", odds).where("odds >= 1.5").orderBy(F.desc("odds"), F.desc("c1"), "w").limit(at_most).collect()
+        rows = counts.where(F.col("c1") >= max(LEXICON_TEXTS, LEXICON_SHARE * n1)).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("odds"), F.desc("c1"), "w").limit(at_most).collect()
         found.append({r["w"]: float(r["odds"]) for r in rows})
     return found[0], found[1]
 
@@ -158,6 +160,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: s
 
 
 def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a row is kept out of learning; null for a row without id, which is never learned from either."""
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 

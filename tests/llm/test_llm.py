@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -265,6 +266,82 @@ def test_boosting_and_calibration():
     assert len(boosting.BoostedTrees().fit(np.zeros((0, 2)), np.zeros(0)).score(x[:3, :2])) == 3
 
 
+def test_calibration_pools_ties():
+    score = np.array([-3.0] * 100 + [2.0] * 5)
+    y = np.array([1.0] + [0.0] * 99 + [1.0] * 5)
+    iso = boosting.Isotonic().fit(score, y)
+    assert abs(iso.apply(np.array([-3.0]))[0] - 0.01) < 1e-3
+    rng = np.random.default_rng(2)
+    score, y = rng.integers(0, 12, 300).astype(float), rng.integers(0, 2, 300).astype(float)
+    both = rng.permutation(300)
+    iso, again = boosting.Isotonic().fit(score, y), boosting.Isotonic().fit(score[both], y[both])
+    assert np.allclose(iso.apply(score), again.apply(score))
+    at = np.unique(score)
+    mean = lambda a, b: y[(score >= a) & (score <= b)].mean()
+    for v in at:  # the greatest of the least means around a point
+        want = max(min(mean(a, b) for b in at if b >= v) for a in at if a <= v)
+        block = [x for x, w in zip(iso.x, iso.y) if abs(w - want) < 0.02]
+        assert block, (v, want)
+
+
+def test_first_split_is_the_best_one():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=200) > 4).astype(float)
+    m = boosting.BoostedTrees(rounds=1, depth=1, bins=64).fit(x, y)
+    p = (y.sum() + 1) / 202
+    g, h = y - p, np.full(200, p * (1 - p))
+    best = (-1.0, -1, 0.0)
+    for j in range(3):
+        for cut in np.unique(x[:, j]):
+            left = x[:, j] < cut
+            if min(left.sum(), (~left).sum()) >= m.min_leaf:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + m.ridge) for s in (left, ~left))
+                if gain > best[0] + 1e-12:
+                    best = (gain, j, cut)
+    feature, cut, value = m.trees[0]
+    left = x[:, best[1]] < best[2]
+    assert feature[1] == best[1] and ((x[:, feature[1]] >= cut[1]) == ~left).all()
+    assert np.allclose(value[2:], [g[s].sum() / (h[s].sum() + m.ridge) for s in (left, ~left)])
+    assert np.allclose(m.score(x), m.base + m.rate * np.where(left, value[2], value[3]))
+
+
+def test_toxicity_features():
+    words, stems = {"blorgh": 2.0, "zap": 3.0}, {"blorg": 1.5}
+    text = "You ARE a bl0rgh! zap, one two three four five six seven blorghs sooo bad #$ ?"
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, words, stems)))
+    low = [w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())) for w in text.lower().split()]
+    n = len(text.split())
+    hits = [i for i, w in enumerate(low) if w in words]
+    stem = [i for i, w in enumerate(low) if w[:5] in stems]
+    near = sum(any(low[j] in toxicity.SECOND_PERSON for j in range(len(low)) if abs(i - j) <= toxicity.NEAR) for i in sorted({*hits, *stem}))
+    want = {
+        "word_hits": len(hits), "word_density": len(hits) / n, "word_weight": sum(words[low[i]] for i in hits), "word_top": 3.0, "stem_hits": len(stem), "stem_density": len(stem) / n, "stem_weight": 1.5 * len(stem), "stem_top": 1.5,
+        "near_second": near, "near_rate": near / n, "second_rate": 1 / n, "capitals": sum(c.isupper() for c in text) / len(text), "capital_words": sum(w.isupper() for w in text.split()) / n, "exclaim": 1 / len(text), "question": 1 / len(text),
+        "symbols": sum(c in "#*$%&@" for c in text) / len(text), "mixed_rate": 1 / n, "stretched_rate": 1 / n, "hidden_hits": 1, "hidden_rate": 1 / n, "log_words": math.log1p(n), "distinct_hits": len({low[i] for i in (*hits, *stem)}),
+    }
+    assert set(want) == set(got) and all(abs(got[k] - v) < 1e-12 for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if abs(got[k] - v) > 1e-12}
+    assert toxicity.features(None, words, stems) == toxicity.features(" \n", words, stems) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_toxicity_lexicon(spark):
+    rng = random.Random(9)
+    rows = [(t + rng.choice([" zap", " zap zaps", " nil", ""]), int(i % 3 == 0)) for i, t in enumerate(prose(rng, 120, 8))]
+    rows = [(t + " blorghs" if y and rng.random() < 0.8 else t, y) for t, y in rows]
+    words, stems = toxicity._lexicon(spark.createDataFrame(rows, "text string, toxic int"), 3000)
+    n1 = sum(y for _, y in rows)
+    bare = [({w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())) for w in t.lower().split()} - {""}, y) for t, y in rows]
+    for got, terms in ((words, bare), (stems, [({w[:5] for w in s if len(w) > 5}, y) for s, y in bare])):
+        want = {}
+        for w in set().union(*(s for s, _ in terms)):
+            c1, c0 = sum(y for s, y in terms if w in s), sum(1 - y for s, y in terms if w in s)
+            odds = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (len(rows) - n1 + 1))
+            if c1 >= max(toxicity.LEXICON_TEXTS, toxicity.LEXICON_SHARE * n1) and odds >= toxicity.LEXICON_ODDS:
+                want[w] = odds
+        assert set(got) == set(want) and all(abs(got[w] - v) < 1e-9 for w, v in want.items())
+    assert "blorghs" in words and "blorg" in stems
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     r = toxicity.op7_toxicity(spark, sf).join(common.read_table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
@@ -282,6 +359,7 @@ def test_toxicity_edges(spark):
     assert "blorgh" in m["words"]
     got = toxicity.score_toxicity(docs_of(spark, rows), m).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert [r["h"] for r in docs_of(spark, [(None, "a"), (4, "b")]).select("doc_id", toxicity.held_out().alias("h")).orderBy("doc_id").collect()] == [None, zlib.crc32(b"4") % 5 == 0]
     left = {r["doc_id"] for r in toxicity.drop_toxic(docs_of(spark, rows), m).collect()}
     assert left >= {i for i, y in enumerate(toxic) if not y} and not left & {i for i, y in enumerate(toxic) if y}
     none = toxicity.fit_toxicity(docs_of(spark, []), labels.limit(0))
@@ -291,22 +369,63 @@ def test_toxicity_edges(spark):
 # ---- 8 ------------------------------------------------------------------------------------------------------------------
 
 
+def plain_mixing(rows, labelled, parts, model, targets):
+    """Posteriors and rates again, in plain Python: counts of the fitting rows, then projected gradients."""
+    def facts(text):
+        words = WORD.findall((text or "").lower())
+        size, n = max(1, len(text or "")), max(1, len(words))
+        number = lambda marks: sum(c in marks for c in text or "")
+        stats = (len(words), len(text or "") / n, number("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, number(mixing.MARKS) / n, number("0123456789.?") / n)
+        return [sum(v > x for x in ends) for v, ends in zip(stats, mixing.BINS)], set(words), len(words)
+
+    domains = model["domains"]
+    text = {i: t for i, t in rows if i is not None}
+    fit = [(d, *facts(text[i])) for i, d in labelled if i in text and d and parts[i] < 14]
+    size = [sum(d == x for d, *_ in fit) for x in domains]
+    prior = [math.log((n + 1) / (sum(size) + len(size))) for n in size]
+    count = collections.Counter((w, d) for d, _, words, _ in fit for w in words)
+    total = collections.Counter(w for _, _, words, _ in fit for w in words)
+    odds = {w: [math.log((count[w, d] + mixing.PRIOR_DOCUMENTS * n / len(fit)) / (m + mixing.PRIOR_DOCUMENTS) / (n / len(fit))) for d, m in zip(domains, size)] for w, n in total.items() if n >= mixing.LEAST_DOCUMENTS}
+    a, b = model["weights"]
+    p, tokens = [], []
+    for _, t in rows:
+        bins, words, n = facts(t)
+        stat = [sum(math.log((1 + sum(x[i] == v for y, x, _, _ in fit if y == d)) / (m + 10)) for i, v in enumerate(bins)) for d, m in zip(domains, size)]
+        word = [sum(odds[w][k] for w in words if w in odds) / math.sqrt(max(1, len(words))) for k in range(len(domains))]
+        e = [math.exp(x + a * y + b * z) for x, y, z in zip(prior, stat, word)]
+        p.append([x / sum(e) for x in e])
+        tokens.append(n)
+    p, t = np.array(p), np.array(tokens, float)
+    rate, mass = np.ones(len(rows)), t @ p
+    for _ in range(model["passes"]):
+        rate = np.maximum(0.0, rate - p @ (((rate * t) @ p - targets) / mass))
+    return p, tokens, rate
+
+
 def test_mixing(spark):
     rng = random.Random(6)
-    rows = [(i, t.upper() if i % 3 == 0 else t) for i, t in enumerate(prose(rng, 90))] + [(500, None), (501, ""), (None, "abc")]
-    labelled = spark.createDataFrame([(i, "loud" if i % 3 == 0 else "calm") for i in range(40)] + [(None, "calm"), (50, None)], "doc_id long, domain string")
+    rows = [(i, (t.upper() if i % 6 == 0 else t + " deep") if i % 3 == 0 else t) for i, t in enumerate(prose(rng, 240))] + [(500, None), (501, ""), (None, "abc")]
+    known = [(i, "loud" if i % 3 == 0 else "calm") for i in range(160)] + [(None, "calm"), (200, None)]
+    labelled = spark.createDataFrame(known, "doc_id long, domain string")
     out, model = mixing.mix(docs_of(spark, rows), labelled, {"loud": 0.6, "calm": 0.4}, budget=1.5)
     got = out.collect()
     assert len(got) == len(rows) and min(r["rate"] for r in got) >= 0
+    parts = {r["doc_id"]: r["part"] for r in spark.range(300).selectExpr("id as doc_id", "cast(pmod(xxhash64(cast(id as string), 'part'), 20) as int) as part").collect()}
+    p, tokens, rate = plain_mixing(rows, known, parts, model, model["targets"])
+    by = {str(i): (list(x), n, r) for (i, _), x, n, r in zip(rows, p, tokens, rate)}
+    for r in got:
+        x, n, want = by[str(r["doc_id"])]
+        assert r["n_tokens"] == n and abs(r["rate"] - want) < 1e-9 and np.allclose([r["posteriors"][d] for d in model["domains"]], x, atol=1e-9)
     reached = [sum(r["rate"] * r["n_tokens"] * r["posteriors"][d] for r in got) for d in model["domains"]]
-    assert np.allclose(reached, model["targets"], rtol=1e-3)
-    for r in got:  # the model again, in plain numpy
-        assert abs(sum(r["posteriors"].values()) - 1) < 1e-9
-        assert abs(r["rate"] - max(0.0, 1 + sum(r["posteriors"][d] * u for d, u in zip(model["domains"], model["u"])))) < 1e-9
+    assert np.abs(np.array(reached) - model["targets"]).sum() <= 1.0001e-4 * model["targets"].sum() and model["gap"] <= 1e-4
+    assert model["held_out"]["accuracy"] > 0.8 and set(model["held_out"]) == {"accuracy", "log_loss", "rows"}
     _, kept = mixing.fit_mix(docs_of(spark, rows), labelled, {"loud": 0.6, "calm": 0.4}, 1.5, least=1.0)
     drawn = mixing.draw_mix(docs_of(spark, rows), kept)
     assert drawn.columns == ["doc_id", "text", "extra", "__id"]
     assert {r["doc_id"] for r in drawn.select("doc_id").collect()} == {i for i, _ in rows} and drawn.count() > len(rows)
+    rates = {str(r["doc_id"]): (r["rate"], r["tokens"]) for r in kept["rows"].collect()}
+    for key, n in collections.Counter(str(r["doc_id"]) for r in drawn.collect()).items():  # copies against rates
+        assert n == 1 if rates[key][1] == 0 else n in (math.floor(rates[key][0]), math.floor(rates[key][0]) + 1)
     alone, _ = mixing.mix(docs_of(spark, rows), labelled.limit(0))
     assert {round(r["rate"], 6) for r in alone.collect()} == {1.0}
     assert mixing.mix(docs_of(spark, []), labelled)[0].count() == 0
@@ -314,6 +433,27 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rates_out_of_reach_go_to_the_least_squares(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 80)
+    t = rng.integers(1, 50, 80)
+    rows = spark.createDataFrame([(int(n), [float(v) for v in x]) for n, x in zip(t, p)], "tokens long, p array<double>")
+    targets = np.array([0.0, 0.7, 0.3]) * t.sum()
+    mass = t @ p
+    found, gap, passes = mixing.fit_rates(rows, targets, passes=60)
+    found = found.collect()  # in an order of its own
+    got, p, t = np.array([r["rate"] for r in found]), np.array([r["p"] for r in found]), np.array([r["tokens"] for r in found])
+    value = lambda r: float((((r * t) @ p - targets) ** 2 / mass).sum())
+    r, y, th = np.ones(80), np.ones(80), 1.0
+    for _ in range(20_000):  # the optimum, by accelerated steps
+        new = np.maximum(0, y - p @ (((y * t) @ p - targets) / mass))
+        th, old = (1 + math.sqrt(1 + 4 * th * th)) / 2, th
+        y, r = new + (old - 1) / th * (new - r), new
+    assert (got >= 0).all() and 1 <= passes <= 60
+    assert value(got) - value(r) < 0.02 * value(np.ones(80)), (value(got), value(r), value(np.ones(80)), passes)
+    assert abs(gap - np.abs((got * t) @ p - targets).sum() / targets.sum()) < 1e-9
+
+
 def test_pipeline_mix_meets_targets(spark, tmp_path):
     import corpus_pipeline as C
 
