@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ANSWER, ANSWER_ARROW, NO_ID, Chunk, ask, groups_of, write_chunks
+from .chunks import ANSWER, ANSWER_ARROW, Chunk, ask, groups_of, write_chunks
 from .common import materialize, read_table
 
 #: In place of a word's hash: a text's ends, and words outside a limited vocabulary.
@@ -46,7 +46,7 @@ def _word_rows(groups: int):
         """Each distinct word of the chunk with its count in all and in target documents, by group."""
         target = _target_ids(answers)
         counts: dict[bytes, list[int]] = {}
-        for key, a, b in zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist()):
+        for key, a, b in zip(chunk.keys(), chunk.starts.tolist(), chunk.ends.tolist()):
             t = int(key in target)
             for w in words_of(chunk.data[a:b]):
                 c = counts.get(w)
@@ -134,7 +134,7 @@ def _count_rows(shared, groups: int):
         target = _target_ids(answers)
         x = Tokens(chunk, shared and shared.value)
         every, at, count = np.unique(np.concatenate([x.hashes[x.w], x.pairs]), return_inverse=True, return_counts=True)
-        own = np.repeat(np.array([key in target for key in chunk.ids.tolist()], bool), x.sizes)
+        own = np.repeat(np.array([key in target for key in chunk.keys()], bool), x.sizes)
         t = np.bincount(at[np.concatenate([own, own])], minlength=len(every))
         order, bounds = _by_group(every, groups)
         rows = []
@@ -183,8 +183,7 @@ def _score_rows(shared, groups: int, size: int, totals: tuple[int, int]):
             single = c[word]
             p = (single + 1) / (total + size + 2)
             losses.append(-np.add.reduceat(np.log((c[pair] + MASS * p[x.w]) / (single[x.v] + MASS)), starts) / x.sizes)
-        ids = [None if key == NO_ID else key for key in chunk.ids.tolist()]
-        columns = (pa.array(ids, pa.int64()), pa.array(x.sizes - 1, pa.int64()), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[1] - losses[0]))
+        columns = (pa.array(chunk.keys(), pa.int64()), pa.array(x.sizes - 1, pa.int64()), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[1] - losses[0]))
         return pa.table(list(columns), names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return run
@@ -218,9 +217,9 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int | No
     groups = groups_of(chunks)
 
     def ids_of(chunk: Chunk, _: dict) -> pa.Table:
-        return pa.table({"chunk": pa.array([chunk.number] * len(chunk.ids), pa.int64()), "doc_id": pa.array(chunk.ids, pa.int64())})
+        return pa.table({"chunk": pa.array([chunk.number] * len(chunk.ids), pa.int64()), "doc_id": pa.array(chunk.keys(), pa.int64())})
 
-    slim = chunks.select("chunk", "ids", *(F.lit(b"").alias(c) for c in ("sizes", "data", "rest")))
+    slim = chunks.select("chunk", "ids", *(F.lit(b"").alias(c) for c in ("sizes", "data", "rest")), F.lit(0).alias("bytes"))
     members = ask(slim, None, ids_of, "chunk long, doc_id long")
     wanted = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     hits = members.join(wanted, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_set("doc_id").alias("ids"))  # a chunk's own ids at most

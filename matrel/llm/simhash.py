@@ -113,6 +113,26 @@ def pivot_distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots], 1)
 
 
+def _coordinate(words: int) -> np.dtype:
+    """The kind of number that holds a distance."""
+    return np.dtype(np.uint8 if 64 * words < 256 else "<u2")
+
+
+def with_pivots(classes: DataFrame, words: int) -> DataFrame:
+    """The pivot distance table: classes (with a column fp) and at, the distances of fp to all pivots, computed here once."""
+    names = classes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, width = _splitmix(PIVOTS * words).reshape(PIVOTS, words), PIVOTS * _coordinate(words).itemsize
+        for batch in batches:
+            fp = np.frombuffer(b"".join(batch.column(names.index("fp")).to_pylist()), _FP).reshape(-1, words)
+            raw = pivot_distances(fp, pivots).astype(_coordinate(words)).tobytes() if len(fp) else b""
+            at = pa.array([raw[k : k + width] for k in range(0, len(raw), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, at], names=[*names, "at"])
+
+    return classes.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in classes.dtypes) + ", at binary")
+
+
 def _keys(fp: np.ndarray, tables: list[list[tuple[int, int]]]) -> np.ndarray:
     """Rows x tables: the key of a row in a table (its bits, 63 at most)."""
     out = np.zeros((len(fp), len(tables)), np.int64)
@@ -128,10 +148,11 @@ def _keys(fp: np.ndarray, tables: list[list[tuple[int, int]]]) -> np.ndarray:
     return out
 
 
-def link_block(key: np.ndarray, fp: np.ndarray, first: np.ndarray, pivots: np.ndarray, distance: int) -> np.ndarray:
-    """Root position of each row of a block sorted by (key, first pivot's distance): a forest of the links inside keys."""
+def link_block(key: np.ndarray, fp: np.ndarray, at: np.ndarray, distance: int, tally: dict | None = None) -> np.ndarray:
+    """Root position of each row of a block sorted by (key, first pivot's distance): a forest of the links inside keys.
+    at: rows x pivots, their distances. tally gets the numbers of pairs met, discarded by coordinates, and verified."""
     forest = Forest(len(key))
-    coordinates = None
+    first, coordinates = at[:, 0].astype(np.int16), at.astype(np.int16)
     live = np.arange(len(key))
     step = 1
     while True:
@@ -145,32 +166,36 @@ def link_block(key: np.ndarray, fp: np.ndarray, first: np.ndarray, pivots: np.nd
         apart = forest.label[i] != forest.label[j]
         i, j = i[apart], j[apart]
         if len(i):
-            if coordinates is None:
-                coordinates = pivot_distances(fp, pivots)
             for a in range(0, len(i), 1 << 18):
                 x, y = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
                 keep = np.abs(coordinates[x] - coordinates[y]).max(axis=1) <= distance
+                if tally is not None:
+                    for name, n in (("met", len(x)), ("discarded", int((~keep).sum())), ("verified", int(keep.sum()))):
+                        tally[name] = tally.get(name, 0) + n
                 x, y = x[keep], y[keep]
                 keep = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= distance
                 forest.add(x[keep], y[keep])
         step += 1
 
 
-ROWS = "tab int, key long, first short, rep long, fp binary"
+ROWS = "tab int, key long, first short, rep long, fp binary, at binary"
+
+
+def _distances(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _coordinate(words)).reshape(-1, PIVOTS)
 
 
 def _table_rows(tables: list, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = _splitmix(PIVOTS * words).reshape(PIVOTS, words)[:1]
         for batch in batches:
             for a in range(0, batch.num_rows, 4000):
                 part = batch.slice(a, 4000)
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), _FP).reshape(-1, words)
                 n = len(fp)
                 key = _keys(fp, tables)
-                first = pivot_distances(fp, pivot)[:, 0]
+                first = pa.array(_distances(part.column(2), words)[:, 0].astype(np.int16))
                 for t in range(len(tables)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(key[:, t]), pa.array(first), part.column(0), part.column(1)], names=["tab", "key", "first", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(key[:, t]), first, *part.columns[:3]], names=["tab", "key", "first", "rep", "fp", "at"])
 
     return run
 
@@ -179,18 +204,17 @@ def _link_rows(distance: int, words: int):
     """Arrow function over rows sorted by (tab, key, i, j, first): (rep, root) for rows that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = _splitmix(PIVOTS * words).reshape(PIVOTS, words)
         held: list[tuple] = []
 
-        def compare(group, first, rep, fp):
+        def compare(group, at, rep, fp):
             change = np.any(np.stack([np.diff(g, prepend=g[:1]) != 0 for g in group]), axis=0)
             run_id = np.cumsum(change)
             size = np.bincount(run_id)
             keep = size[run_id] > 1
             if not keep.any():
                 return None
-            run_id, first, rep, fp = run_id[keep], first[keep], rep[keep], fp[keep]
-            root = link_block(run_id, fp, first, pivots, distance)
+            run_id, at, rep, fp = run_id[keep], at[keep], rep[keep], fp[keep]
+            root = link_block(run_id, fp, at, distance)
             out = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]])], names=["rep", "root"]) if len(out) else None
 
@@ -203,17 +227,17 @@ def _link_rows(distance: int, words: int):
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             fp = np.frombuffer(b"".join(batch.column(6).to_pylist()), _FP).reshape(-1, words)
-            held.append((cols[0], cols[1], cols[2], cols[3], cols[4].astype(np.int16), cols[5], fp))
+            held.append((*cols[:4], _distances(batch.column(7), words), cols[5], fp))
             if sum(len(h[0]) for h in held) >= CHUNK_ROWS:
-                group, first, rep, fp = merged()
+                group, at, rep, fp = merged()
                 ends = np.flatnonzero(np.any(np.stack([np.diff(g) != 0 for g in group]), axis=0)) + 1
                 cut = int(ends[-1]) if len(ends) else 0  # the last group may go on
-                if cut and (got := compare([g[:cut] for g in group], first[:cut], rep[:cut], fp[:cut])) is not None:
+                if cut and (got := compare([g[:cut] for g in group], at[:cut], rep[:cut], fp[:cut])) is not None:
                     yield got
-                held = [(*(g[cut:] for g in group), first[cut:], rep[cut:], fp[cut:])]
+                held = [(*(g[cut:] for g in group), at[cut:], rep[cut:], fp[cut:])]
         if held:
-            group, first, rep, fp = merged()
-            if len(rep) and (got := compare(group, first, rep, fp)) is not None:
+            group, at, rep, fp = merged()
+            if len(rep) and (got := compare(group, at, rep, fp)) is not None:
                 yield got
         held.clear()
         release()
@@ -235,7 +259,7 @@ def in_pieces(rows: DataFrame, key: list[str], most: int, tag: str) -> DataFrame
 
 def linked_classes(rows: DataFrame, distance: int, words: int) -> DataFrame:
     """(node, component) of the classes that link, from their table rows (ROWS)."""
-    rows = in_pieces(rows, ["tab", "key"], GROUP_ROWS, "fingerprint-keys").select("tab", "key", "i", "j", "first", "rep", "fp")
+    rows = in_pieces(rows, ["tab", "key"], GROUP_ROWS, "fingerprint-keys").select("tab", "key", "i", "j", "first", "rep", "fp", "at")
     rows = rows.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "first")
     return components(rows.mapInArrow(_link_rows(distance, words), "rep long, root long").distinct())
 
@@ -247,7 +271,7 @@ def link_fingerprints(fps: DataFrame, distance: int, tables: list, words: int =
     Each distinct fingerprint is compared once, whatever the number of its documents.
     """
     cls = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cls = materialize(cls.select("rep", "fp"), "fingerprint-classes")
+    cls = materialize(with_pivots(cls.select("rep", "fp"), words), "fingerprint-classes")
     comp = linked_classes(cls.mapInArrow(_table_rows(tables, words), ROWS), distance, words)
     known = cls.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
@@ -311,15 +335,14 @@ def _sketches(size: int, words: int):
 
 def _least_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = _splitmix(PIVOTS * words).reshape(PIVOTS, words)[:1]
         for batch in batches:
             for a in range(0, batch.num_rows, 4000):
                 part = batch.slice(a, 4000)
                 n = part.num_rows
-                first = pivot_distances(np.frombuffer(b"".join(part.column(1).to_pylist()), _FP).reshape(-1, words), pivot)[:, 0]
-                key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64).reshape(n, TABLES)
+                first = pa.array(_distances(part.column(2), words)[:, 0].astype(np.int16))
+                key = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64).reshape(n, TABLES)
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(key[:, t])), pa.array(first), part.column(0), part.column(1)], names=["tab", "key", "first", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(key[:, t])), first, *part.columns[:3]], names=["tab", "key", "first", "rep", "fp", "at"])
 
     return run
 
@@ -404,8 +427,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, size: int = 5,
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fps = materialize(text.mapInArrow(_sketches(size, words), "doc_id long, same binary, fp binary, keys binary"), "fingerprints")
     cls = fps.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    cls = materialize(cls.select("rep", "fp", "keys", "same"), "fingerprint-classes")
-    wide = linked_classes(cls.mapInArrow(_least_rows(words), ROWS), similarity_distance(similarity, 64 * words), words)
+    cls = materialize(with_pivots(cls.select("rep", "fp", "keys", "same"), words), "fingerprint-classes")
+    wide = linked_classes(cls.select("rep", "fp", "at", "keys").mapInArrow(_least_rows(words), ROWS), similarity_distance(similarity, 64 * words), words)
     members = materialize(cls.join(wide, F.col("rep") == F.col("node")).select("rep", "same", "component"), "near-members")
     sets = text.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "rep long, same binary, hashes binary")
     sets = sets.dropDuplicates(["rep", "same"]).join(in_pieces(members, ["component"], PIECE_SETS, "near-pieces"), ["rep", "same"])

@@ -7,10 +7,10 @@ the document with the smallest id that holds it is its owner; owners keep it, al
    windows have equal anchors, so windows can be compared anchor by anchor. The hash of each distinct anchor of a chunk
    is sent out, and one bit comes back: whether another chunk holds it too. Windows under other anchors are unique.
 2. Index. The remaining windows go out as the byte runs that hold them, each distinct run of a chunk once, with the
-   smallest id that holds it. A group takes them in batches of rising id. A batch gets a suffix array (its window
-   suffixes in byte order, cut at 50 bytes, as longer matches are chains of these), which is merge-scanned against the
-   arrays of the existing levels; what is new becomes a level, and levels of equal size class merge, so n windows are in
-   O(log n) arrays and each is moved O(log n) times.
+   smallest id that holds it. A group takes them in batches of rising id. A batch gets a suffix array (positions in the
+   order of its suffixes, cut at 50 bytes, as longer matches are chains of these), which is merge-scanned against the
+   arrays of the existing levels; what is new becomes a level, and levels of equal size class merge, so n suffixes are in
+   O(log n) arrays and each is moved O(log n) times. Levels live as long as the task of their group.
 3. Decision. One bit for each window of a run comes back: whether the id sent with it owns the window. The chunk
    removes the rest, judged on the input text.
 
@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ANSWER, ANSWER_ARROW, NO_ID, Chunk, ask, groups_of, write_chunks
+from .chunks import ANSWER, ANSWER_ARROW, Chunk, ask, groups_of, write_chunks
 from .common import materialize, read_table
 
 #: Bytes of a repeated string, fixed by the contract; bytes of an anchor.
 LENGTH, ANCHOR = 50, 16
 #: Positions that are hashed at a time, and windows of a batch of the index.
-BLOCK, BATCH = 1 << 20, 1 << 19
+BLOCK, BATCH = 1 << 20, 1 << 16
 _ANCHORS, _OWNED = 0, 1
 
 
@@ -90,10 +90,9 @@ class _Asked:
 
     def __init__(self, chunk: Chunk, groups: int, length: int):
         self.chunk, self.groups, self.length = chunk, groups, length
-        known = chunk.ids != NO_ID
         first, size, h = window_runs(chunk.data, chunk.starts, chunk.ends, length)
         doc = np.searchsorted(chunk.ends, first, side="right")
-        keep = known[doc] if len(doc) else np.zeros(0, bool)
+        keep = chunk.known[doc] if len(doc) else np.zeros(0, bool)
         self.first, self.size, self.h, self.doc = first[keep], size[keep], h[keep], doc[keep]
         self.anchors, self.which = np.unique(self.h, return_inverse=True)
         group = (self.anchors % np.uint64(groups)).astype(np.int64)
@@ -158,40 +157,64 @@ class _Asked:
 
 
 class SuffixLevels:
-    """The levels: sorted arrays of distinct windows with the smallest id of each; batches come by rising id."""
+    """The levels: arrays of positions in one text, each in the byte order of the suffixes that start there (cut at length
+    bytes), with the smallest id of each. Batches come by rising id; no suffix is in two levels."""
 
-    def __init__(self, length: int):
-        self.kind = np.dtype(("S", length))
+    def __init__(self, text: np.ndarray, length: int):
+        self.windows, self.kind = np.lib.stride_tricks.sliding_window_view(text, length), np.dtype(("S", length))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.matched = self.merged = 0  # suffixes of batches that a level had; merges of levels
 
-    def scan(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The owner of each window of a batch (rows of bytes, by rising id), which is then added."""
-        keys = np.ascontiguousarray(windows).view(self.kind).ravel()
+    def suffixes(self, at: np.ndarray) -> np.ndarray:
+        return self.windows[at].view(self.kind).ravel()
+
+    def scan(self, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The owner of each suffix of a batch (positions, by rising id), which is then added."""
+        keys = self.suffixes(at)
         order = np.argsort(keys, kind="stable")  # the batch's suffix array
-        sorted_keys = keys[order]
         new = np.ones(len(order), bool)
-        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+        keys = keys[order]
+        new[1:] = keys[1:] != keys[:-1]
         run = np.cumsum(new) - 1
-        heads, owner = sorted_keys[new], ids[order[new]]
+        heads, place, owner = keys[new], at[order[new]], ids[order[new]]
         fresh = np.ones(len(heads), bool)
         for level, owners in self.levels:
-            at = np.minimum(np.searchsorted(level, heads), len(level) - 1)
-            same = level[at] == heads
-            owner[same] = np.minimum(owner[same], owners[at[same]])
-            fresh &= ~same
+            mine, theirs = self._common(heads, level)
+            owner[mine] = np.minimum(owner[mine], owners[theirs])
+            fresh[mine] = False
+        self.matched += int((~fresh).sum())
         out = np.empty(len(order), np.int64)
         out[order] = owner[run]
         if fresh.any():
-            self._push(heads[fresh], owner[fresh])
+            self._push(place[fresh], owner[fresh])
         return out
 
-    def _push(self, keys: np.ndarray, owners: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]).bit_length() <= len(keys).bit_length():
+    def _common(self, heads: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in heads, places in level) of equal suffixes: a scan over the merge of both orders, in which equal ones
+        are neighbours. Stretches of the level that lie between two heads far apart are not read: of a level that is much
+        longer than the batch only a stretch of its suffixes around each head's place is merged."""
+        if len(level) > 8 * len(heads):
+            low, high = np.zeros(len(heads), np.int64), np.full(len(heads), len(level))
+            while (wide := high > low).any():  # the place of each head, all heads in step
+                mid = (low + high) // 2
+                less = np.zeros(len(heads), bool)
+                less[wide] = self.suffixes(level[mid[wide]]) < heads[wide]
+                low, high = np.where(wide & less, mid + 1, low), np.where(wide & ~less, mid, high)
+            part = np.unique(np.minimum(low, len(level) - 1))
+        else:
+            part = np.arange(len(level))
+        both = np.concatenate([self.suffixes(level[part]), heads])
+        order = np.argsort(both, kind="stable")  # a merge of two runs; of equal ones the level's comes first
+        same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+        return order[same + 1] - len(part), part[order[same]]
+
+    def _push(self, at: np.ndarray, owners: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1][0]).bit_length() <= len(at).bit_length():
             more, their = self.levels.pop()
-            both, who = np.concatenate([more, keys]), np.concatenate([their, owners])
-            order = np.argsort(both, kind="stable")  # a merge of two sorted runs; no window is in both
-            keys, owners = both[order], who[order]
-        self.levels.append((keys, owners))
+            both, who = np.concatenate([more, at]), np.concatenate([their, owners])
+            order = np.argsort(self.suffixes(both), kind="stable")  # a merge of two runs
+            at, owners, self.merged = both[order], who[order], self.merged + 1
+        self.levels.append((at, owners))
 
 
 def _anchor_answers(table: pa.Table) -> pa.Table:
@@ -218,8 +241,7 @@ def _owner_answers(length: int, batch: int):
         first = order[lead == order]  # the first run of each content, by rising id
         del seen
         mask = np.zeros(len(size), np.uint64)
-        levels = SuffixLevels(length)
-        view = np.lib.stride_tricks.sliding_window_view(raw, length)
+        levels = SuffixLevels(raw, length)
         edges = np.cumsum(size[first])
         a = 0
         while a < len(first):
@@ -228,7 +250,7 @@ def _owner_answers(length: int, batch: int):
             n = size[part]
             j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             who = np.repeat(every_id[part], n)
-            owned = levels.scan(view[np.repeat(start[part], n) + j], who) == who
+            owned = levels.scan(np.repeat(start[part], n) + j, who) == who
             mask[part] = np.bitwise_or.reduceat(owned.astype(np.uint64) << j.astype(np.uint64), np.cumsum(n) - n)
             a = b
         # an equal run of another id owns nothing; one of the same id owns the same
@@ -245,12 +267,12 @@ def _owner_answers(length: int, batch: int):
 def _result(chunk: Chunk, gone: np.ndarray, with_text: bool, carry: tuple[str, ...] = ()) -> pa.Table:
     ids, sizes, lost, spans, digests, texts = [], [], [], [], [], []
     raw = np.frombuffer(chunk.data, np.uint8)
-    for key, a, b in zip(chunk.ids.tolist(), chunk.starts.tolist(), chunk.ends.tolist()):
+    for key, a, b in zip(chunk.keys(), chunk.starts.tolist(), chunk.ends.tolist()):
         part = gone[a:b]
         n = int(np.count_nonzero(part))
         whole = chunk.data[a:b]
         left = raw[a:b][~part].tobytes() if n else whole
-        ids.append(None if key == NO_ID else key)
+        ids.append(key)
         sizes.append(b - a)
         lost.append(n)
         spans.append(int(np.count_nonzero(part[1:] & ~part[:-1]) + part[0]) if n else 0)

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import compare
@@ -114,17 +115,48 @@ def test_suffix_dedup(spark):
 
 def test_suffix_levels():
     rng = np.random.default_rng(0)
-    levels, seen = suffix_dedup.SuffixLevels(8), {}
+    text = rng.integers(0, 3, 3000).astype(np.uint8)
+    levels, seen = suffix_dedup.SuffixLevels(text, 8), {}
     for batch in range(40):
-        w = rng.integers(0, 3, (rng.integers(1, 40), 8)).astype(np.uint8)
-        ids = np.sort(rng.integers(batch * 2, batch * 2 + 2, len(w)))
-        owner = levels.scan(w, ids)
-        for row, i in zip(w, ids):
-            seen[row.tobytes()] = min(seen.get(row.tobytes(), i), i)
-        assert [seen[r.tobytes()] for r in w] == owner.tolist()
+        at = rng.integers(0, 2990, rng.integers(1, 60 if batch % 7 else 500))
+        ids = np.sort(rng.integers(batch * 2, batch * 2 + 2, len(at)))
+        owner = levels.scan(at, ids)
+        rows = [text[x : x + 8].tobytes() for x in at.tolist()]
+        for row, i in zip(rows, ids):
+            seen[row] = min(seen.get(row, i), i)
+        assert [seen[r] for r in rows] == owner.tolist()
         sizes = [len(k) for k, _ in levels.levels]
         assert all(a.bit_length() > b.bit_length() for a, b in itertools.pairwise(sizes))
-    assert sum(sizes) == len(seen)
+        for level, _ in levels.levels:  # in the order of their suffixes
+            assert [text[x : x + 8].tobytes() for x in level] == sorted(text[x : x + 8].tobytes() for x in level)
+    assert sum(sizes) == len(seen) and levels.merged > 5 and levels.matched > 100
+
+
+def test_query_meets_and_merges_levels(spark, monkeypatch):
+    """A group of the query at sf0.1 has several batches: later ones find suffixes in levels of earlier ones."""
+    sf, seen = "/root/testdata/sf0.1", []
+    docs = common.read_table(spark, sf, "documents")
+    table = chunks.write_chunks(docs)
+    groups = chunks.groups_of(table)
+    asked = chunks.ask(table, None, lambda c, _: suffix_dedup._Asked(c, groups, 50).anchor_rows(), chunks.ANSWER)
+    shared = common.materialize(asked.groupBy("grp").applyInArrow(suffix_dedup._anchor_answers, chunks.ANSWER), "anchors")
+
+    def runs(chunk, answers):
+        x = suffix_dedup._Asked(chunk, groups, 50)
+        x.shared(answers)
+        return x.segment_rows()
+
+    rows = chunks.ask(table, shared, runs, "chunk long, grp int, ids binary, sizes binary, data binary").where("grp = 0").toArrow()
+    plain = suffix_dedup.SuffixLevels
+
+    class Spy(plain):
+        def __init__(self, *a):
+            super().__init__(*a)
+            seen.append(self)
+
+    monkeypatch.setattr(suffix_dedup, "SuffixLevels", Spy)
+    suffix_dedup._owner_answers(50, suffix_dedup.BATCH)(rows)
+    assert seen[0].matched > 0 and (len(seen[0].levels) > 1 or seen[0].merged > 0)
 
 
 # ---- 3 ------------------------------------------------------------------------------------------------------------------
@@ -568,6 +600,18 @@ def test_simhash(spark, monkeypatch):
     assert simhash.simhash_components(docs_of(spark, [])).count() == 0
 
 
+def test_pivots_discard_pairs_and_lose_none():
+    rng = np.random.default_rng(1)
+    near = rng.integers(0, 2**63, 40).astype(np.uint64)
+    fp = np.concatenate([near, near ^ (np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64)), rng.integers(0, 2**63, 400).astype(np.uint64)])[:, None]
+    at = simhash.pivot_distances(fp, simhash._splitmix(simhash.PIVOTS).reshape(-1, 1))
+    order, tally = np.argsort(at[:, 0], kind="stable"), {}
+    root = simhash.link_block(np.zeros(len(fp), np.int64), fp[order], at[order], 3, tally)
+    want = {(i, j) for i in range(len(fp)) for j in range(i) if np.bitwise_count(fp[order[i]] ^ fp[order[j]]).sum() <= 3}
+    assert want and all(root[i] == root[j] for i, j in want)
+    assert tally["discarded"] > 0.9 * tally["met"] and tally["met"] == tally["discarded"] + tally["verified"]
+
+
 def test_block_tables_lose_no_pair():
     rng = np.random.default_rng(0)
     tables = simhash.block_tables(64, 3, 5)
@@ -682,3 +726,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r["round_trip"] for r in kept[4].values())
     assert len(C.run(spark, sf).select("doc_id").distinct().collect()) == len(kept[4])
     assert json.dumps([n for n, _ in C.STAGES])
+
+
+def test_chunks_of_a_task_go_round_a_few_buckets(spark):
+    numbers = [n for part in (0, 3, 70_000) for n in itertools.islice(chunks.chunk_numbers(part, 51), 40)]
+    assert len(set(numbers)) == len(numbers)
+    got = [r["b"] for r in spark.createDataFrame([(n,) for n in numbers], "n long").selectExpr("n", "pmod(hash(n), 51) as b").collect()]
+    by = dict(zip([r["n"] for r in spark.createDataFrame([(n,) for n in numbers], "n long").collect()], got))
+    assert chunks.bucket_of(np.array(numbers), 51).tolist() == [by[n] for n in numbers]
+    for part in (0, 3, 70_000):
+        assert len({by[n] for n in numbers if n >> 32 == part}) == chunks.TASK_FILES
+
+
+def test_chunk_table_leaves_no_name_and_keeps_every_id(spark):
+    low = np.iinfo(np.int64).min
+    rows = [(i, f"text {i}") for i in range(20)] + [(low, "least"), (None, None), (5, "again")]
+    before = len(spark.catalog.listTables())
+    t = chunks.write_chunks(docs_of(spark, rows), chunk_bytes=30)
+    assert len(spark.catalog.listTables()) == before
+    got = chunks.ask(t, None, lambda c, _: pa.table({"id": pa.array(c.keys(), pa.int64())}), "id long").collect()
+    assert sorted(str(r["id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert chunks.groups_of(t) >= 3
