@@ -40,7 +40,7 @@ CHUNK_ROWS = 65_536
 #: probability s, so one of 0.8 is in no common table with probability (1 - 0.8 ** 3) ** 32 = 1e-10.
 TABLES, LEAST = 32, 3
 #: Shingle sets of one group that are compared in one piece.
-PIECE_SETS = 1024
+PIECE_SETS = 256
 
 _FP = np.dtype("<u8")
 
