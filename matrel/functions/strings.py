@@ -13,10 +13,12 @@ def compare_no_case(a: Column, b: Column) -> Column:
 
 
 def parse_name_values(text: Column) -> Column:
-    """Map of a list of name=value, parted by comma, semicolon or space; a bare name is "true"."""
+    """Map of a list of name=value, parted by comma, semicolon or space; a bare name is "true"; of a name that comes again
+    the last value counts."""
     parts = F.filter(F.split(text, "[,; ]+"), lambda p: p != "")
     pair = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(F.instr(p, "=") > 0, F.trim(F.regexp_replace(p, "^[^=]*=", ""))).otherwise(F.lit("true")).alias("v")))
-    return F.map_from_entries(pair)
+    last = F.filter(pair, lambda p, i: ~F.exists(F.slice(pair, i + 2, F.greatest(F.size(pair), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
 
 
 def true_string(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.hashing import dealt
+
 
 def observations(df: DataFrame, key: str, features: list[str] | str, order: list[str] | None = None) -> DataFrame:
     """Observation form; order tells the rows of a key apart (row_number, as no id column is trusted to be dense)."""
@@ -54,7 +56,7 @@ def matches_colour(colour: Column, wanted: int) -> Column:
 
 
 def random_colours(keys: DataFrame, folds: int, seed: int = 0) -> DataFrame:
-    return keys.select("key").distinct().withColumn("colour", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(folds)).cast("int"))
+    return keys.select("key").distinct().withColumn("colour", dealt(folds, seed, "key"))
 
 
 def of_colour(table: DataFrame, colours: DataFrame, wanted: int) -> DataFrame:

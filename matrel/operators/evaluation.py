@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import dealt
 from ..functions.stats import running_total
 
 
@@ -106,7 +107,7 @@ class GridSearch:
 
 
 def fold_split(df: DataFrame, key: str, folds: int, held: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    fold = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds))
+    fold = dealt(folds, seed, key)
     return df.where(fold != held), df.where(fold == held)
 
 

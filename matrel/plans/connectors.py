@@ -3,10 +3,14 @@ shared folder."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .. import model as M
 from ..functions import arrays as A
+from ..functions import images as V
+from ..functions.hashing import uniform_sql
 from ..operators import sampling as P
 from ..sources import binary as B
 from ..sources import text as T
@@ -56,22 +60,26 @@ def record_store(spark, sf_dir):
     return s.defragment("balance", 2)
 
 
-@query("random_records")
+@query("random_records", f"""with r as (select range as id, cast(1 + floor({uniform_sql(0, "range", "'n'")} * 3) as bigint) as n from range(1000)), o as (select id, unnest(range(0, n)) as obs from r), f as (select id, obs, unnest(range(0, 25)) as feat from o)
+    select 'REC' || lpad(cast(id as varchar), 5, '0') as key, cast(obs as integer) as obs, cast(feat as integer) as feat, round({uniform_sql(0, "id", "obs", "feat")} * 2.0 - 1.0, 6) as v from f""")
 def random_records(spark, sf_dir):
     return M.cells(T.random_table(spark, 1000, 25, 1, 3)).select("key", "obs", "feat", F.round("v", 6).alias("v"))
 
 
-@query("bootstrap_weights")
+_POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n)) for n in range(1, 12)]
+
+
+@query("bootstrap_weights", f"select o_orderkey, cast({' + '.join(f'(case when u >= {t!r} then 1 else 0 end)' for t in _POISSON)} as double) as weight from (select o_orderkey, {uniform_sql(1, 'o_orderkey')} as u from orders)")
 def bootstrap_weights(spark, sf_dir):
     return P.bootstrap(read(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"), 1)
 
 
-@query("random_folds")
+@query("random_folds", f"select distinct cast(o_orderkey as varchar) as key, cast(floor({uniform_sql(0, 'o_orderkey')} * 5) as integer) as colour from orders")
 def random_folds(spark, sf_dir):
     return M.random_colours(read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key")), 5)
 
 
-@query("shuffled_top")
+@query("shuffled_top", f"select o_orderkey from orders order by {uniform_sql(3, 'o_orderkey')} limit 50")
 def shuffled_top(spark, sf_dir):
     return P.without_replacement(read(spark, sf_dir, "orders").select("o_orderkey"), 50, F.col("o_orderkey"), 3)
 
@@ -94,10 +102,30 @@ def stack_mean_median(spark, sf_dir):
 
 @query("image_region_sums", "select cast(vec_id as varchar) as key, round(list_sum(list_transform([i for i in range(0, 64) if i // 8 between 2 and 5 and i % 8 between 1 and 4], lambda i: cast(embedding[i + 1] as double))), 4) + 0.0 as s from embeddings")
 def image_region_sums(spark, sf_dir):
-    """The sum of rows 2 to 5 and columns 1 to 4 of each 8 x 8 image, by four corners of its prefix sums."""
-    x = F.col("x")
-    upto = lambda r, c: A.total(F.filter(x, lambda v, i: (F.floor(i / 8) < r) & (i % 8 < c)))
-    return rounded(vectors(spark, sf_dir).select("key", F.round(upto(6, 5) - upto(2, 5) - upto(6, 1) + upto(2, 1), 4).alias("s")), "s")
+    """The sum of rows 2 to 5 and columns 1 to 4 of each 8 x 8 image."""
+    return rounded(vectors(spark, sf_dir).select("key", F.round(A.total(V.region(F.col("x"), 8, 2, 6, 1, 5)), 4).alias("s")), "s")
+
+
+_REGION = "list_transform([i for i in range(0, 64) if i // 8 between 2 and 5 and i % 8 between 1 and 4], lambda i: cast(embedding[i + 1] as double))"
+
+
+@query("image_region_moments", f"select key, round(list_avg(x), 5) + 0.0 as mean, round(list_avg(list_transform(x, lambda v: v * v)), 5) + 0.0 as energy, round(list_avg(list_transform(x, lambda v: v * v)) - list_avg(x) * list_avg(x), 5) + 0.0 as variance from (select cast(vec_id as varchar) as key, {_REGION} as x from embeddings)")
+def image_region_moments(spark, sf_dir):
+    """Mean, energy and variance of a filter response (the vector as an 8 x 8 image) over a region."""
+    m = V.region_moments(V.region(F.col("x"), 8, 2, 6, 1, 5))
+    return rounded(vectors(spark, sf_dir).select("key", *(m[c].alias(c) for c in ("mean", "energy", "variance"))), "mean", "energy", "variance")
+
+
+@query("image_components", """with recursive p as (select vec_id as image, i // 8 as r, i % 8 as c, cast(embedding[i + 1] > 0 as integer) as label from (select *, unnest(range(0, 64)) as i from embeddings)),
+    e as (select a.image, a.r * 8 + a.c as s, b.r * 8 + b.c as t from p a join p b on a.image = b.image and a.label = b.label and abs(a.r - b.r) + abs(a.c - b.c) = 1),
+    w(image, s, t) as (select image, r * 8 + c, r * 8 + c from p union select w.image, w.s, e.t from w join e on w.image = e.image and w.t = e.s)
+    select image, cast(count(distinct m) as bigint) as components, cast(max(n) as bigint) as largest from (select image, m, count(*) as n from (select image, s, min(t) as m from w group by image, s) group by image, m) group by image""")
+def image_components(spark, sf_dir):
+    """Regions of one sign in each vector as an 8 x 8 image: how many, and the size of the largest."""
+    cell = vectors(spark, sf_dir).select(F.col("vec_id").alias("image"), F.posexplode("x").alias("i", "v"))
+    pixels = cell.select("image", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), (F.col("v") > 0).cast("int").alias("label"))
+    size = V.components(pixels, 8).groupBy("image", "component").agg(F.count("*").alias("n"))
+    return size.groupBy("image").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
 
 
 @query("network_scores")

@@ -64,9 +64,7 @@ MOMENTS = {
 def _roll(spark, sf_dir, op):
     """Every vector of a label is a row of the label's record."""
     obs = vectors(spark, sf_dir).select(F.col("label").cast("string").alias("key"), F.col("vec_id").cast("int").alias("obs"), "x")
-    cell = M.cells(obs)
-    found = cell.groupBy("key", "feat").agg(O.ROLLUPS[op](F.col("v")).alias("v"))
-    return rounded(found, "v")
+    return rounded(M.cells(O.roll_up(obs, op)).drop("obs"), "v")
 
 
 for _op, _sql in MOMENTS.items():

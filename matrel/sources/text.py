@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..functions.strings import pad, parse_vector
 
 
@@ -51,10 +52,9 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def random_table(spark: SparkSession, records: int = 1000, features: int = 25, least_rows: int = 1, most_rows: int = 1, seed: int = 0) -> DataFrame:
     """Keys REC00000 and on, values uniform in [-1, 1]; all by hash, so any part can be made again."""
-    u = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = F.lit(least_rows) + F.floor(u(F.col("id"), F.lit("n")) * (most_rows - least_rows + 1)).cast("int")
+    rows = F.lit(least_rows) + F.floor(uniform(seed, F.col("id"), F.lit("n")) * (most_rows - least_rows + 1)).cast("int")
     keyed = spark.range(records).select("id", F.concat(F.lit("REC"), pad(F.col("id").cast("string"), 5)).alias("key"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("obs"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: u(F.col("id"), F.col("obs"), i) * 2.0 - 1.0)
+    x = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: uniform(seed, F.col("id"), F.col("obs"), i) * 2.0 - 1.0)
     return keyed.select("key", "obs", x.alias("x"))
 
 
