@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.stats import sufficient
+from ..functions.stats import running_total, sufficient
 from ..storage import cut
 
 
@@ -272,22 +272,27 @@ class Tree(Classifier):
         return F.when(F.get(x, F.lit(f)) < F.lit(float(t)), self.scores(x, 2 * at)).otherwise(self.scores(x, 2 * at + 1))
 
 
-def candidate_cuts(df: DataFrame, at_most: int = 1000, exact_up_to: int = 100_000) -> list[np.ndarray]:
-    """Split points of every feature: midpoints of neighbouring distinct values, at most at_most of them, by quantiles of
-    the distinct values. With more distinct values than exact_up_to, quantiles are approximate. One query for all."""
+def candidate_cuts(df: DataFrame, at_most: int = 1000) -> list[np.ndarray]:
+    """Split points of every feature: midpoints of neighbouring distinct values, at most at_most of them, evenly spaced in
+    the order of the distinct values. Distinct values are numbered by running sums over range partitions, and only those
+    on either side of a chosen midpoint come to the driver."""
     d = _dimension(df)
-    cell = df.select(F.posexplode("x").alias("i", "v"))
-    n = {r["i"]: r["n"] for r in cell.groupBy("i").agg(F.approx_count_distinct("v").alias("n")).collect()}
-    small = [i for i in range(d) if n.get(i, 0) <= exact_up_to]
-    values: dict[int, np.ndarray] = {r["i"]: np.sort(np.array(r["vs"])) for r in cell.where(F.col("i").isin(small)).groupBy("i").agg(F.collect_set("v").alias("vs")).collect()} if small else {}
-    large = [i for i in range(d) if i not in small]
-    if large:
-        shares = np.linspace(0, 1, at_most + 2).tolist()
-        values |= {r["i"]: np.unique(r["q"]) for r in cell.where(F.col("i").isin(large)).groupBy("i").agg(F.percentile_approx("v", shares, 10 * at_most).alias("q")).collect()}
-    out = []
+    one = F.lit(1).alias("one")
+    distinct = cut(df.select(F.posexplode("x").alias("i", "v")).where("v is not null").distinct().select(F.struct("i", "v").alias("at"), one))
+    sizes = {r["i"]: r["count"] for r in distinct.groupBy(F.col("at.i").alias("i")).count().collect()}
+    wanted, first = [], 0
     for i in range(d):
-        mid = (values[i][1:] + values[i][:-1]) / 2
-        out.append(mid if len(mid) <= at_most else mid[np.linspace(0, len(mid) - 1, at_most).astype(int)])
+        n = sizes.get(i, 0)
+        chosen = np.arange(n - 1) if n - 1 <= at_most else np.linspace(0, n - 2, at_most).astype(int)
+        wanted += [(i, k, int(first + c + side)) for k, c in enumerate(chosen.tolist()) for side in (0, 1)]
+        first += n
+    out = [np.zeros(0)] * d
+    if wanted:
+        places = df.sparkSession.createDataFrame(wanted, "i int, k int, place long")  # 2 at_most rows for each feature
+        ranked = running_total(distinct, "at", "one").select("at", (F.col("running") - 1).alias("place"))
+        found = ranked.join(F.broadcast(places), "place").groupBy("i", "k").agg(((F.min("at.v") + F.max("at.v")) / 2).alias("mid")).collect()
+        for i in range(d):
+            out[i] = np.array([m for _, m in sorted((r["k"], r["mid"]) for r in found if r["i"] == i)])
     return out
 
 
@@ -337,7 +342,7 @@ def fit_tree(df: DataFrame, classes: int, depth: int = 1, label: str = "label",
 
 
 def _interval(v: Column, cuts: np.ndarray) -> Column:
-    """How many cuts are at or under v, by binary search over a literal array."""
+    """How many cuts are at or under v, by binary search: nested conditions for few cuts, else halvings of a literal array."""
     if not len(cuts):
         return F.lit(0)
 
@@ -349,7 +354,16 @@ def _interval(v: Column, cuts: np.ndarray) -> Column:
 
     if len(cuts) <= 64:
         return search(0, len(cuts))
-    return F.size(F.filter(A.constant(cuts.tolist()), lambda c: c <= v))
+    table = A.constant(cuts.tolist())
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        mid = F.floor((low + high) / 2).cast("int")
+        above = (low < high) & (v >= F.element_at(table, F.least(mid + 1, F.lit(len(cuts)))))
+        return F.struct(F.when(above, mid + 1).otherwise(low).alias("low"), F.when((low < high) & ~above, mid).otherwise(high).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve)["low"]
 
 
 @dataclass

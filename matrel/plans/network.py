@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +15,16 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import learn as L
 from ..operators import tables as O
+from ..sources import binary as B
+from ..sources import models
 from ..sources import text as T
+from ..storage import cut
 
 #: name: (group, input ports, output ports, function (node, spark, inputs) -> outputs, default properties)
 REGISTRY: dict[str, tuple] = {}
 
 
-def register(kind: str, group: str, inputs: tuple[str, ...], outputs: tuple[str, ...], **defaults):
+def register(kind: str, group: str, inputs: tuple[str, ...], outputs: tuple[str, ...], /, **defaults):
     def keep(fn: Callable):
         REGISTRY[kind] = (group, inputs, outputs, fn, defaults)
         return fn
@@ -44,7 +49,7 @@ class Network:
         self.nodes: dict[str, Node] = {}
         self.edges: dict[tuple[str, str], tuple[str, str]] = {}  # (node, input port): (node, output port)
 
-    def add(self, name: str, kind: str, **properties) -> Node:
+    def add(self, name: str, kind: str, /, **properties) -> Node:
         if name in self.nodes:
             raise ValueError(f"a node {name} is there")
         if kind not in REGISTRY:
@@ -108,16 +113,38 @@ class Network:
         return out
 
     def update(self, spark: SparkSession, done: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Outputs with the keys that done lacks computed, those it has as they are."""
-        new = self.run(spark)
-        return {k: O.update_missing(df, done[k], lambda t: t) if k in done and "key" in df.columns else df for k, df in new.items()}
+        """Outputs with the keys that done lacks computed, those it has as they are. A node gets only the records of keys
+        that its outputs lack; adaptive nodes that are fitted stay as they are, others are fitted on all their input.
+        Nodes whose outputs have no keys (tables of results) run on everything."""
+        out: dict[str, DataFrame] = {}
+        for name in self.order():
+            node = self.nodes[name]
+            group, inputs, outputs, fn, _ = REGISTRY[node.kind]
+            given = {p: out["{}.{}".format(*self.edges[name, p])] for p in inputs if (name, p) in self.edges}
+            have = [done.get(f"{name}.{port}") for port in outputs]
+            keyed = bool(outputs) and all(d is not None and "key" in d.columns for d in have)
+            if not keyed:
+                out |= {f"{name}.{port}": df for port, df in fn(node, spark, given).items()}
+                continue
+            if group == "Adaptive" and node.model is None:
+                fn(node, spark, given)  # fits; what it would compute is lazy and not used
+            there = have[0].select("key").distinct()
+            lack = lambda df: df.join(there, "key", "left_anti") if "key" in df.columns else df  # noqa: B023, E731
+            new = fn(node, spark, {p: lack(df) for p, df in given.items()})
+            out |= {f"{name}.{port}": done[f"{name}.{port}"].unionByName(lack(df)) for port, df in new.items()}
+        return out
 
     def to_xml(self) -> str:
+        """The network with its properties and what its nodes have fitted."""
         root = ET.Element("network", title=self.title)
         for n in self.nodes.values():
             e = ET.SubElement(root, "node", name=n.name, type=n.kind)
             for k, v in n.properties.items():
-                ET.SubElement(e, "property", name=k).text = str(v)
+                if callable(v):
+                    raise TypeError(f"{n.name}: a function cannot be written")
+                ET.SubElement(e, "property", name=k).text = json.dumps(v) if isinstance(v, (list, dict)) else str(v)
+            if n.model is not None:
+                ET.SubElement(e, "model").text = models.to_json(n.model)
         for (t, i), (s, o) in self.edges.items():
             ET.SubElement(root, "connection", source=s, output=o, target=t, input=i)
         return ET.tostring(root, encoding="unicode")
@@ -129,7 +156,9 @@ class Network:
         for e in root.iter("node"):
             defaults = REGISTRY[e.get("type")][4]
             props = {p.get("name"): _typed(p.text or "", defaults.get(p.get("name"))) for p in e.iter("property")}
-            out.add(e.get("name"), e.get("type"), **props)
+            node = out.add(e.get("name"), e.get("type"), **props)
+            if (fitted := e.find("model")) is not None:
+                node.model = models.from_json(fitted.text)
         for e in root.iter("connection"):
             out.connect(e.get("source"), e.get("output"), e.get("target"), e.get("input"))
         return out
@@ -138,6 +167,8 @@ class Network:
 def _typed(text: str, default):
     if isinstance(default, bool):
         return text.strip().upper() in ("1", "TRUE", "YES")
+    if isinstance(default, (list, dict)):
+        return json.loads(text)
     return type(default)(text) if isinstance(default, (int, float)) else text
 
 
@@ -265,15 +296,85 @@ def _confusion(node, spark, given):
     return {"tableOut": table, "scoresOut": E.overall(table)}
 
 
-@register("pr-curve", "Sink", ("actualIn", "predictedIn", "colourIn"), ("curveOut",), colour=-1, positive=1)
+@register("pr-curve", "Sink", ("actualIn", "predictedIn", "colourIn"), ("curveOut",), colour=-1)
 def _curve(node, spark, given):
-    k = node.get("positive")
-    score = given["predictedIn"].select("key", "obs", F.get("x", F.lit(k)).alias("score"))
-    both = _fold(_label_of(given["actualIn"], "a").join(score, ["key", "obs"]), given, node.get("colour"))
-    return {"curveOut": E.pr_curve(E.scored_results(both, "score", "a", k))}
+    """(class, score, recall, precision): a curve for each class that the scores have, from its score in predictedIn."""
+    scores = given["predictedIn"].select("key", "obs", F.posexplode("x").alias("class", "score"))
+    both = _fold(_label_of(given["actualIn"], "a").join(scores, ["key", "obs"]), given, node.get("colour"))
+    classes = sorted(r["class"] for r in scores.select("class").distinct().collect())
+    curves = [E.pr_curve(E.scored_results(both.where(F.col("class") == k), "score", "a", k)).select(F.lit(k).alias("class"), "score", "recall", "precision") for k in classes]
+    none = spark.createDataFrame([], "class int, score double, recall double, precision double")
+    return {"curveOut": reduce(DataFrame.union, curves, none)}
+
+
+def _codebook(node, spark) -> list[list[float]]:
+    """Rows of the property codebook, or of the matrix file that filename names."""
+    if node.get("filename"):
+        return [r["x"] for r in T.read_matrix(spark, node.get("filename")).orderBy("row").collect()]
+    return node.get("codebook")
+
+
+@register("codebook-encode", "Static", ("dataIn",), ("dataOut",), codebook=[], filename="", mode="nearest-L2")
+def _encode(node, spark, given):
+    return {"dataOut": O.encode_codebook(given["dataIn"], _codebook(node, spark), node.get("mode"))}
+
+
+@register("codebook-decode", "Static", ("dataIn",), ("dataOut",), codebook=[], filename="")
+def _decode(node, spark, given):
+    return {"dataOut": O.decode_codebook(given["dataIn"], _codebook(node, spark))}
+
+
+@register("import-files", "Source", (), ("dataOut",), directory="", extension=".bin", kind="double", features=1, headerBytes=0, footerBytes=0)
+def _import(node, spark, given):
+    return {"dataOut": B.import_files(spark, *(node.get(p) for p in ("directory", "extension", "kind", "features", "headerBytes", "footerBytes")))}
+
+
+@register("export-files", "Sink", ("dataIn",), ("filesOut",), directory="", extension=".bin", kind="double", update=False)
+def _export(node, spark, given):
+    """filesOut: (key, rows) of what was written."""
+    done = B.export_files(given["dataIn"].select("key", "obs", "x"), *(node.get(p) for p in ("directory", "extension", "kind", "update")))
+    return {"filesOut": cut(done)}
+
+
+@register("random-colours", "Static", ("dataIn",), ("colourOut",), folds=2, seed=0)
+def _colours(node, spark, given):
+    from ..model import random_colours
+
+    return {"colourOut": random_colours(given["dataIn"], node.get("folds"), node.get("seed"))}
+
+
+@register("colour-table", "Source", (), ("colourOut",), filename="", delimiter=" ")
+def _colour_table(node, spark, given):
+    """Colours from a text file of lines "key colour"."""
+    return {"colourOut": T.read_text_table(spark, node.get("filename"), node.get("delimiter")).select("key", F.element_at("x", 1).cast("int").alias("colour"))}
 
 
 @register("python", "Custom", ("dataIn",), ("dataOut",), function=None)
 def _python(node, spark, given):
     """function: a Python callable from a DataFrame in observation form to another."""
     return {"dataOut": node.get("function")(given["dataIn"])}
+
+
+@register("python-multi", "Custom", ("in0", "in1", "in2", "in3"), ("dataOut",), function=None)
+def _python_multi(node, spark, given):
+    """function: from the connected inputs, in the order of their ports, to a DataFrame."""
+    return {"dataOut": node.get("function")(*given.values())}
+
+
+@register("python-adaptive", "Adaptive", ("dataIn", "targetIn", "colourIn"), ("dataOut",), colour=-1, fit=None, apply=None)
+def _python_adaptive(node, spark, given):
+    """fit: from data of the fold (and the target, if there is one) to a model; apply: from data and model to a DataFrame."""
+    if node.model is None:
+        node.model = node.get("fit")(_fold(given["dataIn"], given, node.get("colour")), *([given["targetIn"]] if "targetIn" in given else []))
+    return {"dataOut": node.get("apply")(given["dataIn"], node.model)}
+
+
+@register("scatter-data", "Sink", ("dataIn", "targetIn"), ("plotOut",), xFeature=0, yFeature=1)
+def _scatter(node, spark, given):
+    """(x, y, label, n) of a scatter plot: how many rows have each point, so what is drawn is as small as it looks."""
+    rows = given["dataIn"]
+    label = F.lit(-1).alias("label")
+    if "targetIn" in given:
+        rows, label = rows.join(_label_of(given["targetIn"], "label"), ["key", "obs"], "left"), F.coalesce("label", F.lit(-1)).alias("label")
+    at = lambda p: F.get("x", F.lit(node.get(p)))
+    return {"plotOut": rows.select(at("xFeature").alias("px"), at("yFeature").alias("py"), label).groupBy("px", "py", "label").agg(F.count("*").alias("n")).select(F.col("px").alias("x"), F.col("py").alias("y"), "label", "n")}

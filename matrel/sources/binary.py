@@ -32,6 +32,12 @@ def import_files(spark: SparkSession, directory: str, extension: str = ".bin", k
     return files.select("path", "content").mapInArrow(run, "key string, obs int, x array<double>")
 
 
+def list_files(spark: SparkSession, directory: str, extension: str = "", nested: bool = False) -> DataFrame:
+    """(name, path, bytes, modified) of the files of a directory; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").option("recursiveFileLookup", str(nested).lower()).load(directory)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def export_files(obs: DataFrame, directory: str, extension: str = ".bin", kind: str = "double", update: bool = False) -> DataFrame:
     """One file for each record, written by the tasks; gives (key, rows). update leaves existing files alone. directory:
     a folder that all executors reach."""
