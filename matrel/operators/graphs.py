@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.hashing import dealt, uniform
+from ..functions.stats import running_total
 from ..storage import cut
 
 
@@ -296,9 +298,10 @@ def scored(pairs: DataFrame, nodes: DataFrame, metric: str = "any") -> DataFrame
     return both.select("src", "dst", F.col("b.grp").alias("dst_grp"), A.squared_distance(F.col("a.x"), F.col("b.x")).alias("weight"))
 
 
-def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int = 8, per_group: bool = True) -> DataFrame:
-    """The exact graph: nodes in blocks, each block of queries against each block of targets, and only the k best of a
-    query and block pair leave it."""
+def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None = None, per_group: bool = True) -> DataFrame:
+    """The exact graph: nodes in blocks (of about 1000 nodes, at least 8), each block of queries against each block of
+    targets, so tasks grow in number with the table and not in size."""
+    blocks = blocks or max(8, nodes.count() // 1000)
     cut = lambda name: nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select(F.struct("node", "grp", "eqv", "label", "x").alias(name), "block")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = cut("a").select("a", F.col("block").alias("i"), F.explode(every).alias("j"))
@@ -308,16 +311,42 @@ def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int = 8, p
     return top_edges(scored_pairs, k, per_group)
 
 
-def random_graph(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """An initial graph: each node with nodes that share a random bucket."""
-    bucket = lambda s: F.pmod(F.xxhash64("node", F.lit(s)), F.lit(64))
-    parts = [nodes.select("node", bucket(seed * 1000 + s).alias("bucket"), F.lit(s).alias("s")) for s in range(2)]
-    rows = parts[0].union(parts[1])
-    near = rows.withColumn("dst", F.lead("node").over(Window.partitionBy("s", "bucket").orderBy(F.xxhash64("node", F.lit(seed + 1)))))
+def random_graph(nodes: DataFrame, k: int, seed: int = 0, buckets: int | None = None) -> DataFrame:
+    """An initial graph: each node with the next one in two random buckets, in a random order, either way. Buckets have
+    about 2000 nodes unless their number is given."""
+    buckets = buckets or nodes.count() // 2000 + 1
+    parts = [nodes.select("node", dealt(buckets, seed * 1000 + s, "node").alias("bucket"), F.lit(s).alias("s")) for s in range(2)]
+    near = parts[0].union(parts[1]).withColumn("dst", F.lead("node").over(Window.partitionBy("s", "bucket").orderBy(uniform(seed + 1, "node"), "node")))
     near = near.where("dst is not null").select(F.col("node").alias("src"), "dst")
     return top_edges(scored(near.union(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), nodes), k)
 
 
+def search_moves(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """Candidates by search: for each node one random node of one random group. Groups and the nodes in each are numbered,
+    so both draws are joins by number; pairs that may not match go when they are scored."""
+    inside = nodes.select("grp", "node", (F.row_number().over(Window.partitionBy("grp").orderBy("node")) - 1).alias("place"))
+    sizes = cut(nodes.groupBy("grp").agg(F.count("*").alias("size")))
+    many = max(1, sizes.count())
+    groups = running_total(sizes.withColumn("one", F.lit(1)), "grp", "one").select(F.col("grp").alias("g"), "size", (F.col("running") - 1).alias("number"))
+    drawn = nodes.select(F.col("node").alias("src"), dealt(many, seed, "node", F.lit("group")).alias("number"), uniform(seed, "node", F.lit("node")).alias("u")).join(groups, "number")
+    place = F.floor(F.col("u") * F.col("size")).cast("int")
+    return drawn.select("src", F.col("g").alias("grp"), place.alias("place")).join(inside, ["grp", "place"]).select("src", F.col("node").alias("dst"))
+
+
+def with_states(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """edges with state: 0 for those that before (with states) lacks, else one more than there, up to 2. Moves that spread
+    edges need only those of state 0 and 1: what an older edge could bring has been tried."""
+    if before is None:
+        return edges.withColumn("state", F.lit(0))
+    old = before.select("src", "dst", F.col("state").alias("__old"))
+    return edges.join(old, ["src", "dst"], "left").withColumn("state", F.when(F.col("__old").isNull(), 0).otherwise(F.least(F.col("__old") + 1, F.lit(2)))).drop("__old")
+
+
+def fresh(edges: DataFrame) -> DataFrame:
+    """The edges that moves have yet to spread; all of them if they have no states."""
+    return edges.where("state < 2") if "state" in edges.columns else edges
+
+
 def improve(edges: DataFrame, candidates: DataFrame, nodes: DataFrame, k: int, metric: str = "any") -> DataFrame:
     """The k best of the old edges and the candidates."""
     return top_edges(scored(edges.select("src", "dst").union(candidates.select("src", "dst")), nodes, metric), k)
@@ -326,7 +355,7 @@ def improve(edges: DataFrame, candidates: DataFrame, nodes: DataFrame, k: int, m
 def propagate(edges: DataFrame, adjacent: DataFrame) -> DataFrame:
     """Candidates from spatial neighbours: for an edge (u, v) all (neighbour of u, neighbour of v); adjacent: (node, near)."""
     a, b = adjacent.select(F.col("node").alias("src"), F.col("near").alias("p")), adjacent.select(F.col("node").alias("dst"), F.col("near").alias("q"))
-    return edges.join(a, "src").join(b, "dst").select(F.col("p").alias("src"), F.col("q").alias("dst"))
+    return fresh(edges).join(a, "src").join(b, "dst").select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
 
 
 def local_moves(edges: DataFrame, adjacent: DataFrame) -> DataFrame:
@@ -335,22 +364,21 @@ def local_moves(edges: DataFrame, adjacent: DataFrame) -> DataFrame:
 
 
 def enrich(edges: DataFrame) -> DataFrame:
-    """Candidates by reversing every edge, and by following two edges."""
+    """Candidates by reversing every edge, and by following two edges. Following goes along out-edges, of which a node has
+    at most k, so a node brings at most k times its edges however many edges lead to it."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     two = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst")
     return back.union(two).distinct()
 
 
-def projection_candidates(nodes: DataFrame, direction: list[float], horizon: int, parts: int = 64) -> DataFrame:
-    """Candidates by a random projection: each node with the next ones in the order of the projection. The order is cut
-    into ranges whose last horizon nodes are also put before the next range."""
-    p = nodes.select("node", A.weighted(F.col("x"), direction).alias("p")).repartitionByRange(parts, "p").withColumn("part", F.spark_partition_id())
-    p = cut(p)
-    tail = p.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("p"), F.desc("node")))).where(F.col("r") <= horizon)
-    rows = p.select("node", "p", "part").union(tail.select("node", "p", F.col("part") + 1))
-    ahead = F.collect_list("node").over(Window.partitionBy("part").orderBy("p", "node").rowsBetween(1, horizon))
-    pairs = rows.select(F.col("node").alias("src"), ahead.alias("ahead")).select("src", F.explode("ahead").alias("dst"))
-    return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def projection_candidates(nodes: DataFrame, direction: list[float], horizon: int) -> DataFrame:
+    """Candidates by a random projection: each node with the next ones in the order of the projection, either way. Nodes are
+    numbered in that order by running sums over range partitions, and meet by equal numbers."""
+    order = F.struct(A.weighted(F.col("x"), direction).alias("p"), "node").alias("at")
+    ranked = running_total(nodes.select(order, F.lit(1).alias("one")), "at", "one").select(F.col("at.node").alias("node"), F.col("running").alias("place"))
+    ahead = ranked.select(F.col("node").alias("src"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + horizon)).alias("place"))
+    pairs = ahead.join(ranked.withColumnRenamed("node", "dst"), "place").select("src", "dst")
+    return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def label_transfer(edges: DataFrame, labels: DataFrame, classes: int) -> DataFrame:

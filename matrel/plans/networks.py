@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform_sql
 from ..operators import graphs as G
 from .tables import DIGITS, read
 
@@ -70,12 +71,16 @@ def graph_energy(spark, sf_dir):
     return e.select(F.round("energy", 3).alias("energy"), F.round("best_energy", 3).alias("best_energy"), "n_edges")
 
 
-@query("random_projection")
+_DIRECTION = [((i * 37) % 11 - 5) / 5.0 for i in range(64)]
+
+
+@query("random_projection", f"""{_V}, o as (select node, row_number() over (order by list_dot_product(x, {_DIRECTION}::double[]), node) as place from v), c as (select a.node as src, b.node as dst from o a join o b on abs(a.place - b.place) between 1 and 10),
+    q as (select src, dst, b.grp as dst_grp, {_D} as weight from c join v a on a.node = src join v b on b.node = dst where a.grp <> b.grp), g as (select *, row_number() over (partition by src, dst_grp order by weight, dst) as gr from q), m as (select src, dst, weight, row_number() over (partition by src order by weight, dst) as rank from g where gr = 1)
+    select src, dst, round(weight, 4) as weight, cast(rank as integer) as rank from m where rank <= 3""")
 def random_projection(spark, sf_dir):
     """Neighbours by one projection with a horizon of 10, scored and cut to 3."""
     v = nodes(spark, sf_dir)
-    direction = [((i * 37) % 11 - 5) / 5.0 for i in range(64)]
-    return G.top_edges(G.scored(G.projection_candidates(v, direction, 10), v), 3).withColumn("weight", F.round("weight", 4))
+    return G.top_edges(G.scored(G.projection_candidates(v, _DIRECTION, 10), v), 3).withColumn("weight", F.round("weight", 4))
 
 
 @query("neighbours", f"{_S}, b as (select src, dst from s union select dst, src from s) select src, list(dst order by dst) as neighbours from b group by src")
@@ -111,3 +116,62 @@ def all_pairs_paths(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_regionkey")
     s = n.select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 25).alias("dst"), (F.col("id") % 4 + F.col("n_regionkey") + 1).cast("double").alias("w")).where("src <> dst")
     return G.all_pairs_paths(n, s)
+
+
+#: A random graph of eight buckets, and what is left of candidates c (src, dst) and its edges after a move.
+_RANDOM = f"""{_V}, b as (select node, s, floor(case s when 0 then {uniform_sql(0, "node")} else {uniform_sql(1, "node")} end * 8) as bucket from v, (select unnest([0, 1]) as s)),
+    near as (select node as src, lead(node) over (partition by s, bucket order by {uniform_sql(1, "node")}, node) as dst from b), n as (select src, dst from near where dst is not null union select dst, src from near where dst is not null),
+    n_g as (select src, dst, b.grp as dst_grp, {_D} as weight from n join v a on a.node = src join v b on b.node = dst where a.grp <> b.grp), n_r as (select *, row_number() over (partition by src, dst_grp order by weight, dst) as gr from n_g),
+    e as (select * from (select src, dst, weight, row_number() over (partition by src order by weight, dst) as rank from n_r where gr = 1) where rank <= 3)"""
+_MOVED = f"""q as (select src, dst, b.grp as dst_grp, {_D} as weight from (select src, dst from c union select src, dst from e) join v a on a.node = src join v b on b.node = dst where a.grp <> b.grp), q_r as (select *, row_number() over (partition by src, dst_grp order by weight, dst) as gr from q),
+    m as (select * from (select src, dst, weight, row_number() over (partition by src order by weight, dst) as rank from q_r where gr = 1) where rank <= 3)"""
+_EDGES = "select src, dst, round(weight, 4) as weight, cast(rank as integer) as rank from"
+_NEAR = "t as (select node, node + 1 as near from v where node + 1 in (select node from v) union all select node, node - 1 from v where node - 1 in (select node from v))"
+
+
+def _start(spark, sf_dir):
+    v = nodes(spark, sf_dir)
+    return v, G.random_graph(v, 3, buckets=8)
+
+
+def _adjacent(v):
+    """Nodes of neighbouring numbers, as pixels of an image would be."""
+    n = v.select("node")
+    both = n.select("node", F.explode(F.array(F.col("node") + 1, F.col("node") - 1)).alias("near"))
+    return both.join(n.select(F.col("node").alias("near")), "near", "left_semi")
+
+
+def _shown(e):
+    return e.select("src", "dst", F.round("weight", 4).alias("weight"), "rank")
+
+
+@query("knn_random", f"{_RANDOM} {_EDGES} e")
+def knn_random(spark, sf_dir):
+    return _shown(_start(spark, sf_dir)[1])
+
+
+@query("knn_propagate", f"{_RANDOM}, {_NEAR}, c as (select p.near as src, q.near as dst from e join t p on p.node = e.src join t q on q.node = e.dst where p.near <> q.near), {_MOVED} {_EDGES} m")
+def knn_propagate(spark, sf_dir):
+    v, e = _start(spark, sf_dir)
+    return _shown(G.improve(e, G.propagate(G.with_states(e), _adjacent(v)), v, 3))
+
+
+@query("knn_local", f"{_RANDOM}, {_NEAR}, c as (select e.src, t.near as dst from e join t on t.node = e.dst where e.src <> t.near), {_MOVED} {_EDGES} m")
+def knn_local(spark, sf_dir):
+    v, e = _start(spark, sf_dir)
+    return _shown(G.improve(e, G.local_moves(e, _adjacent(v)), v, 3))
+
+
+@query("knn_search", f"""{_RANDOM}, gs as (select grp, count(*) as size, row_number() over (order by grp) - 1 as number from v group by grp), inside as (select grp, node, row_number() over (partition by grp order by node) - 1 as place from v),
+    d as (select node as src, floor({uniform_sql(5, "node", "'group'")} * (select count(*) from gs)) as number, {uniform_sql(5, "node", "'node'")} as u from v),
+    c as (select src, node as dst from d join gs using (number) join inside on inside.grp = gs.grp and inside.place = floor(u * size) where src <> node), {_MOVED} {_EDGES} m""")
+def knn_search(spark, sf_dir):
+    v, e = _start(spark, sf_dir)
+    return _shown(G.improve(e, G.search_moves(v, 5), v, 3))
+
+
+@query("knn_states", f"{_RANDOM}, {_NEAR}, c as (select e.src, t.near as dst from e join t on t.node = e.dst where e.src <> t.near), {_MOVED} select m.src, m.dst, cast(case when e.src is null then 0 else 1 end as integer) as state from m left join e on e.src = m.src and e.dst = m.dst")
+def knn_states(spark, sf_dir):
+    """Edges after a local move: 0 for new ones, 1 for those that were there."""
+    v, e = _start(spark, sf_dir)
+    return G.with_states(G.improve(e, G.local_moves(e, _adjacent(v)), v, 3), G.with_states(e)).select("src", "dst", "state")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from .. import model as M
+from ..functions import arrays as A
 from ..functions.hashing import uniform_sql
 from ..operators import evaluation as E
 from ..operators import learn as L
@@ -130,52 +131,52 @@ def gaussian_log_density(spark, sf_dir):
 
 
 def _flags(spark, sf_dir):
-    """Order lines by quantity, labelled by whether the discounted quantity is over 23."""
+    """Order lines by quantity, discount and tax, labelled by whether the discounted quantity is over 23."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return read(spark, sf_dir, "lineitem").select(key.alias("key"), F.array("l_quantity").alias("x"), (F.col("l_quantity") * (1 - F.col("l_discount")) > 23).cast("int").alias("label"))
+    return read(spark, sf_dir, "lineitem").select(key.alias("key"), F.array("l_quantity", "l_discount", "l_tax").alias("x"), (F.col("l_quantity") * (1 - F.col("l_discount")) > 23).cast("int").alias("label"))
 
 
-_F = "f as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, l_quantity as v, cast(l_quantity * (1 - l_discount) > 23 as integer) as y, 1.0::double as w from lineitem)"
+_F = "f as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as key, [l_quantity, l_discount, l_tax] as x, cast(l_quantity * (1 - l_discount) > 23 as integer) as y, 1.0::double as w from lineitem)"
 
 
 def _stump(name: str, rows: str) -> str:
-    """SQL of the best cut of rows (v, y, w) by entropy, y being 0 or 1: name holds t and the weights on either side."""
-    h = lambda a, n: f"(case when {a} > 0 then {a} * log2({a} / {n}) else 0 end)"
-    return f"""{name}_g as (select v, sum(w) as n, sum(w * y) as p from {rows} group by v having sum(w) > 0),
-    {name}_c as (select (v + lead(v) over (order by v)) / 2 as t, sum(n) over (order by v) as nl, sum(p) over (order by v) as pl, sum(n) over () as n, sum(p) over () as p from {name}_g),
-    {name} as (select t, nl, pl, n - nl as nr, p - pl as pr from {name}_c where t is not null order by round(-({h('pl', 'nl')} + {h('(nl - pl)', 'nl')} + {h('(p - pl)', '(n - nl)')} + {h('((n - nl) - (p - pl))', '(n - nl)')}) / n, 9), t limit 1)"""
+    """SQL of the best cut of rows (x, y, w) by entropy, y being 0 or 1: name holds feature, t and the weights on either side."""
+    h = lambda a, n: f"(case when {a} > 1e-12 then {a} * log2({a} / {n}) else 0 end)"
+    return f"""{name}_u as (select i - 1 as f, x[i] as v, y, w from (select *, unnest([1, 2, 3]) as i from {rows})), {name}_g as (select f, v, sum(w) as n, sum(w * y) as p from {name}_u group by f, v),
+    {name}_c as (select f, (v + lead(v) over o) / 2 as t, sum(n) over o as nl, sum(p) over o as pl, sum(n) over (partition by f) as n, sum(p) over (partition by f) as p from {name}_g window o as (partition by f order by v)),
+    {name} as (select f, t, nl, pl, n - nl as nr, p - pl as pr from {name}_c where t is not null order by round(-({h('pl', 'nl')} + {h('(nl - pl)', 'nl')} + {h('(p - pl)', '(n - nl)')} + {h('((n - nl) - (p - pl))', '(n - nl)')}) / n, 9), f, t limit 1)"""
 
 
 def _splits(spark, trees):
-    """(tree, node, threshold) of the inner nodes of trees."""
-    rows = [(k, n, float(t)) for k, tree in enumerate(trees) for n, (_, t) in sorted(tree.splits.items())]
-    return spark.createDataFrame(rows, "tree int, node int, threshold double")
+    """(tree, node, feature, threshold) of the inner nodes of trees."""
+    rows = [(k, n, f, round(float(t), 6)) for k, tree in enumerate(trees) for n, (f, t) in sorted(tree.splits.items())]
+    return spark.createDataFrame(rows, "tree int, node int, feature int, threshold double")
 
 
-@query("decision_tree", f"""with {_F}, {_stump('a', 'f')}, fl as (select * from f where v < (select t from a)), fr as (select * from f where v >= (select t from a)), {_stump('b', 'fl')}, {_stump('c', 'fr')}
-    select 0::integer as tree, node::integer as node, t as threshold from (select 1 as node, t from a union all select 2, t from b where pl + pr > 0 and pl + pr < nl + nr union all select 3, t from c where pl + pr > 0 and pl + pr < nl + nr)""")
+@query("decision_tree", f"""with {_F}, {_stump('a', 'f')}, fl as (select r.* from f r, a where r.x[a.f + 1] < t), fr as (select r.* from f r, a where r.x[a.f + 1] >= t), {_stump('b', 'fl')}, {_stump('c', 'fr')}
+    select 0::integer as tree, node::integer as node, f::integer as feature, round(t, 6) as threshold from (select 1 as node, f, t from a union all select 2, f, t from b where pl + pr > 0 and pl + pr < nl + nr union all select 3, f, t from c where pl + pr > 0 and pl + pr < nl + nr)""")
 def decision_tree(spark, sf_dir):
     """A tree of two levels."""
     return _splits(spark, [L.fit_tree(_flags(spark, sf_dir), 2, depth=2)])
 
 
-@query("boosted_trees", f"""with {_F}, {_stump('a', 'f')}, fa as (select f.*, cast(case when v < t then 2 * pl > nl else 2 * pr > nr end as integer) <> y as wrong from f, a),
+@query("boosted_trees", f"""with {_F}, {_stump('a', 'f')}, fa as (select r.*, cast(case when r.x[a.f + 1] < t then 2 * pl > nl else 2 * pr > nr end as integer) <> y as wrong from f r, a),
     ea as (select sum(case when wrong then w else 0 end) / sum(w) as e, sum(w) as total from fa),
-    f2 as (select v, y, w * (case when wrong then (1 - e) / e else 1 end) / total as w from fa, ea), {_stump('b', 'f2')},
-    fb as (select f2.*, cast(case when v < t then 2 * pl > nl else 2 * pr > nr end as integer) <> y as wrong from f2, b), eb as (select sum(case when wrong then w else 0 end) / sum(w) as e from fb)
-    select 0::integer as round, t as threshold, round(ln((1 - e) / e), 6) as alpha from a, ea union all select 1, t, round(ln((1 - e) / e), 6) from b, eb""")
+    f2 as (select x, y, w * (case when wrong then (1 - e) / e else 1 end) / total as w from fa, ea), {_stump('b', 'f2')},
+    fb as (select r.*, cast(case when r.x[b.f + 1] < t then 2 * pl > nl else 2 * pr > nr end as integer) <> y as wrong from f2 r, b), eb as (select sum(case when wrong then w else 0 end) / sum(w) as e from fb)
+    select 0::integer as round, f::integer as feature, round(t, 6) as threshold, round(ln((1 - e) / e), 6) as alpha from a, ea union all select 1, f, round(t, 6), round(ln((1 - e) / e), 6) from b, eb""")
 def boosted_trees(spark, sf_dir):
     """Two rounds of stumps."""
     m = L.fit_boosted(_flags(spark, sf_dir), 2, rounds=2, depth=1)
-    return spark.createDataFrame([(k, float(t.splits[1][1]), round(float(a), 6)) for k, (a, t) in enumerate(m.members)], "round int, threshold double, alpha double")
+    return spark.createDataFrame([(k, t.splits[1][0], round(float(t.splits[1][1]), 6), round(float(a), 6)) for k, (a, t) in enumerate(m.members)], "round int, feature int, threshold double, alpha double")
 
 
 _POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n)) for n in range(1, 12)]
 _WEIGHT = lambda seed: " + ".join(f"(case when {uniform_sql(seed, 'key')} >= {t!r} then 1 else 0 end)" for t in _POISSON)
 
 
-@query("random_forest", f"""with {_F}, {', '.join(f"g{k} as (select v, y, cast({_WEIGHT(k)} as double) as w from f), {_stump(f's{k}', f'g{k}')}" for k in range(3))}
-    {' union all '.join(f'select {k}::integer as tree, 1::integer as node, t as threshold from s{k}' for k in range(3))}""")
+@query("random_forest", f"""with {_F}, {', '.join(f"g{k}_a as (select x, y, cast({_WEIGHT(k)} as double) as w from f), g{k} as (select * from g{k}_a where w > 0), {_stump(f's{k}', f'g{k}')}" for k in range(3))}
+    {' union all '.join(f'select {k}::integer as tree, 1::integer as node, f::integer as feature, round(t, 6) as threshold from s{k}' for k in range(3))}""")
 def random_forest(spark, sf_dir):
     """Three stumps, each on a bootstrap."""
     return _splits(spark, [t for _, t in L.fit_forest(_flags(spark, sf_dir), 2, trees=3, depth=1).members])
@@ -208,11 +209,11 @@ def pca(spark, sf_dir):
     return spark.createDataFrame([(round(var[i], 4), round(float(r[0]), 5), round(float(r[1]), 5)) for i, r in enumerate(m.projection)], "variance double, a double, b double")
 
 
-@query("fisher_lda", f"""with {_XY}, c as (select y, avg(a) as ma, avg(b) as mb, var_pop(a) as p, covar_pop(a, b) as q, var_pop(b) as r from r group by y), w as (select avg(p) as p, avg(q) as q, avg(r) as r from c),
+@query("fisher_lda_two", f"""with {_XY}, c as (select y, avg(a) as ma, avg(b) as mb, var_pop(a) as p, covar_pop(a, b) as q, var_pop(b) as r from r group by y), w as (select avg(p) as p, avg(q) as q, avg(r) as r from c),
     d as (select x.ma - z.ma as da, x.mb - z.mb as db, (x.ma + z.ma) / 2 as ca, (x.mb + z.mb) / 2 as cb from c x, c z where x.y = 1 and z.y = 0), v as (select r * da - q * db as x, p * db - q * da as y, ca, cb from d, w),
     u as (select x / sqrt(x * x + y * y) as x, y / sqrt(x * x + y * y) as y, ca, cb from v)
     select round(case when (case when abs(x) >= abs(y) then x else y end) < 0 then -x else x end, 4) as a, round(case when (case when abs(x) >= abs(y) then x else y end) < 0 then -y else y end, 4) as b, round(ca, 5) as centre_a, round(cb, 5) as centre_b from u""")
-def fisher_lda(spark, sf_dir):
+def fisher_lda_two(spark, sf_dir):
     """The direction in quantity and price that parts line statuses best."""
     m = L.fit_lda(_two(spark, sf_dir))
     (a, b), (p, q) = m.projection[0], m.offset
@@ -224,14 +225,27 @@ def _rounds(n: int) -> str:
     return ", ".join(f"c{i + 1} as (select k, avg(v) as m from (select v, min_by(k, (abs(v - m), k)) as k from x, c{i} group by id, v) group by k)" for i in range(n))
 
 
-@query("gaussian_mixture", f"""with x as (select p_partkey as id, cast(p_size as double) as v from part), c0 as (select row_number() over (order by id) - 1 as k, v as m from (select * from x order by id limit 2)), {_rounds(5)},
+@query("gaussian_mixture_step", f"""with x as (select p_partkey as id, cast(p_size as double) as v from part), c0 as (select row_number() over (order by id) - 1 as k, v as m from (select * from x order by id limit 2)), {_rounds(5)},
     s as (select id, v, min_by(k, (abs(v - m), k)) as k from x, c5 group by id, v), t as (select var_pop(v) as t, count(*) as n from x),
     g as (select k, count(*) / max(n) as p, avg(v) as m, (var_pop(v) + 0.001 * max(t)) / 1.001 + 1e-9 as c from s, t group by k),
     l as (select id, v, k, ln(p) - 0.5 * ln(2 * pi() * c) - 0.5 * (v - m) * (v - m) / c as l from x, g), q as (select id, v, k, exp(l - max(l) over (partition by id)) as e from l),
     r as (select id, v, k, e / sum(e) over (partition by id) as r from q), u as (select k, sum(r) as mass, sum(r * v) / sum(r) as m, sum(r * v * v) / sum(r) as s from r group by k)
     select cast(k as integer) as part, round(mass / n, 4) as weight, round(m, 3) as mean, round((s - m * m + 0.001 * t) / 1.001 + 1e-9, 2) as variance from u, t""")
-def gaussian_mixture(spark, sf_dir):
+def gaussian_mixture_step(spark, sf_dir):
     """One step of two Gaussians over part sizes, from the cells of two means."""
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double")).alias("x"))
     m = L.fit_mixture(rows, 2, "id", max_rounds=1)
     return spark.createDataFrame([(k, round(float(w), 4), round(float(g.mean[0]), 3), round(float(g.cov[0, 0]), 2)) for k, (w, g) in enumerate(zip(m.weights, m.parts))], "part int, weight double, mean double, variance double")
+
+
+@query("fisher_lda")
+def fisher_lda(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("key", "obs", "x", F.col("label").cast("int").alias("label"))
+    return M.cells(L.fit_lda(v).transform(v).select("key", "obs", "x")).select("key", "feat", F.round("v", DIGITS).alias("v"))
+
+
+@query("gaussian_mixture")
+def gaussian_mixture(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", "x")
+    m = L.fit_mixture(v, 2, "vec_id", max_rounds=3)
+    return v.select("vec_id", A.argmax(m.log_parts(F.col("x"))).alias("part"), F.round(m.log_density(F.col("x")), 4).alias("ll"))

@@ -244,3 +244,56 @@ def test_lda_sees_every_feature(spark, tmp_path):
     v = {int(r["key"]): r["v"] for r in scoring.fisher_lda(spark, str(tmp_path)).where("feat = 0").collect()}
     a, b = (np.array([v[i] for i in v if i % 2 == y]) for y in (0, 1))
     assert abs(a.mean() - b.mean()) > 5 * max(a.std(), b.std())
+
+
+def test_metric_learning_parts_classes(spark):
+    rng = np.random.default_rng(4)
+    label = np.arange(40) % 2
+    x = np.column_stack([rng.normal(size=40) * 3, label + rng.normal(size=40) * 0.2])  # the first feature only disturbs
+    nodes = spark.createDataFrame([(i, i, -1, int(y), [float(v) for v in r]) for i, (y, r) in enumerate(zip(label, x))], "node int, grp int, eqv int, label int, x array<double>")
+    equal = G.exhaustive(nodes, 1, "label-equal", blocks=2)
+    other = G.exhaustive(nodes, 1, "label-different", blocks=2)
+    metric, losses = L.fit_metric(nodes, equal, other, rounds=12, rate=0.3)
+    assert min(losses) < losses[0] and metric[1, 1] > metric[0, 0] and np.linalg.eigvalsh(metric).min() >= -1e-9
+    assert G.metric_loss(equal, other).first()["loss"] >= 0
+
+
+def test_equivalence_classes_do_not_match(spark):
+    nodes = spark.createDataFrame([(i, i, i % 2 if i < 4 else -1, 0, [float(i)]) for i in range(6)], "node int, grp int, eqv int, label int, x array<double>")
+    pairs = {(r["src"], r["dst"]) for r in G.exhaustive(nodes, 6, blocks=2).collect()}
+    assert pairs == {(a, b) for a in range(6) for b in range(6) if a != b and not (a < 4 and b < 4 and a % 2 == b % 2)}
+
+
+def test_split_candidates_and_intervals(spark):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 40, 3000), rng.normal(size=3000).round(3)])
+    df = spark.createDataFrame([([float(a), float(b)],) for a, b in x], "x array<double>")
+    for most in (1000, 90, 7):
+        for got, column in zip(L.candidate_cuts(df, most), x.T):
+            v = np.unique(column)
+            mid = (v[1:] + v[:-1]) / 2
+            assert np.allclose(got, mid if len(mid) <= most else mid[np.linspace(0, len(mid) - 1, most).astype(int)])
+    cuts = np.sort(rng.normal(size=333))
+    for c in (cuts, cuts[:5], cuts[:0]):
+        got = [r["k"] for r in df.select(L._interval(F.element_at("x", 2), c).alias("k"), F.element_at("x", 2).alias("v")).collect()]
+        want = [int(np.searchsorted(c, r["v"], side="right")) for r in df.select(F.element_at("x", 2).alias("v")).collect()]
+        assert got == want
+
+
+def test_images(spark):
+    from matrel.functions import images as V
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5, 30))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "image int, x array<double>")
+    sums = V.integral(F.col("x"), 6, 5)
+    got = df.select("image", V.box_sum(sums, 6, 1, 4, 2, 5).alias("s"), V.region_moments(V.region(F.col("x"), 6, 1, 4, 2, 5)).alias("m")).orderBy("image").collect()
+    for r, row in zip(got, x):
+        part = row.reshape(5, 6)[1:4, 2:5]
+        assert np.allclose([r["s"], r["m"]["mean"], r["m"]["energy"], r["m"]["variance"]], [part.sum(), part.mean(), (part**2).mean(), part.var()])
+    assert df.select(V.region_moments(F.array().cast("array<double>")).alias("m")).first()["m"] is None
+
+
+def test_repeated_names_take_the_last_value(spark):
+    got = spark.range(1).select(T.parse_name_values(F.lit("a=1,b=2,a=3;c")).alias("m")).first()["m"]
+    assert got == {"a": "3", "b": "2", "c": "true"}
