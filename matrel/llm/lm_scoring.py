@@ -166,8 +166,28 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(rows, ANSWER_ARROW)], schema=ANSWER_ARROW)
 
 
-def _score_rows(shared, groups: int, size: int, totals: tuple[int, int]):
+class _Own:
+    """How often a document holds the words and pairs of its own tokens; zero for documents outside mask."""
+
+    def __init__(self, x: Tokens, mask: np.ndarray, pair: np.ndarray):
+        doc = np.repeat(np.arange(len(x.sizes)), x.sizes)
+        self.inside = np.repeat(mask, x.sizes)
+        doc, width = doc[self.inside], len(x.hashes)
+        keys, count = np.unique(doc * width + x.w[self.inside], return_counts=True)
+        self.w, self.v = (self._spread(count[np.searchsorted(keys, doc * width + side[self.inside])]) for side in (x.w, x.v))
+        _, at, count = np.unique(doc * (int(pair.max(initial=0)) + 1) + pair[self.inside], return_inverse=True, return_counts=True)
+        self.pair = self._spread(count[at])
+        self.size = self._spread(np.repeat(x.sizes[mask], x.sizes[mask]))
+
+    def _spread(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.inside))
+        out[self.inside] = values
+        return out
+
+
+def _score_rows(shared, groups: int, size: int, totals: tuple[int, int], leave_out: bool):
     def run(chunk: Chunk, answers: dict) -> pa.Table:
+        target = _target_ids(answers) if leave_out else set()
         x = Tokens(chunk, shared and shared.value)
         every = np.unique(np.concatenate([x.hashes[x.w], x.pairs]))
         order, bounds = _by_group(every, groups)
@@ -178,11 +198,14 @@ def _score_rows(shared, groups: int, size: int, totals: tuple[int, int]):
             n[part], t[part] = _numbers(raw[: len(raw) // 2], np.uint64), _numbers(raw[len(raw) // 2 :], np.uint64)
         word, pair = np.searchsorted(every, x.hashes), np.searchsorted(every, x.pairs)
         starts = np.cumsum(x.sizes) - x.sizes
+        mask = np.array([key in target for key in chunk.keys()], bool)
+        own = _Own(x, mask, pair) if mask.any() else None
         losses = []
-        for c, total in ((t, totals[1]), (n, totals[0])):
-            single = c[word]
-            p = (single + 1) / (total + size + 2)
-            losses.append(-np.add.reduceat(np.log((c[pair] + MASS * p[x.w]) / (single[x.v] + MASS)), starts) / x.sizes)
+        for c, total, out in ((t, totals[1], own), (n, totals[0], None)):
+            both, first, single = c[pair], c[word[x.v]], c[word[x.w]]
+            if out is not None:
+                both, first, single, total = both - out.pair, first - out.v, single - out.w, total - out.size
+            losses.append(-np.add.reduceat(np.log((both + MASS * ((single + 1) / (total + size + 2))) / (first + MASS)), starts) / x.sizes)
         columns = (pa.array(chunk.keys(), pa.int64()), pa.array(x.sizes - 1, pa.int64()), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[1] - losses[0]))
         return pa.table(list(columns), names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
@@ -202,13 +225,15 @@ def _most_frequent(words: DataFrame, most: int) -> list:
     return materialize(words.where(bin_of >= edge).orderBy(F.desc("n"), "word").limit(most), "lm-vocabulary").collect()
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text", leave_out: bool = True) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score), one row for each row of docs: mean losses per token in
     nats, the end of the text being a token, and their difference.
 
-    target_ids: one column of ids; their documents, which are also in the background, make up the target model. Null
-    and empty texts have the end as their only token. Rows without id count in the background and are scored; repeated
-    rows count each time. vocabulary: the number of most frequent words to tell apart, all words if None. Without any target document the target model is uniform. Other columns are not read.
+    target_ids: one column of ids; their documents, which are also in the background, make up the target model. With
+    leave_out a target document's target loss is that of the model without its own counts, so that it is no nearer to
+    the target than an equal new document. Null and empty texts have the end as their only token. Rows without id count in
+    the background and are scored; repeated rows count each time. vocabulary: the number of most frequent words to tell
+    apart, all words if None. Without any target document the target model is uniform. Other columns are not read.
     """
     if vocabulary is not None and vocabulary < 1:
         raise ValueError("vocabulary must be positive")
@@ -238,7 +263,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: int | No
     sums = [np.frombuffer(r["value"], np.int64) for r in counts.where(F.col("chunk") == -1).select("value").collect()]  # one row a group
     found, all_n, all_t = (int(v) for v in np.sum(sums, axis=0)) if sums else (1, 0, 0)
     size = found - 1 if shared is None else len(shared.value)  # the boundary is counted as a word of its own
-    return ask(chunks, counts.where("chunk >= 0"), _score_rows(shared, groups, size, (all_n, all_t)), "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    answers = counts.where("chunk >= 0")
+    return ask(chunks, answers.unionByName(targets) if leave_out else answers, _score_rows(shared, groups, size, (all_n, all_t), leave_out), "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

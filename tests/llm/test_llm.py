@@ -246,7 +246,7 @@ def test_lm_scoring(spark):
     rows = [(i, t) for i, t in enumerate(prose(rng, 40, 30))] + [(100, None), (101, ""), (None, "kan lor"), (5, "MIS mis \n mis")]
     target = {0, 3, 5, 8}
     for vocabulary in (65_000, 12):
-        got = lm_scoring.score_documents(docs_of(spark, rows), spark.createDataFrame([(i,) for i in target] + [(None,)], "i long"), vocabulary).collect()
+        got = lm_scoring.score_documents(docs_of(spark, rows), spark.createDataFrame([(i,) for i in target] + [(None,)], "i long"), vocabulary, leave_out=False).collect()
         tokens = [(i, (t or "").lower().split()) for i, t in rows]
         n = collections.Counter(w for _, x in tokens for w in x)
         top = set(sorted(n, key=lambda w: (-n[w], w))[:vocabulary])
@@ -265,13 +265,13 @@ def test_lm_scoring(spark):
         want = sorted(((i, len(x), a, b, b - a) for (i, x), a, b in zip(tokens, *losses)), key=str)
         for a, b in zip(sorted(map(tuple, got), key=str), want):
             assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-9)
-    assert lm_scoring.score_documents(docs_of(spark, []), spark.createDataFrame([], "i long")).count() == 0
+    assert lm_scoring.score_documents(docs_of(spark, []), spark.createDataFrame([], "i long"), leave_out=False).count() == 0
 
 
 def test_lm_scoring_knows_every_word(spark):
     rng = random.Random(14)
     rows = [(i, " ".join(f"w{(i * 720 + k) % 72_000}" for k in range(1440))) for i in range(100)] + [(200, f"w1 w71999 w{rng.randrange(72_000)}")]
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs_of(spark, rows), spark.createDataFrame([(3,), (50,)], "i long")).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs_of(spark, rows), spark.createDataFrame([(3,), (50,)], "i long"), leave_out=False).collect()}
     ends = lambda t: ["</>", *t.split(), "</>"]
     n = len({w for _, t in rows for w in t.split()})
     assert n == 72_000
@@ -284,6 +284,20 @@ def test_lm_scoring_knows_every_word(spark):
             assert abs(got[i][name] - want) < 1e-9
 
 
+def test_lm_leaves_a_target_document_out_of_its_own_model(spark):
+    rng = random.Random(21)
+    rows = list(enumerate(prose(rng, 25, 30))) + [(40, "ka ka ka"), (41, ""), (42, None), (43, "only here only here"), (None, "ka")]
+    df, ids = docs_of(spark, rows), [2, 5, 40, 41, 42, 43]
+    of = lambda x: spark.createDataFrame([(i,) for i in x], "i long")
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, of(ids)).collect()}
+    whole = {r["doc_id"]: r for r in lm_scoring.score_documents(df, of(ids), leave_out=False).collect()}
+    for d in ids:  # as if it had not been a target document
+        without = {r["doc_id"]: r for r in lm_scoring.score_documents(df, of([i for i in ids if i != d]), leave_out=False).collect()}
+        assert abs(got[d]["target_loss"] - without[d]["target_loss"]) < 1e-9 and got[d]["background_loss"] == whole[d]["background_loss"]
+    assert all(got[i]["target_loss"] == whole[i]["target_loss"] for i in got if i not in ids)
+    assert got[43]["target_loss"] > whole[43]["target_loss"]
+
+
 # ---- 7 ------------------------------------------------------------------------------------------------------------------
 
 
