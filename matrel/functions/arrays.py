@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -24,7 +25,16 @@ def weighted(x: Column, weights: Sequence[float]) -> Column:
 
 
 def constant(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    values = list(values)
+    return F.expr(_literal(values))
+
+
+def _literal(values) -> str:
+    """SQL of numbers or rows of numbers: one text to parse, where a column for each would be a call for each."""
+    if isinstance(values, (list, tuple)):
+        return f"array({', '.join(map(_literal, values))})" if len(values) else "cast(array() as array<double>)"
+    v = float(values)
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
 
 
 def squared_distance(x: Column, y: Column) -> Column:
@@ -118,7 +128,8 @@ def binary(op: str, x: Column, y: Column) -> Column:
 def affine(x: Column, projection: Sequence[Sequence[float]], offset: Sequence[float] | None = None) -> Column:
     """y = P (x - t) for a row vector x."""
     shifted = F.zip_with(x, constant(offset), lambda a, b: a - b) if offset is not None else x
-    return F.array(*(weighted(shifted, row) for row in projection))
+    rows = F.expr(_literal([list(map(float, row)) for row in projection]))
+    return F.transform(F.array(shifted), lambda s: F.transform(rows, lambda row: dot(s, row)))[0]  # shifted once
 
 
 def argmax(x: Column) -> Column:

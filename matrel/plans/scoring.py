@@ -247,5 +247,5 @@ def fisher_lda(spark, sf_dir):
 @query("gaussian_mixture")
 def gaussian_mixture(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "x")
-    m = L.fit_mixture(v, 2, "vec_id", max_rounds=3)
+    m = L.fit_mixture(v, 2, "vec_id", max_rounds=2)
     return v.select("vec_id", A.argmax(m.log_parts(F.col("x"))).alias("part"), F.round(m.log_density(F.col("x")), 4).alias("ll"))
