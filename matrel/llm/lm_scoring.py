@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -93,24 +94,38 @@ def _add_words(most: int):
 
 
 class Tokens:
-    """The tokens of a chunk: hashes of its distinct words, and for each token (v, w) as places there; doc tells its text."""
+    """The tokens of a chunk, told by places in every: the hashes of its distinct words and then of its distinct pairs. first
+    and word are the places of a token's history and of itself, pair that of both; sizes tells the texts apart."""
 
     def __init__(self, chunk: Chunk, known: frozenset | None):
-        local: dict[bytes, int] = {}
-        hashes, texts = [BOUNDARY], []
-        for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist()):
-            words = words_of(chunk.data[a:b])
-            for w in words:
-                if w not in local:
-                    local[w] = len(hashes)
-                    hashes.append(xxhash.xxh3_64_intdigest(w) & ~1 if known is None or w in known else UNKNOWN)
-            texts.append(np.array([0, *map(local.__getitem__, words), 0], np.int32))
-        self.hashes = np.array(hashes, np.uint64)
-        self.v, self.w = np.concatenate([x[:-1] for x in texts]), np.concatenate([x[1:] for x in texts])
-        self.sizes = np.array([len(x) - 1 for x in texts])
-        x, y = self.hashes[self.v], self.hashes[self.w]
+        offsets = np.concatenate([[0], chunk.ends]).astype(np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(chunk.sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(chunk.data))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # as words_of
+        coded = split.flatten().dictionary_encode()
+        local = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = [BOUNDARY, *(xxhash.xxh3_64_intdigest(w) & ~1 if known is None or w in known else UNKNOWN for w in local)]
+        words, at = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+        token, ends = coded.indices.to_numpy(), split.offsets.to_numpy()[1:].astype(np.int64)
+        if b"" in local:  # beside white space at a text's ends
+            full = token != local.index(b"")
+            token, ends = token[full], np.concatenate([[0], np.cumsum(full)])[ends]
+        starts = np.concatenate([[0], ends[:-1]])
+        self.sizes = ends - starts + 1  # with the end of the text
+        # a token after each text, which is the end of that and the beginning of the next
+        self.word = np.insert(at[token + 1], ends, at[0])
+        self.first = np.concatenate([[at[0]], self.word[:-1]])
+        x, y = words[self.first], words[self.word]
         key = x * np.uint64(0x9E3779B97F4A7C15) + (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pairs = ((key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+        pairs, pair = np.unique(((key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) | np.uint64(1), return_inverse=True)
+        used = np.bincount(self.word, minlength=len(words)) > 0  # white space alone brought the empty word
+        if not used.all():
+            place = np.cumsum(used) - 1
+            words, self.word, self.first = words[used], place[self.word], place[self.first]
+        self.every, self.pair = np.concatenate([words, pairs]), pair + len(words)
+
+    def counts(self, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """How often each of every occurs among some tokens."""
+        return np.bincount(np.concatenate([self.word[of], self.pair[of]]), minlength=len(self.every))
 
 
 def _by_group(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +148,8 @@ def _count_rows(shared, groups: int):
     def run(chunk: Chunk, answers: dict) -> pa.Table:
         target = _target_ids(answers)
         x = Tokens(chunk, shared and shared.value)
-        every, at, count = np.unique(np.concatenate([x.hashes[x.w], x.pairs]), return_inverse=True, return_counts=True)
-        own = np.repeat(np.array([key in target for key in chunk.keys()], bool), x.sizes)
-        t = np.bincount(at[np.concatenate([own, own])], minlength=len(every))
+        every, count = x.every, x.counts()
+        t = x.counts(np.repeat(np.array([key in target for key in chunk.keys()], bool), x.sizes))
         order, bounds = _by_group(every, groups)
         rows = []
         for g in np.flatnonzero(np.diff(bounds)):
@@ -169,40 +183,50 @@ def _add_counts(table: pa.Table) -> pa.Table:
 class _Own:
     """How often a document holds the words and pairs of its own tokens; zero for documents outside mask."""
 
-    def __init__(self, x: Tokens, mask: np.ndarray, pair: np.ndarray):
-        doc = np.repeat(np.arange(len(x.sizes)), x.sizes)
+    def __init__(self, x: Tokens, mask: np.ndarray):
         self.inside = np.repeat(mask, x.sizes)
-        doc, width = doc[self.inside], len(x.hashes)
-        keys, count = np.unique(doc * width + x.w[self.inside], return_counts=True)
-        self.w, self.v = (self._spread(count[np.searchsorted(keys, doc * width + side[self.inside])]) for side in (x.w, x.v))
-        _, at, count = np.unique(doc * (int(pair.max(initial=0)) + 1) + pair[self.inside], return_inverse=True, return_counts=True)
-        self.pair = self._spread(count[at])
-        self.size = self._spread(np.repeat(x.sizes[mask], x.sizes[mask]))
+        starts = np.cumsum(x.sizes) - x.sizes
+        size = x.sizes[mask]
+        self.size = self._spread(np.repeat(size, size))
+        word, pair = (self._same(side[self.inside], np.repeat(np.arange(len(size)), size), len(x.every)) for side in (x.word, x.pair))
+        self.w, self.pair = self._spread(word), self._spread(pair)
+        self.v = np.empty(len(self.w))
+        self.v[1:] = self.w[:-1]  # a token's history is the token before it
+        self.v[starts] = self.inside[starts]  # that of a text's first one is its beginning, which it holds once
 
     def _spread(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.inside))
         out[self.inside] = values
         return out
 
+    @staticmethod
+    def _same(place: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+        """How often each token's place occurs in its document."""
+        key = doc * width + place
+        order = np.argsort(key)
+        lead = np.flatnonzero(np.diff(key[order], prepend=-1))
+        out = np.empty(len(key), np.int64)
+        out[order] = np.repeat(np.diff(np.append(lead, len(key))), np.diff(np.append(lead, len(key))))
+        return out
+
 
 def _score_rows(shared, groups: int, size: int, totals: tuple[int, int], leave_out: bool):
     def run(chunk: Chunk, answers: dict) -> pa.Table:
         target = _target_ids(answers) if leave_out else set()
         x = Tokens(chunk, shared and shared.value)
-        every = np.unique(np.concatenate([x.hashes[x.w], x.pairs]))
+        every = x.every
         order, bounds = _by_group(every, groups)
         n, t = np.zeros(len(every)), np.zeros(len(every))
         for g in np.flatnonzero(np.diff(bounds)):
             raw = zstandard.ZstdDecompressor().decompress(answers[_COUNTS, int(g)])
             part = order[bounds[g] : bounds[g + 1]]
             n[part], t[part] = _numbers(raw[: len(raw) // 2], np.uint64), _numbers(raw[len(raw) // 2 :], np.uint64)
-        word, pair = np.searchsorted(every, x.hashes), np.searchsorted(every, x.pairs)
         starts = np.cumsum(x.sizes) - x.sizes
         mask = np.array([key in target for key in chunk.keys()], bool)
-        own = _Own(x, mask, pair) if mask.any() else None
+        own = _Own(x, mask) if mask.any() else None
         losses = []
         for c, total, out in ((t, totals[1], own), (n, totals[0], None)):
-            both, first, single = c[pair], c[word[x.v]], c[word[x.w]]
+            both, first, single = c[x.pair], c[x.first], c[x.word]
             if out is not None:
                 both, first, single, total = both - out.pair, first - out.v, single - out.w, total - out.size
             losses.append(-np.add.reduceat(np.log((both + MASS * ((single + 1) / (total + size + 2))) / (first + MASS)), starts) / x.sizes)

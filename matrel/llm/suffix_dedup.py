@@ -32,7 +32,7 @@ from .common import materialize, read_table
 #: Bytes of a repeated string, fixed by the contract; bytes of an anchor.
 LENGTH, ANCHOR = 50, 16
 #: Positions that are hashed at a time, and windows of a batch of the index.
-BLOCK, BATCH = 1 << 20, 1 << 16
+BLOCK, BATCH = 1 << 20, 1 << 17
 _ANCHORS, _OWNED = 0, 1
 
 
