@@ -161,12 +161,13 @@ class SuffixLevels:
     bytes), with the smallest id of each. Batches come by rising id; no suffix is in two levels."""
 
     def __init__(self, text: np.ndarray, length: int):
-        self.windows, self.kind = np.lib.stride_tricks.sliding_window_view(text, length), np.dtype(("S", length))
+        # every suffix's first bytes as one item, lying over each other in the text
+        self.windows = np.ndarray((max(0, len(text) - length + 1),), np.dtype(("S", length)), text, 0, (1,))
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.matched = self.merged = 0  # suffixes of batches that a level had; merges of levels
 
     def suffixes(self, at: np.ndarray) -> np.ndarray:
-        return self.windows[at].view(self.kind).ravel()
+        return self.windows[at]
 
     def scan(self, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The owner of each suffix of a batch (positions, by rising id), which is then added."""
@@ -205,8 +206,9 @@ class SuffixLevels:
             part = np.arange(len(level))
         both = np.concatenate([self.suffixes(level[part]), heads])
         order = np.argsort(both, kind="stable")  # a merge of two runs; of equal ones the level's comes first
-        same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
-        return order[same + 1] - len(part), part[order[same]]
+        after = np.flatnonzero((order[1:] >= len(part)) & (order[:-1] < len(part)))  # a head right behind one of the level
+        after = after[both[order[after + 1]] == both[order[after]]]
+        return order[after + 1] - len(part), part[order[after]]
 
     def _push(self, at: np.ndarray, owners: np.ndarray) -> None:
         while self.levels and len(self.levels[-1][0]).bit_length() <= len(at).bit_length():
