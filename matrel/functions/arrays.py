@@ -59,7 +59,7 @@ def l2_norm(x: Column) -> Column:
 
 def scaled(x: Column, by: Column) -> Column:
     """x / by, or zeros if by is 0."""
-    return F.transform(x, lambda v: F.when(by == 0, 0.0).otherwise(v / by))
+    return let(by, lambda n: F.transform(x, lambda v: F.when(n == 0, 0.0).otherwise(v / n)))
 
 
 def normalize(x: Column) -> Column:
@@ -67,15 +67,19 @@ def normalize(x: Column) -> Column:
     return scaled(x, l2_norm(x))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(x: Column) -> Column:
     """exp-normalise, shifted by the maximum."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / total(e))
+    powers = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+    return let(F.array_max(x), lambda top: top + F.ln(total(F.transform(x, lambda v: F.exp(v - top)))))
 
 
 def power(x: Column, exponent: float) -> Column:
