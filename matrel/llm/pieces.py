@@ -43,7 +43,7 @@ SPARE_UNITS = 60_000
 #: Edges of the store beyond those of kept units that stay allocated.
 MOST_SPARE_EDGES = 4_000_000
 #: Characters of texts that are laid out together.
-GROUP_CHARS = 800_000
+GROUP_CHARS = 400_000
 
 #: Characters that usual normalisers change, and runs of spaces.
 PROBE = "  a   " + "".join(c for c in map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x10000))) if c != SPACE and (c != c.lower() or not unicodedata.is_normalized("NFKC", c))) + "  "
@@ -103,12 +103,10 @@ def distinct_units(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]
 
 
 class Lattices:
-    """Lattices of distinct units in flat arrays: a node for each character; the edges of a node lie together. Also the
-    number of pieces that the model's own coding gives a unit, and whether these decode to it."""
+    """Lattices of distinct units in flat arrays: a node for each character; the edges of a node lie together."""
 
     def __init__(self, sp: sentencepiece.SentencePieceProcessor, pieces: dict[str, tuple[int, float]], byte_weight: float, kept: int = KEPT_UNITS):
-        self.sp, self.pieces, self.byte_weight, self.kept = sp, pieces, byte_weight, kept
-        self.bytes_of = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
+        self.byte_weight, self.kept = byte_weight, kept
         names = sorted(pieces)
         if sp.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
             raise ValueError("a model whose normaliser changes texts")
@@ -142,7 +140,7 @@ class Lattices:
         self.spare: dict[str, int] = {}  # units met lately, of higher numbers
         self.units = self.nodes = self.edges = 0  # in use; the arrays below have room for more
         self.units_kept = self.nodes_kept = self.edges_kept = 0
-        self.first, self.coded, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.first = np.zeros(0, np.int64)
         self.start, self.degree = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.to, self.id, self.source = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.logq, self.cum = np.zeros(0), np.zeros(0)
@@ -248,39 +246,14 @@ class Lattices:
             cum[lead[live] + k] = so_far[live]
             k += 1
         units, nodes, edges = self.units, self.nodes, self.edges
-        coded, same = self._code(new)
         target[target >= 0] += nodes
         for name, at, values in (
-            ("first", units, head + nodes), ("coded", units, coded), ("same", units, same), ("start", nodes, start + edges), ("degree", nodes, degree),
+            ("first", units, head + nodes), ("start", nodes, start + edges), ("degree", nodes, degree),
             ("to", edges, target), ("id", edges, ident), ("source", edges, node + nodes), ("logq", edges, logq), ("cum", edges, cum),
         ):
             self._store(name, at, values)
         self.units, self.nodes, self.edges = units + len(new), nodes + n, edges + len(node)
 
-    def _code(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The model's coding of units, many in one text between line breaks: no piece crosses units and a line break is
-        one, so a text's coding is that of its units in a row."""
-        line = self.sp.piece_to_id("<0x0A>") if "\n" not in self.pieces else self.pieces["\n"][0]
-        texts = ["\n" + "\n".join(part).replace(SPACE, " ") + "\n" for part in (new[i : i + 2000] for i in range(0, len(new), 2000))]
-        coded, same = [], []
-        for k, (text, ids) in enumerate(zip(texts, self.sp.encode(texts, num_threads=1))):
-            part = new[2000 * k : 2000 * k + 2000]
-            at = np.flatnonzero(np.array(ids) == line)
-            if len(at) != len(part) + 1 or "\n" in part:  # a unit is itself a line break
-                at = np.delete(at, [i + 1 for i, x in enumerate(part) if x == "\n"])
-            coded.append(np.diff(at) - 1)
-            if self.decode(ids) == text:
-                same.append(np.ones(len(part), bool))
-            else:
-                lines = [self.decode(ids[a + 1 : b], inside=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                same.append(np.array([x == y.replace(SPACE, " ") for x, y in zip(lines, part)], bool))
-        return np.concatenate(coded), np.concatenate(same)
-
-    def decode(self, ids: list[int], inside: bool = False) -> str:
-        """The text of pieces: their bytes in a row, without the space that the coding puts first."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
-        return text if inside else text.removeprefix(" ")
-
     def trim(self) -> None:
         """Forget the units beyond those that are kept, if there are many."""
         if len(self.spare) > SPARE_UNITS:
@@ -460,9 +433,9 @@ def _state(model: bytes, alpha: float) -> tuple:
     return _STATE[tag]
 
 
-def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row for each row of docs: ids of the deterministic encoding (null without with_ids), n_pieces, round_trip
-    (whether decoding gives the text again), and an array of samples (rank, ids, n_pieces, ids_hash, log_prob,
+def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: ids of the deterministic encoding of the whole text, n_pieces, round_trip (whether
+    decoding these ids gives the text again), and an array of samples (rank, ids, n_pieces, ids_hash, log_prob,
     perturbed, inclusion).
 
     No shuffle; the model (a published file) is broadcast. Memory: one Arrow batch, a bounded store of unit lattices,
@@ -476,17 +449,16 @@ def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float =
     sample_type = pa.struct([("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("ids_hash", pa.string()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
 
     def listed(parts: list[np.ndarray]) -> pa.Array:
-        """Lists of ids from arrays of ids, all null without with_ids."""
-        if not with_ids:
-            return pa.nulls(len(parts), pa.list_(pa.int32()))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
 
     def columns(keys: list, texts: list[str]) -> list[pa.Array]:
         sp, lat, byte_ids = _state(shared.value, alpha)
         at = lat.look_up(texts)
-        n_pieces = pa.array([int(lat.coded[x].sum()) for x in at], pa.int64())
-        same = pa.array([bool(lat.same[x].all()) and SPACE not in t for x, t in zip(at, texts)], pa.bool_())
+        coded = sp.encode(texts, num_threads=1)
+        n_pieces = pa.array(map(len, coded), pa.int64())
+        same = pa.array([sp.decode(x) == t for x, t in zip(coded, texts)], pa.bool_())
+        coded = listed([np.array(x, np.int32) for x in coded])
         found = sample_paths(lat, at, [row_key(x, seed) for x in keys], samples)
         flat = [(rank, edge_ids(lat, edges, byte_ids), *more) for row in found for rank, (edges, *more) in enumerate(row, 1)]
         lat.trim()
@@ -494,17 +466,15 @@ def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float =
         digests = [xxhash.xxh64_hexdigest(x.astype("<i4").tobytes()) for x in ids]
         struct = pa.StructArray.from_arrays([pa.array(rank, pa.int32()), listed(ids), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), *(pa.array(c, pa.float64()) for c in (log_prob, value, score))], fields=list(sample_type))
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in found])]).astype(np.int32)
-        coded = [np.array(x, np.int32) for x in sp.encode(texts, num_threads=1)] if with_ids else [None] * len(texts)
-        return [listed(coded), n_pieces, same, pa.ListArray.from_arrays(pa.array(offsets), struct)]
+        return [coded, n_pieces, same, pa.ListArray.from_arrays(pa.array(offsets), struct)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, a = batch.column(0), batch.column(1), 0
-            most = GROUP_CHARS // 2 if with_ids else GROUP_CHARS  # lists of ids take room too
             sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             while a < len(texts):
                 b, n = a, 0
-                while b < len(texts) and (b == a or n + sizes[b] <= most):
+                while b < len(texts) and (b == a or n + sizes[b] <= GROUP_CHARS):
                     n += sizes[b]
                     b += 1
                 part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
@@ -531,10 +501,10 @@ def decode_pieces(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of documents: encoding, round trip, and two samples without replacement, flattened."""
-    out = code_pieces(read_table(spark, sf_dir, "documents"), load_model(), with_ids=False)
+    """All of documents: encoding and decoding of whole texts, and two samples without replacement, flattened."""
+    out = code_pieces(read_table(spark, sf_dir, "documents"), load_model())
     flat = [F.get("samples", F.lit(i))[c].alias(f"sample{i + 1}_{c}") for i in range(2) for c in ("n_pieces", "ids_hash", "log_prob", "inclusion")]
-    return out.select("doc_id", "n_pieces", "round_trip", *flat)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "round_trip", *flat)
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece}

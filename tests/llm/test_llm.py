@@ -547,6 +547,21 @@ def test_coding_matches_model(spark, model):
     assert pieces.code_pieces(docs_of(spark, []), model).count() == 0
 
 
+def test_query_codes_whole_texts(spark, model, tmp_path, monkeypatch):
+    sp, real, made = pieces.processor(model), pieces.code_pieces, []
+    text = {1: "a  b\n\nc\td", 2: "", 3: None, 4: "a▁b", 5: "word " * 300}
+    docs_of(spark, list(text.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pieces, "code_pieces", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    got = {r["doc_id"]: r for r in pieces.op9_sentencepiece(spark, str(tmp_path)).collect()}
+    rows = made[0].collect()
+    assert len(rows) == len(got) == len(text)
+    for r in rows:
+        t, q = text[r["doc_id"]] or "", got[r["doc_id"]]
+        assert list(r["ids"]) == sp.encode(t) and q["n_pieces"] == len(r["ids"]) and q["round_trip"] == (sp.decode(list(r["ids"])) == t)
+        for i, s in enumerate(r["samples"], 1):
+            assert q[f"sample{i}_n_pieces"] == len(s["ids"]) and q[f"sample{i}_ids_hash"] == xxhash.xxh64_hexdigest(np.array(s["ids"], "<i4").tobytes())
+
+
 def test_samples_follow_the_lattice(model):
     sp = pieces.processor(model)
     weights, byte_weight = pieces.piece_weights(sp)
