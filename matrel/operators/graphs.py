@@ -14,6 +14,10 @@ from ..functions import arrays as A
 from ..functions.hashing import dealt, uniform
 from ..functions.stats import running_total
 from ..storage import cut
+from .nearest import FOUND, PACKED, block_neighbours, pack
+
+#: Vectors of a block of nodes whose neighbours are looked for exhaustively.
+BLOCK_BYTES = 8 << 20
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -282,10 +286,11 @@ METRICS = {
 
 
 def top_edges(candidates: DataFrame, k: int, per_group: bool = True) -> DataFrame:
-    """Of candidates (src, dst, dst_grp, weight) the k lightest of each node, at most one into a group."""
+    """Of candidates (src, dst, dst_grp, weight) the k lightest of each node, at most one into a group; those
+    without weight come last."""
     if per_group:
-        candidates = candidates.groupBy("src", "dst_grp").agg(F.min(F.struct("weight", "dst")).alias("e")).select("src", "e.dst", "dst_grp", "e.weight")
-    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("weight", "dst")))
+        candidates = candidates.groupBy("src", "dst_grp").agg(F.min(F.struct(F.col("weight").isNull(), "weight", "dst")).alias("e")).select("src", "e.dst", "dst_grp", "e.weight")
+    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.asc_nulls_last("weight"), "dst")))
     return ranked.where(F.col("rank") <= k).select("src", "dst", "weight", "rank")
 
 
@@ -299,16 +304,21 @@ def scored(pairs: DataFrame, nodes: DataFrame, metric: str = "any") -> DataFrame
 
 
 def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None = None, per_group: bool = True) -> DataFrame:
-    """The exact graph: nodes in blocks (of about 1000 nodes, at least 8), each block of queries against each block of
-    targets, so tasks grow in number with the table and not in size."""
-    blocks = blocks or max(8, nodes.count() // 1000)
-    cut = lambda name: nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).select(F.struct("node", "grp", "eqv", "label", "x").alias(name), "block")
+    """The exact graph: nodes in blocks (of about BLOCK_BYTES of vectors, at least 8), each block of queries against each
+    block of targets, so tasks grow in number with the table and not in size. A node or group that is null matches none."""
+    of = nodes.schema
+    v = nodes.where("node is not null and grp is not null").select(*(F.col(c).cast("long") for c in ("node", "grp", "eqv", "label")), F.col("x").cast("array<double>"))
+    sizes = v.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).collect()
+    width = max(((r["n"], r["size"]) for r in sizes if (r["size"] or 0) > 0), default=(0, 1))[1]
+    room = sum(r["n"] * 8 * max(8, r["size"] or 0) for r in sizes)
+    blocks = blocks or max(8, -(-room // BLOCK_BYTES))
+    packed = cut(v.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, PACKED))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = cut("a").select("a", F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = cut("b").select("b", F.col("block").alias("j"), F.explode(every).alias("i"))
-    pairs = left.join(right, ["i", "j"]).where(may_match() & METRICS[metric](F.col("a.label"), F.col("b.label")))
-    scored_pairs = pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.col("b.grp").alias("dst_grp"), A.squared_distance(F.col("a.x"), F.col("b.x")).alias("weight"))
-    return top_edges(scored_pairs, k, per_group)
+    left = packed.select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(every).alias("j"))
+    right = packed.select("*", F.lit(False).alias("left"), F.explode(every).alias("i"), F.col("block").alias("j"))
+    near = left.unionByName(right).groupBy("i", "j").applyInArrow(block_neighbours(k, metric, per_group, width), FOUND)
+    near = near.select(F.col("src").cast(of["node"].dataType), F.col("dst").cast(of["node"].dataType), F.col("dst_grp").cast(of["grp"].dataType), "weight")
+    return top_edges(near, k, per_group)
 
 
 def random_graph(nodes: DataFrame, k: int, seed: int = 0, buckets: int | None = None) -> DataFrame:

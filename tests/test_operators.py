@@ -297,3 +297,44 @@ def test_images(spark):
 def test_repeated_names_take_the_last_value(spark):
     got = spark.range(1).select(T.parse_name_values(F.lit("a=1,b=2,a=3;c")).alias("m")).first()["m"]
     assert got == {"a": "3", "b": "2", "c": "true"}
+
+
+def test_blocks_of_odd_vectors_against_all_pairs(spark):
+    """The same edges as by all pairs: copies, groups of one, vectors that are null, short, huge or hold a null or NaN."""
+    rng = np.random.default_rng(5)
+    x = [list(map(float, v)) for v in np.round(rng.normal(size=(90, 3)), 1)]
+    x[10:30] = [x[9]] * 20
+    x[40], x[41], x[42], x[43], x[44], x[45] = None, [1.0], [1.0, None, 2.0], [float("nan"), 0.0, 1.0], [1e200, 0.0, 0.0], [float("inf"), 0.0, 1.0]
+    rows = [(i, i % 7 if i < 80 else 100 + i, i % 3 - 1 if i % 11 else None, i % 5 - 1 if i % 13 else None, v) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, grp int, eqv int, label int, x array<double>")
+    null = lambda v: v is None
+
+    def weight(p, q):
+        if null(p) or null(q) or len(p) != len(q) or any(map(null, (*p, *q))):
+            return None
+        total = 0.0
+        for a, b in zip(p, q):
+            total += (a - b) * (a - b)
+        return total
+
+    order = lambda e: (null(e[0]), not null(e[0]) and e[0] != e[0], 0 if null(e[0]) or e[0] != e[0] else e[0], e[1])
+    fine = {
+        "any": lambda a, b: True,
+        "label-equal": lambda a, b: not null(a) and a == b and a >= 0,
+        "label-different": lambda a, b: not null(a) and not null(b) and a != b and a >= 0 and b >= 0,
+        "label-equal-or-unknown": lambda a, b: not null(a) and (a < 0 or a == b) or not null(b) and b < 0,
+    }
+    for metric, ok in fine.items():
+        for k, per_group in ((3, True), (2, False), (40, True), (100, False)):
+            want = set()
+            for i, g, e, label, v in rows:
+                found = [(weight(v, w), j, h) for j, h, f, m, w in rows if h != g and not null(e) and not (e >= 0 and (null(f) or e == f)) and ok(label, m)]
+                found.sort(key=order)
+                taken, n = set(), 0
+                for w, j, h in found:
+                    if n < k and not (per_group and h in taken):
+                        taken.add(h)
+                        n += 1
+                        want.add((i, j, repr(w), n))
+            got = {(r["src"], r["dst"], repr(r["weight"]), r["rank"]) for r in G.exhaustive(nodes, k, metric, blocks=3, per_group=per_group).collect()}
+            assert got == want, (metric, k, per_group)
