@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..functions.stats import running_total
 from ..storage import cut
 from .nearest import FOUND, PACKED, block_neighbours, pack
 
+#: Edges between components that one task makes a forest of.
+FEW_EDGES = 200_000
 #: Vectors of a block of nodes whose neighbours are looked for exhaustively.
 BLOCK_BYTES = 8 << 20
 
@@ -52,16 +57,41 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (src, dst, w) of one partition's minimum spanning forest between its components a and b; of equal weights
+    by ends, null ones first and NaN last."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    t = pa.Table.from_batches(found)
+    t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("kind", "w", "src", "dst")]))
+    ends = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)[1].tolist()
+    root, taken = list(range(max(ends) + 1)), []
+    for n, (x, y) in enumerate(zip(ends[: t.num_rows], ends[t.num_rows :])):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            taken.append(n)
+    yield from t.take(pa.array(taken, pa.int64())).select(["src", "dst", "w"]).to_batches()
+
+
+def spanning_forest(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40, few: int = FEW_EDGES) -> DataFrame:
     """Edges (src, dst, w), src < dst, of a minimum spanning forest, by rounds in which every component takes its least
     edge (ties by ends, so that no cycle arises) and components that an edge joins become one. A round works on the edges
-    that are left between components, of which at most one for each pair stays."""
+    that are left between components, of which at most one for each pair stays. When few are left one task ends the work, so
+    rounds, each of some ten jobs that the driver keeps record of, are only those that bring the edges down to few."""
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct("w", F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).alias("e"))
     chosen = []
     for _ in range(max_rounds):
         e = cut(e.where("a <> b").groupBy("a", "b").agg(F.min("e").alias("e")))
-        if e.isEmpty():
-            return reduce(DataFrame.union, chosen) if chosen else edges.select("src", "dst", "w").where("false")
+        if e.count() <= few:
+            kind = F.when(F.col("e.w").isNull(), 0).when(F.isnan(F.col("e.w").cast("double")), 2).otherwise(1)
+            last = e.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("e.p").alias("src"), F.col("e.q").alias("dst"), "e.w", kind.alias("kind"))
+            chosen.append(last.repartition(1).mapInArrow(_forest_of, last.select("src", "dst", "w").schema))
+            return reduce(DataFrame.union, chosen)
         sides = e.select(F.col("a").alias("c"), "a", "b", "e").union(e.select(F.col("b").alias("c"), "a", "b", "e"))
         best = cut(sides.groupBy("c").agg(F.min(F.struct("e", "a", "b")).alias("s")).select("s.*").distinct())
         chosen.append(best.select(F.col("e.p").alias("src"), F.col("e.q").alias("dst"), F.col("e.w").alias("w")))

@@ -338,3 +338,19 @@ def test_blocks_of_odd_vectors_against_all_pairs(spark):
                         want.add((i, j, repr(w), n))
             got = {(r["src"], r["dst"], repr(r["weight"]), r["rank"]) for r in G.exhaustive(nodes, k, metric, blocks=3, per_group=per_group).collect()}
             assert got == want, (metric, k, per_group)
+
+
+def test_spanning_forest_ends_in_one_task(spark):
+    """The same forest by rounds alone, by one task, and by Kruskal's method; loops, equal weights and double edges too."""
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(0, 6, 150))]
+    nodes, edges = spark.range(80), spark.createDataFrame([*rows, rows[0]], "src long, dst long, w double")
+    want = sorted(G.kruskal(range(80), [(min(a, b), max(a, b), w) for a, b, w in rows if a != b]))
+    jobs = spark.sparkContext.statusTracker()
+    for few, most in ((0, None), (20, None), (1000, 12)):
+        spark.sparkContext.setJobGroup(f"forest-{few}", "")
+        got = sorted(tuple(r) for r in G.spanning_forest(nodes, edges, few=few).collect())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == want
+        assert most is None or len(jobs.getJobIdsForGroup(f"forest-{few}")) <= most
+    assert G.spanning_forest(nodes, edges.where("false")).count() == 0
