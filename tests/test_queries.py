@@ -25,7 +25,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["knn_exhaustive", "graph_energy", "label_transfer", "knn_label_equal"])
+@pytest.mark.parametrize("name", ["knn_exhaustive", "graph_energy", "label_transfer", "knn_label_equal", "knn_enrichment"])
 def test_neighbours_with_null_vectors(spark, tmp_path, name):
     """A pair without distance comes last, as in the SQL."""
     rows = [(i, None if i in (3, 27) else [float((i * 37 + t * t * (i % 7)) % 101) for t in range(64)], i % 4 if i != 8 else None) for i in range(60)]
