@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -21,8 +21,10 @@ from .nearest import FOUND, PACKED, block_neighbours, pack
 
 #: Edges between components that one task makes a forest of.
 FEW_EDGES = 200_000
-#: Vectors of a block of nodes whose neighbours are looked for exhaustively.
-BLOCK_BYTES = 8 << 20
+#: Vectors of a block of nodes whose neighbours are looked for exhaustively, of those on the right that a task meets, and of
+#: nodes that share a part where only equal labels match; tasks at least.
+BLOCK_BYTES, RIGHT_BYTES, PART_BYTES = 32 << 20, 192 << 20, 16 << 20
+TASKS = 12
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -333,20 +335,39 @@ def scored(pairs: DataFrame, nodes: DataFrame, metric: str = "any") -> DataFrame
     return both.select("src", "dst", F.col("b.grp").alias("dst_grp"), A.squared_distance(F.col("a.x"), F.col("b.x")).alias("weight"))
 
 
+def _bytes(r) -> int:
+    return r["n"] * 8 * max(8, r["size"] or 0)
+
+
 def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None = None, per_group: bool = True) -> DataFrame:
-    """The exact graph: nodes in blocks (of about BLOCK_BYTES of vectors, at least 8), each block of queries against each
-    block of targets, so tasks grow in number with the table and not in size. A node or group that is null matches none."""
+    """The exact graph: nodes in blocks (of at most about BLOCK_BYTES of vectors, for TASKS tasks at least); a task holds one
+    block of queries and takes one block of targets after the other, of up to RIGHT_BYTES, so tasks grow in number with the
+    table and not in size. A node or group that is null matches none. Where labels must be equal, only nodes whose labels
+    are in one part meet."""
     of = nodes.schema
     v = nodes.where("node is not null and grp is not null").select(*(F.col(c).cast("long") for c in ("node", "grp", "eqv", "label")), F.col("x").cast("array<double>"))
-    sizes = v.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).collect()
-    width = max(((r["n"], r["size"]) for r in sizes if (r["size"] or 0) > 0), default=(0, 1))[1]
-    room = sum(r["n"] * 8 * max(8, r["size"] or 0) for r in sizes)
-    blocks = blocks or max(8, -(-room // BLOCK_BYTES))
-    packed = cut(v.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, PACKED))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = packed.select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = packed.select("*", F.lit(False).alias("left"), F.explode(every).alias("i"), F.col("block").alias("j"))
-    near = left.unionByName(right).groupBy("i", "j").applyInArrow(block_neighbours(k, metric, per_group, width), FOUND)
+    parts = 1
+    if metric == "label-equal":
+        v = v.where("label >= 0")
+        parts = int(max(1, min(256, sum(_bytes(r) for r in v.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).collect()) // PART_BYTES)))
+    v = v.withColumn("part", F.lit(0) if parts == 1 else F.pmod("label", F.lit(parts)).cast("int"))
+    sizes = v.groupBy("part", F.size("x").alias("size")).agg(F.count("*").alias("n")).collect()
+    widths = Counter()
+    room = Counter()
+    for r in sizes:
+        room[r["part"]] += _bytes(r)
+        if (r["size"] or 0) > 0:
+            widths[r["size"]] += r["n"]
+    width = max(((n, size) for size, n in widths.items()), default=(0, 1))[1]
+    largest = max(room.values(), default=0)
+    blocks = blocks or max(-(-TASKS // max(1, len(room))), -(-largest // BLOCK_BYTES))
+    share = max(1, blocks * RIGHT_BYTES // max(1, largest))  # blocks on the right of a task
+    packed = cut(v.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("part", "block").applyInArrow(pack, PACKED))
+    left = packed.select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // share))).alias("j"))
+    right = packed.select("*", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.floor(F.col("block") / F.lit(share)).cast("int").alias("j"))
+    tasks = max(1, len(room)) * blocks * ((blocks - 1) // share + 1)
+    both = left.unionByName(right).repartition(min(4 * tasks, 2000), "part", "i", "j")  # so few share a partition
+    near = both.groupBy("part", "i", "j").applyInArrow(block_neighbours(k, metric, per_group, width), FOUND)
     near = near.select(F.col("src").cast(of["node"].dataType), F.col("dst").cast(of["node"].dataType), F.col("dst_grp").cast(of["grp"].dataType), "weight")
     return top_edges(near, k, per_group)
 

@@ -1,5 +1,6 @@
 """Exact nearest neighbours of one block of nodes among another, as an Arrow function: distances of all pairs by a matrix
-product, which errs by rounding alone; pairs that may be among the best by that are measured again term by term."""
+product, in single precision where that tells enough, which errs by rounding alone; pairs that may be among the best by that
+are measured again term by term."""
 
 from __future__ import annotations
 
@@ -7,11 +8,17 @@ import numpy as np
 import pyarrow as pa
 
 #: Pairs whose distances are held at a time.
-TILE_PAIRS = 1 << 21
+TILE_PAIRS = 1 << 20
 #: Larger components are measured term by term, as their squares would leave the range.
 LARGEST = 1e100
-
-PACKED = "block int, node binary, grp binary, eqv binary, label binary, size binary, x binary, hole binary"
+#: Squared lengths over which single precision is not tried.
+SINGLE = 1e30
+#: Pairs for each one looked for from which a tile is taken again in double precision.
+VAGUE = 32
+#: Groups over which stretches of a row are not taken one by one.
+MANY = 256
+
+PACKED = "part int, block int, node binary, grp binary, eqv binary, label binary, size binary, x binary, single boolean, hole binary"
 FOUND = "src long, dst long, dst_grp long, weight double"
 _FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("dst_grp", pa.int64()), ("weight", pa.float64())])
 #: A null label or class.
@@ -19,16 +26,22 @@ NULL = np.iinfo(np.int64).min
 
 
 def pack(table: pa.Table) -> pa.Table:
-    """One block (block, node, grp, eqv, label, x) as one row. size: components of x, -1 for null; hole: null components."""
+    """One block (part, block, node, grp, eqv, label, x) as one row. size: components of x, -1 for null; single: whether x
+    is in single precision, which must lose nothing; hole: null components."""
     whole = lambda c: table[c].cast(pa.int64()).fill_null(NULL).to_numpy()
     x = table["x"].combine_chunks()
     flat = x.flatten()
     size = x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     hole = flat.is_null().to_numpy(zero_copy_only=False)
     values = flat.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
-    row = [table["block"][0].as_py(), *(whole(c).tobytes() for c in ("node", "grp", "eqv", "label")), size.tobytes(), values.tobytes(), hole.tobytes() if hole.any() else b""]
-    kinds = (pa.int32(), *[pa.binary()] * 7)
-    return pa.table({n: pa.array([v], t) for n, v, t in zip(("block", "node", "grp", "eqv", "label", "size", "x", "hole"), row, kinds)})
+    with np.errstate(over="ignore", invalid="ignore"):
+        short = values.astype(np.float32)
+    if single := bool(((short == values) | np.isnan(values)).all()):
+        values = short
+    row = [*(table[c][0].as_py() for c in ("part", "block")), *(whole(c).tobytes() for c in ("node", "grp", "eqv", "label")), size.tobytes(), values.tobytes(), single, hole.tobytes() if hole.any() else b""]
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.bool_(), pa.binary())
+    names = ("part", "block", "node", "grp", "eqv", "label", "size", "x", "single", "hole")
+    return pa.table({n: pa.array([v], t) for n, v, t in zip(names, row, kinds)})
 
 
 class Block:
@@ -38,7 +51,8 @@ class Block:
         part = {c: np.frombuffer(row[c], np.int64) for c in ("node", "grp", "eqv", "label", "size")}
         order = np.argsort(part["grp"], kind="stable")
         self.node, self.grp, self.eqv, self.label, self.size = (part[c][order] for c in ("node", "grp", "eqv", "label", "size"))
-        flat, hole = np.frombuffer(row["x"], np.float64), np.frombuffer(row["hole"], bool)
+        flat, hole = np.frombuffer(row["x"], np.float32 if row["single"] else np.float64), np.frombuffer(row["hole"], bool)
+        flat = flat.astype(np.float64, copy=False)
         have = np.maximum(part["size"], 0)
         ends = np.cumsum(have)
         fit = part["size"] == width
@@ -98,11 +112,36 @@ def _barred(metric: str, a: Block, rows: np.ndarray, b: Block, cols: np.ndarray)
     return out
 
 
-def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: np.ndarray, k: int, metric: str, per_group: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows and cols, both by group, among which the k best of each row are. right: factors of cols."""
-    x = a.x[rows]
+class Factors:
+    """What the columns of a block bring to the product: vectors from a centre and their squared lengths, in either precision."""
+
+    def __init__(self, b: Block, cols: np.ndarray, centre: np.ndarray):
+        self.centre = centre
+        y = np.where(b.sound[cols, None], b.x[cols] - centre, 0.0)
+        norm = np.einsum("ij,ij->i", y, y)
+        self.double = np.ascontiguousarray(np.concatenate([-2.0 * y, np.ones((len(y), 1)), norm[:, None]], axis=1).T)
+        self.longest = norm.max()
+        self.single = self.double.astype(np.float32) if self.longest < SINGLE else None
+        self.rounding = np.where(b.sound[cols], np.einsum("ij,ij->i", b.x[cols], b.x[cols]), 0.0).max()
+        grp = b.grp[cols]
+        self.lead = np.flatnonzero(np.diff(grp, prepend=grp[0] - 1))
+
+
+def _least(d: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Least of each stretch of columns."""
+    if len(lead) > MANY:
+        return np.minimum.reduceat(d, lead, axis=1)
+    return np.stack([d[:, x:y].min(axis=1) for x, y in zip(lead, [*lead[1:], d.shape[1]])], 1)
+
+
+def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: Factors, k: int, metric: str, per_group: bool, bound: np.ndarray, single: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows and cols, both by group, among which those of the k best of each row are that are not over its
+    bound."""
+    x = np.where(a.sound[rows, None], a.x[rows] - right.centre, 0.0)
     norm = np.einsum("ij,ij->i", x, x)
-    d = np.concatenate([x, norm[:, None], np.ones((len(rows), 1))], axis=1) @ right
+    single = single and right.single is not None and norm.max() < SINGLE
+    left = np.concatenate([x, norm[:, None], np.ones((len(rows), 1))], axis=1)
+    d = left.astype(np.float32) @ right.single if single else left @ right.double
     odd = not (a.sound[rows].all() and b.sound[cols].all())
     if odd:
         d[~a.sound[rows]] = np.nan
@@ -117,16 +156,24 @@ def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: np.ndar
     if odd:
         i, j = np.nonzero(np.isnan(d))
         d[i, j] = np.inf
+    # twice what rounding does to a distance, and what it does to vectors on their way to the centre
+    slack = (3e-7 if single else 1e-15) * (x.shape[1] + 16) * (norm + right.longest) + (1e-30 if single else 1e-300)
+    slack += 1e-15 * (x.shape[1] + 16) * (np.where(a.sound[rows], np.einsum("ij,ij->i", a.x[rows], a.x[rows]), 0.0) + right.rounding)
     # least distances of groups; where one group may give several, of stretches: the k-th least is no less than the k-th best
-    lead = np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)) if per_group else np.arange(0, len(cols), max(1, len(cols) // (32 * k)))
-    least = np.minimum.reduceat(d, lead, axis=1)
+    lead = right.lead if per_group else np.arange(0, len(cols), max(1, len(cols) // (8 * k)))
+    least = _least(d, lead).astype(np.float64)
     n = min(k, len(lead))
     best = np.partition(least, n - 1, axis=1)[:, :n]
     cut = np.where(np.isfinite(best), best, -np.inf).max(axis=1)
     if not per_group and (short := ~np.isfinite(best).all(axis=1) | (n < k)).any():
         cut[short] = np.where(np.isfinite(d[short]), d[short], -np.inf).max(axis=1)
-    slack = 1e-15 * (x.shape[1] + 16) * (norm + np.where(b.sound[cols], right[-1], 0.0).max()) + 1e-300
-    p, q = np.nonzero(d <= (cut + slack)[:, None])
+    cut = np.minimum(cut, bound[rows]) + slack
+    if single:  # rounded up
+        cut = np.nextafter(cut.astype(np.float32), np.float32(np.inf))
+    at = np.flatnonzero((d <= cut[:, None]).ravel())
+    if single and len(at) > VAGUE * k * len(rows):
+        return _tile(a, rows, b, cols, right, k, metric, per_group, bound, False)
+    p, q = np.divmod(at, d.shape[1])
     if per_group:
         of = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(cols))))
         near = d[p, q] <= least[p, of[q]] + slack[p]
@@ -145,38 +192,53 @@ def _first(keys: list[np.ndarray], many: int) -> np.ndarray:
     return np.arange(len(new)) - head < many
 
 
+def _best(found: tuple[np.ndarray, ...], k: int, per_group: bool) -> tuple[np.ndarray, ...]:
+    """Of pairs (row, node, group, squared distance) the k best of each row, at most one of a group; those without distance
+    come last."""
+    i, node, grp, w = found
+    order = np.lexsort((node, w, w < 0, i))
+    i, node, grp, w = (c[order] for c in (i, node, grp, w))
+    if per_group:
+        by = np.lexsort((grp, i))
+        keep = np.sort(by[_first([i[by], grp[by]], 1)])
+        i, node, grp, w = (c[keep] for c in (i, node, grp, w))
+    keep = _first([i], k)
+    return i[keep], node[keep], grp[keep], w[keep]
+
+
 def block_neighbours(k: int, metric: str, per_group: bool, width: int):
-    """Arrow function over the two blocks of (i, j), packed: for each node of the left one its k best in the right one, at
-    most one of a group. What is not among them is not among its k best of all nodes."""
+    """Arrow function over one packed block on the left and some on the right: for each node of the left one its k best in
+    those on the right, at most one of a group. What is not among them is not among its k best of all nodes. Only one
+    block of the right is laid out at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = {r["left"]: r for r in table.to_pylist()}
-        if len(rows) < 2:  # the other block has no nodes
-            return _FOUND.empty_table()
-        a, b = Block(rows[True], width), Block(rows[False], width)
-        whole = [(np.arange(len(a.node)), np.arange(len(b.node)))]
-        if metric == "label-equal":
-            whole = [(np.flatnonzero(a.label == x), np.flatnonzero(b.label == x)) for x in np.intersect1d(a.label, b.label) if x >= 0]
-        out = []
-        for mine, theirs in whole:
-            y = np.where(b.sound[theirs, None], b.x[theirs], 0.0)
-            right = np.ascontiguousarray(np.concatenate([-2.0 * y, np.ones((len(y), 1)), np.einsum("ij,ij->i", y, y)[:, None]], axis=1).T)
-            step = max(1, TILE_PAIRS // len(theirs))
-            for at in range(0, len(mine), step):
-                with np.errstate(invalid="ignore", over="ignore"):
-                    i, j = _tile(a, mine[at : at + step], b, theirs, right, k, metric, per_group)
-                w = measured(a, i, b, j)
-                order = np.lexsort((b.node[j], w, w < 0, i))
-                i, j, w = i[order], j[order], w[order]
-                if per_group:
-                    by = np.argsort(i * len(b.node) + np.searchsorted(b.grp, b.grp[j]), kind="stable")
-                    keep = np.sort(by[_first([i[by], b.grp[j][by]], 1)])
-                    i, j, w = i[keep], j[keep], w[keep]
-                keep = _first([i], k)
-                out.append((a.node[i[keep]], b.node[j[keep]], b.grp[j[keep]], w[keep]))
-        if not out:
+        at = np.array(table["left"].to_pylist(), bool)
+        if at.all() or not at.any():  # the other side has no nodes
             return _FOUND.empty_table()
-        src, dst, grp, w = (np.concatenate(c) for c in zip(*out))
-        return pa.table([src, dst, grp, pa.array(w, pa.float64(), mask=w < 0)], schema=_FOUND)
+        one = lambda n: table.slice(int(n), 1).to_pylist()[0]
+        a = Block(one(np.flatnonzero(at)[0]), width)
+        centre = a.x[a.sound].mean(axis=0) if a.sound.any() else np.zeros(width)
+        bound = np.full(len(a.node), np.inf)  # of the k-th best of a row so far
+        found = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        for n in np.flatnonzero(~at):
+            b = Block(one(n), width)
+            whole = [(np.arange(len(a.node)), np.arange(len(b.node)))]
+            if metric == "label-equal":
+                whole = [(np.flatnonzero(a.label == x), np.flatnonzero(b.label == x)) for x in np.intersect1d(a.label, b.label) if x >= 0]
+            out = [found]
+            for mine, theirs in whole:
+                right = Factors(b, theirs, centre)
+                step = max(1, TILE_PAIRS // len(theirs))
+                for start in range(0, len(mine), step):
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        i, j = _tile(a, mine[start : start + step], b, theirs, right, k, metric, per_group, bound)
+                    out.append((i, b.node[j], b.grp[j], measured(a, i, b, j)))
+            found = _best(tuple(np.concatenate(c) for c in zip(*out)), k, per_group)
+            count = np.bincount(found[0], minlength=len(bound))
+            last = np.cumsum(count)[count == k] - 1
+            w = found[3][last]
+            bound[found[0][last]] = np.where((w >= 0) & np.isfinite(w), w, np.inf)
+        i, dst, grp, w = found
+        return pa.table([a.node[i], dst, grp, pa.array(w, pa.float64(), mask=w < 0)], schema=_FOUND)
 
     return run

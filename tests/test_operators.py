@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from matrel.operators import factors as X
 from matrel.operators import graphs as G
 from matrel.operators import inference as I
 from matrel.operators import learn as L
+from matrel.operators import nearest
 from matrel.operators import tables as O
 
 
@@ -354,3 +356,29 @@ def test_spanning_forest_ends_in_one_task(spark):
         assert got == want
         assert most is None or len(jobs.getJobIdsForGroup(f"forest-{few}")) <= most
     assert G.spanning_forest(nodes, edges.where("false")).count() == 0
+
+
+def packed_block(block, nodes, x, groups):
+    n = len(nodes)
+    whole = {c: pa.array(v, pa.int64()) for c, v in (("node", nodes), ("grp", groups), ("eqv", [-1] * n), ("label", [0] * n))}
+    return nearest.pack(pa.table({"part": pa.array([0] * n, pa.int32()), "block": pa.array([block] * n, pa.int32()), **whole, "x": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+
+
+@pytest.mark.parametrize("per_group", [True, False])
+@pytest.mark.parametrize("offset", [0.0, 1.0, 1e7])
+def test_one_block_meets_several(per_group, offset):
+    """A task takes several blocks on the right; far from the origin single precision tells nothing, yet edges are exact."""
+    rng, k = np.random.default_rng(5), 3
+    x = offset + rng.normal(size=(240, 8)) * 1e-3
+    x[200:] = x[160:200]  # ties
+    node, grp = np.arange(240), np.arange(240) % 7
+    blocks = [packed_block(b, node[b::4], x[b::4], grp[b::4]) for b in range(4)]
+    table = pa.concat_tables([t.append_column("left", pa.array([at == 0])) for at, t in enumerate([blocks[0], *blocks])])
+    got = nearest.block_neighbours(k, "any", per_group, 8)(table).to_pylist()
+    want = []
+    for i in node[0::4]:
+        seen = {}
+        for d, j in sorted((float(np.cumsum((x[i] - x[j]) ** 2)[-1]), int(j)) for j in node if grp[j] != grp[i]):
+            seen.setdefault(grp[j] if per_group else j, (int(i), j, d))
+        want += list(seen.values())[:k]
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in got) == sorted(want)
