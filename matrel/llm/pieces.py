@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, release
 
 #: The public model used in production; a parameter of the operators.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the model format: the mark of a space; scores at or under this are pieces out of the ranking.
 SPACE = "▁"
 UNUSED = -1e8
-#: Units whose lattices a worker keeps from one group of texts to the next, at most; the first ones met, so the common ones.
+#: Units whose lattices a task keeps from one group of texts to the next, at most; the first ones met, so the common ones.
 KEPT_UNITS = 90_000
 #: Further units that are kept until they are as many.
 SPARE_UNITS = 60_000
@@ -136,6 +136,10 @@ class Lattices:
         self.ends[list(ends)] = list(ends.values())
         self.piece = np.array([pieces[p][0] for p in names], np.int32)
         self.weight = np.array([pieces[p][1] for p in names])
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the store of units; the trie stays."""
         self.index: dict[str, int] = {}  # units that are kept
         self.spare: dict[str, int] = {}  # units met lately, of higher numbers
         self.units = self.nodes = self.edges = 0  # in use; the arrays below have room for more
@@ -433,6 +437,13 @@ def _state(model: bytes, alpha: float) -> tuple:
     return _STATE[tag]
 
 
+def _forget() -> None:
+    """Empty the stores of this worker: workers live on and take turns, so each would hold one through all other stages."""
+    for _, lat, _ in _STATE.values():
+        lat.forget()
+    release()
+
+
 def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: ids of the deterministic encoding of the whole text, n_pieces, round_trip (whether
     decoding these ids gives the text again), and an array of samples (rank, ids, n_pieces, ids_hash, log_prob,
@@ -480,6 +491,7 @@ def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float =
                 part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *columns(keys.slice(a, b - a).to_pylist(), part)], names=[id_col, "ids", "n_pieces", "round_trip", "samples"])
                 a = b
+        _forget()
 
     fields = f"`{id_col}` {kind}, ids array<int>, n_pieces long, round_trip boolean, samples array<struct<rank: int, ids: array<int>, n_pieces: long, ids_hash: string, log_prob: double, perturbed: double, inclusion: double>>"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)

@@ -547,6 +547,18 @@ def test_coding_matches_model(spark, model):
     assert pieces.code_pieces(docs_of(spark, []), model).count() == 0
 
 
+def test_pieces_leave_no_lattices_in_workers(spark, model):
+    """Workers outlive their tasks, so what op9 lays out in them would weigh on all later stages."""
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(lat.edges + len(lat.index) for _, lat, _ in pieces._STATE.values())] * batch.num_rows, pa.int64())], names=["held"])
+
+    pieces.code_pieces(docs_of(spark, [(i, f"some words of text {i}") for i in range(40)]).repartition(8), model).collect()
+    assert spark.range(0, 32, 1, 16).mapInArrow(held, "held long").agg({"held": "max"}).first()[0] == 0
+
+
+
 def test_query_codes_whole_texts(spark, model, tmp_path, monkeypatch):
     sp, real, made = pieces.processor(model), pieces.code_pieces, []
     text = {1: "a  b\n\nc\td", 2: "", 3: None, 4: "a▁b", 5: "word " * 300}
