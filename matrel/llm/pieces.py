@@ -14,8 +14,10 @@ All draws are hashes of (seed, row key, sample, unit, step), so a row's samples
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import unicodedata
@@ -340,25 +342,32 @@ def sample_paths(lat: Lattices, rows: list[np.ndarray], keys: list[int], k: int)
         if not todo:
             break
         streams = base + np.uint64(((s + 1) * 0xA0761D6478BD642F) & _MASK)
-        heads, begin = [], []
-        for i in todo:
-            value, _, path, at, unit, gone = heapq.heappop(heaps[i])
-            if path is None:
-                heads.append((value, None, None, 0, ()))
-                begin.append(0)
-                continue
-            edges, owner = path
-            src = int(lat.source[edges[at]])
-            first = int(lat.start[src])
-            options = [e for e in range(first, first + int(lat.degree[src])) if e not in gone]
-            p = np.exp(lat.logq[options])
-            u = float(uniform(streams[i : i + 1], unit, (1 << 41) + at)[0]) * float(p.sum())
-            pick = options[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(options) - 1)]
-            part = [pick]
-            if lat.to[pick] >= 0:
-                part += walk(lat, np.array([int(lat.to[pick])]), streams[i : i + 1], np.array([unit]), step=1000)[1].tolist()
-            heads.append((value, np.concatenate([edges[:at], part]), np.concatenate([owner[:at], np.full(len(part), unit)]), at, (*gone, pick)))
-            begin.append(unit + 1)
+        popped = [heapq.heappop(heaps[i]) for i in todo]
+        heads: list = [(value, None, None, 0, ()) for value, *_ in popped]
+        begin = [0] * len(todo)
+        split = [n for n, x in enumerate(popped) if x[2] is not None]
+        if split:  # another edge at the node where the set leaves its path, then on to the unit's end
+            stream = streams[[todo[n] for n in split]]
+            unit_of = np.array([popped[n][4] for n in split])
+            draw = uniform(stream, unit_of, np.array([(1 << 41) + popped[n][3] for n in split]))
+            source = lat.source[[popped[n][2][0][popped[n][3]] for n in split]]
+            picks = []
+            for n, u, first, degree in zip(split, draw.tolist(), lat.start[source].tolist(), lat.degree[source].tolist()):
+                gone = popped[n][5]
+                options = [e for e in range(first, first + degree) if e not in gone]
+                sums = list(itertools.accumulate(np.exp(lat.logq[options]).tolist()))
+                picks.append(options[min(bisect.bisect_right(sums, u * sums[-1]), len(options) - 1)])
+            node = lat.to[picks].astype(np.int64)
+            go = np.flatnonzero(node >= 0)
+            owner, more = walk(lat, node[go], stream[go], unit_of[go], step=1000)
+            ends = np.zeros(len(split), np.int64)
+            ends[go] = np.bincount(owner, minlength=len(go))
+            ends = np.cumsum(ends).tolist()
+            for n, pick, a, b in zip(split, picks, [0, *ends], ends):
+                value, _, (edges, path_units), at, unit, gone = popped[n]
+                part = np.concatenate([[pick], more[a:b]])
+                heads[n] = (value, np.concatenate([edges[:at], part]), np.concatenate([path_units[:at], np.full(len(part), unit)]), at, (*gone, pick))
+                begin[n] = unit + 1
         count = np.array([len(rows[i]) - f for i, f in zip(todo, begin)], np.int64)
         tail = np.concatenate([rows[i][f:] for i, f in zip(todo, begin)])
         tail_unit = np.concatenate([np.arange(f, len(rows[i])) for i, f in zip(todo, begin)])
