@@ -382,3 +382,17 @@ def test_one_block_meets_several(per_group, offset):
             seen.setdefault(grp[j] if per_group else j, (int(i), j, d))
         want += list(seen.values())[:k]
     assert sorted((r["src"], r["dst"], r["weight"]) for r in got) == sorted(want)
+
+
+def test_equal_labels_meet_in_parts(spark, monkeypatch):
+    """Nodes whose labels cannot be equal do not meet in a task, and no edge is lost."""
+    monkeypatch.setattr(G, "PART_BYTES", 1 << 10)
+    rng = np.random.default_rng(6)
+    x, label = rng.integers(0, 5, (120, 8)).astype(float), rng.integers(-1, 40, 120)
+    nodes = spark.createDataFrame([(i, i % 7, -1, int(label[i]), x[i].tolist()) for i in range(120)], "node long, grp int, eqv int, label int, x array<double>")
+    got = {(r["src"], r["dst"], r["weight"], r["rank"]) for r in G.exhaustive(nodes, 2, "label-equal", per_group=False).collect()}
+    want = set()
+    for i in range(120):
+        near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(120) if j % 7 != i % 7 and label[j] == label[i] >= 0)
+        want |= {(i, j, d, r) for r, (d, j) in enumerate(near[:2], 1)}
+    assert got == want
