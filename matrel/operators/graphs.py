@@ -341,8 +341,8 @@ def _bytes(r) -> int:
 
 def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None = None, per_group: bool = True) -> DataFrame:
     """The exact graph: nodes in blocks (of at most about BLOCK_BYTES of vectors, for TASKS tasks at least); a task holds one
-    block of queries and takes one block of targets after the other, of up to RIGHT_BYTES, so tasks grow in number with the
-    table and not in size. A node or group that is null matches none. Where labels must be equal, only nodes whose labels
+    block and takes one other after the other, of up to RIGHT_BYTES, so tasks grow in number with the table and not in size.
+    Two blocks meet once, for the nodes of both. A node or group that is null matches none. Where labels must be equal, only nodes whose labels
     are in one part meet."""
     of = nodes.schema
     v = nodes.where("node is not null and grp is not null").select(*(F.col(c).cast("long") for c in ("node", "grp", "eqv", "label")), F.col("x").cast("array<double>"))
@@ -363,11 +363,17 @@ def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None
     blocks = blocks or max(-(-TASKS // max(1, len(room))), -(-largest // BLOCK_BYTES))
     share = max(1, blocks * RIGHT_BYTES // max(1, largest))  # blocks on the right of a task
     packed = cut(v.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("part", "block").applyInArrow(pack, PACKED))
-    left = packed.select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // share))).alias("j"))
-    right = packed.select("*", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.floor(F.col("block") / F.lit(share)).cast("int").alias("j"))
-    tasks = max(1, len(room)) * blocks * ((blocks - 1) // share + 1)
+    # block b meets block i < b or > b, by which is fewer steps ahead on a ring, once
+    steps = blocks // 2
+    left = packed.select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(steps // share))).alias("j"))
+    ahead = packed.select("*", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    ahead = ahead.withColumn("i", F.pmod(F.col("block") - F.col("step"), F.lit(blocks)).cast("int"))
+    if blocks % 2 == 0:
+        ahead = ahead.where((F.col("step") < steps) | (F.col("i") < steps))
+    right = ahead.withColumn("j", F.floor(F.col("step") / F.lit(share)).cast("int")).drop("step").select(left.columns)
+    tasks = max(1, len(room)) * blocks * (steps // share + 1)
     both = left.unionByName(right).repartition(min(4 * tasks, 2000), "part", "i", "j")  # so few share a partition
-    near = both.groupBy("part", "i", "j").applyInArrow(block_neighbours(k, metric, per_group, width), FOUND)
+    near = both.groupBy("part", "i", "j").applyInArrow(block_neighbours(k, metric, per_group, width, True), FOUND)
     near = near.select(F.col("src").cast(of["node"].dataType), F.col("dst").cast(of["node"].dataType), F.col("dst_grp").cast(of["grp"].dataType), "weight")
     return top_edges(near, k, per_group)
 

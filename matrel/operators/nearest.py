@@ -1,6 +1,6 @@
 """Exact nearest neighbours of one block of nodes among another, as an Arrow function: distances of all pairs by a matrix
 product, in single precision where that tells enough, which errs by rounding alone; pairs that may be among the best by that
-are measured again term by term."""
+are measured again term by term. One product tells for the nodes of either block."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ LARGEST = 1e100
 SINGLE = 1e30
 #: Pairs for each one looked for from which a tile is taken again in double precision.
 VAGUE = 32
+#: Side of a tile of a product that tells for rows and columns; pairs that wait to be measured, at most about.
+TILE, WAITING = 512, 2_000_000
 #: Groups over which stretches of a row are not taken one by one.
 MANY = 256
 
@@ -206,39 +208,261 @@ def _best(found: tuple[np.ndarray, ...], k: int, per_group: bool) -> tuple[np.nd
     return i[keep], node[keep], grp[keep], w[keep]
 
 
-def block_neighbours(k: int, metric: str, per_group: bool, width: int):
+class Side:
+    """A block and what its rows have found so far: the k best measured ones, a bound on the k-th best of each row, and pairs
+    (row, column of the block that is met, distance by the product) that are not yet measured."""
+
+    def __init__(self, block: Block, k: int, per_group: bool):
+        self.block, self.k, self.per_group = block, k, per_group
+        self.found = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        self.base = np.full(len(block.node), np.inf)  # of a few columns, measured
+        self.bound = self.base.copy()
+        self.slack = np.zeros(len(block.node))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.many = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        if len(i):
+            self.waiting.append((i, j, d))
+            self.many += len(i)
+
+    def measure(self, b: Block, i: np.ndarray, j: np.ndarray) -> None:
+        """Take the pairs of rows and columns of b that are among the best."""
+        new = (i, b.node[j], b.grp[j], measured(self.block, i, b, j))
+        self.found = _best(tuple(np.concatenate(c) for c in zip(self.found, new)), self.k, self.per_group)
+        count = np.bincount(self.found[0], minlength=len(self.bound))
+        last = np.cumsum(count)[count == self.k] - 1
+        w = self.found[3][last]
+        self.bound = self.base.copy()
+        self.bound[self.found[0][last]] = np.minimum(self.base[self.found[0][last]], np.where((w >= 0) & np.isfinite(w), w, np.inf))
+
+    def settle(self, b: Block) -> None:
+        if self.waiting:
+            self.tighten(b)
+            i, j, _ = (np.concatenate(c) for c in zip(*self.waiting))
+            self.waiting, self.many = [], 0
+            self.measure(b, i, j)
+
+    def tighten(self, b: Block) -> None:
+        """Bounds by the products of pairs that wait; those over them go."""
+        i, j, d = (np.concatenate(c) for c in zip(*self.waiting))
+        short = np.nextafter(np.maximum(d, 0).astype(np.float32), np.float32(np.inf))  # no less than d
+        at = i
+        if self.per_group:
+            group = np.cumsum(np.diff(b.grp, prepend=b.grp[0]) != 0)  # a block is in the order of its groups
+            many = int(group[-1]) + 1
+            if many * len(self.bound) < 1 << 32:
+                key = np.sort(((i * many + group[j]).astype(np.uint64) << np.uint64(32)) | short.view(np.uint32))  # no distance is negative
+                key = key[np.diff(key >> np.uint64(32), prepend=np.uint64(1 << 33)) != 0]
+                at, short = (key >> np.uint64(32)).astype(np.int64) // many, key.astype(np.uint32).view(np.float32)
+            else:
+                order = np.lexsort((short, group[j], i))
+                order = order[_first([i[order], group[j][order]], 1)]
+                at, short = i[order], short[order]
+        key = np.sort((at.astype(np.uint64) << np.uint64(32)) | short.view(np.uint32))
+        at = (key >> np.uint64(32)).astype(np.int64)
+        count = np.bincount(at, minlength=len(self.bound))
+        last = (np.cumsum(count) - count + self.k - 1)[count >= self.k]
+        rows = at[last]
+        self.bound[rows] = np.minimum(self.bound[rows], key[last].astype(np.uint32).view(np.float32).astype(np.float64))
+        near = d <= self.bound[i] + self.slack[i]
+        self.waiting, self.many = [(i[near], j[near], d[near])], int(near.sum())
+
+    def one_way(self, mine: np.ndarray, b: Block, theirs: np.ndarray, centre: np.ndarray, metric: str, prime: bool = False) -> None:
+        """Rows look among columns by themselves; prime: for a bound alone."""
+        if not len(mine) or not len(theirs):
+            return
+        right, out = Factors(b, theirs, centre), []
+        step = max(1, TILE_PAIRS // len(theirs))
+        for start in range(0, len(mine), step):
+            with np.errstate(invalid="ignore", over="ignore"):
+                out.append(_tile(self.block, mine[start : start + step], b, theirs, right, self.k, metric, self.per_group, self.bound))
+        i, j = (np.concatenate(c) for c in zip(*out))
+        if prime:
+            one = Side(self.block, self.k, self.per_group)
+            one.measure(b, i, j)
+            self.base = np.minimum(self.base, one.bound)
+            self.bound = np.minimum(self.bound, one.bound)
+        else:
+            self.measure(b, i, j)
+
+
+class Laid:
+    """Some nodes of a block as rows and as columns of the product of single precision."""
+
+    def __init__(self, b: Block, at: np.ndarray, centre: np.ndarray):
+        self.block, self.at, self.centre = b, at, centre
+        x = b.x[at] - centre
+        self.norm = np.einsum("ij,ij->i", x, x)
+        self.raw = np.einsum("ij,ij->i", b.x[at], b.x[at])
+        self.grp = b.grp[at]
+        self.fine = self.norm.max() < SINGLE
+        if self.fine:
+            one = np.ones((len(at), 1), np.float32)
+            norm = self.norm[:, None].astype(np.float32)
+            x = x.astype(np.float32)
+            self.rows, self.columns = np.concatenate([x, norm, one], axis=1), np.concatenate([-2.0 * x, one, norm], axis=1)
+
+    def parts(self) -> list[slice]:
+        return [slice(x, min(x + TILE, len(self.at))) for x in range(0, len(self.at), TILE)]
+
+    def slack(self, other: Laid, single: bool) -> np.ndarray:
+        """Twice what rounding does to a distance, and what it does to vectors on their way to the centre."""
+        width = self.block.x.shape[1] + 16
+        out = (3e-7 if single else 1e-15) * width * (self.norm + other.norm.max()) + (1e-30 if single else 1e-300)
+        return out + 1e-15 * width * (self.raw + other.raw.max())
+
+
+def _product(a: Laid, p: slice, b: Laid, q: slice, single: bool, room: np.ndarray) -> np.ndarray:
+    """Squared distances of a tile; those inside a group are infinite."""
+    if single:
+        n, m = p.stop - p.start, q.stop - q.start
+        d = np.matmul(a.rows[p], b.columns[q].T, out=room[: n * m].reshape(n, m))
+    else:
+        d = -2.0 * ((a.block.x[a.at[p]] - a.centre) @ (b.block.x[b.at[q]] - a.centre).T)
+        d += a.norm[p, None]
+        d += b.norm[None, q]
+    mine, theirs = a.grp[p], b.grp[q]
+    if mine[0] <= theirs[-1] and theirs[0] <= mine[-1]:
+        for g in np.intersect1d(mine, theirs):
+            d[np.searchsorted(mine, g) : np.searchsorted(mine, g, side="right"), np.searchsorted(theirs, g) : np.searchsorted(theirs, g, side="right")] = np.inf
+    return d
+
+
+def _set(tile: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Places of the few true values of a tile that lies at the beginning of room, looked for eight at a time."""
+    end = -(-tile.size // 8) * 8
+    room[tile.size : end] = False
+    words = np.flatnonzero(room[:end].view(np.uint64) != 0)
+    i, j = np.nonzero(room[:end].reshape(-1, 8)[words])
+    return words[i] * 8 + j
+
+
+def _both(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.ndarray, back: bool) -> None:
+    """Rows of s and t that have bounds look among each other; one product tells for both. back: whether those of t look. A
+    block that meets itself (s is t) takes each pair of tiles once."""
+    same = s is t
+    a = Laid(s.block, mine, centre)
+    b = a if same else Laid(t.block, theirs, centre)
+    single = a.fine and b.fine
+    room, low = np.empty(TILE * TILE, np.float32), np.zeros(TILE * TILE + 8, bool)
+
+    def slacks() -> None:
+        s.slack[mine] = a.slack(b, single)
+        if back and not same:
+            t.slack[theirs] = b.slack(a, single)
+
+    def cuts(side: Side, at: np.ndarray) -> np.ndarray:
+        c = side.bound[at] + side.slack[at]
+        return np.nextafter(c.astype(np.float32), np.float32(np.inf)) if single else c
+
+    slacks()
+    left, right = a.parts(), b.parts()
+    for shift in range(len(right) // 2 + 1 if same else len(right)):
+        for n, p in enumerate(left):
+            at = n + shift
+            if same and 2 * shift == len(right) and n >= shift:  # the pair of tiles was met
+                break
+            q = right[at % len(right)]
+            answer = shift > 0 if same else back
+            while True:
+                d = _product(a, p, b, q, single, room)
+                over = [cuts(s, mine[p])[:, None]]
+                if answer:
+                    over.append(cuts(t, theirs[q])[None, :])
+                hit = _set(np.less_equal(d, max(c.max() for c in over), out=low[: d.size].reshape(d.shape)), low)
+                if len(hit) <= d.size // 64:
+                    i, j = np.divmod(hit, d.shape[1])
+                    v = d.ravel()[hit]
+                    found = [(i[x], j[x], v[x]) for x in (v <= np.broadcast_to(c, d.shape)[i, j] for c in over)]
+                else:
+                    found = []
+                    for c in over:
+                        i, j = np.divmod(np.flatnonzero((d <= c) & np.isfinite(d)), d.shape[1])
+                        found.append((i, j, d[i, j]))
+                if single and max(len(f[0]) for f in found) > VAGUE * s.k * max(d.shape):
+                    s.settle(t.block)  # bounds of the products of another precision do not hold
+                    if answer and not same:
+                        t.settle(s.block)
+                    single = False
+                    slacks()
+                    continue
+                break
+            i, j, v = found[0]
+            s.add(mine[p][i], theirs[q][j], v)
+            if answer:
+                i, j, v = found[1]
+                t.add(theirs[q][j], mine[p][i], v)
+            for side, other in ((s, t), (t, s)):
+                if side.many > WAITING:
+                    side.settle(other.block)
+        for side, other, of in ((s, t, mine), (t, s, theirs)):
+            if side.many > 4 * len(of):
+                side.tighten(other.block)
+
+
+def _meet(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.ndarray, metric: str, back: bool) -> None:
+    """Rows of s look among those of t and, with back, the other way too. Rows without bound or not fit for the product look
+    by themselves."""
+    a, b, same = s.block, t.block, s is t
+    back = back and not same
+    plain = metric in ("any", "label-equal") and not (a.eqv[mine] != -1).any() and not (b.eqv[theirs] != -1).any()
+    if not plain:
+        s.one_way(mine, b, theirs, centre, metric)
+        if back:
+            t.one_way(theirs, a, mine, centre, metric)
+        return
+    for side, of, other, among in ((s, mine, b, theirs), *[(t, theirs, a, mine)] * back):
+        sound = among[other.sound[among]]
+        few = sound[:: max(1, len(sound) // min(1024, max(256, len(sound) // 32)))]
+        side.one_way(of[np.isinf(side.bound[of]) & side.block.sound[of]], other, few, centre, metric, True)
+    ready = a.sound[mine] & np.isfinite(s.bound[mine])
+    known = b.sound[theirs] & (np.isfinite(t.bound[theirs]) if back or same else True)
+    one, rest, near, far = mine[ready], mine[~ready], theirs[known], theirs[~known]
+    if len(one) and len(near):
+        _both(s, one, t, near, centre, back)
+        s.settle(b)
+        t.settle(a)
+    s.one_way(one, b, far, centre, metric)
+    s.one_way(rest, b, theirs, centre, metric)
+    if back:
+        t.one_way(near, a, rest, centre, metric)
+        t.one_way(far, a, mine, centre, metric)
+
+
+def block_neighbours(k: int, metric: str, per_group: bool, width: int, both: bool = False):
     """Arrow function over one packed block on the left and some on the right: for each node of the left one its k best in
-    those on the right, at most one of a group. What is not among them is not among its k best of all nodes. Only one
-    block of the right is laid out at a time."""
+    those on the right, at most one of a group; with both, for each node of another block on the right also its k best in
+    the left one. What is not among them is not among its k best of all nodes. Only one block of the right is laid out at
+    a time."""
 
     def run(table: pa.Table) -> pa.Table:
         at = np.array(table["left"].to_pylist(), bool)
         if at.all() or not at.any():  # the other side has no nodes
             return _FOUND.empty_table()
         one = lambda n: table.slice(int(n), 1).to_pylist()[0]
-        a = Block(one(np.flatnonzero(at)[0]), width)
+        number = table["block"].to_pylist()
+        mine = int(np.flatnonzero(at)[0])
+        s = Side(Block(one(mine), width), k, per_group)
+        a = s.block
         centre = a.x[a.sound].mean(axis=0) if a.sound.any() else np.zeros(width)
-        bound = np.full(len(a.node), np.inf)  # of the k-th best of a row so far
-        found = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        out = []
+
+        def found(side: Side) -> pa.Table:
+            i, dst, grp, w = side.found
+            return pa.table([side.block.node[i], dst, grp, pa.array(w, pa.float64(), mask=w < 0)], schema=_FOUND)
+
         for n in np.flatnonzero(~at):
-            b = Block(one(n), width)
+            same = number[n] == number[mine]
+            t = s if same else Side(Block(one(n), width), k, per_group)
+            b = t.block
             whole = [(np.arange(len(a.node)), np.arange(len(b.node)))]
             if metric == "label-equal":
                 whole = [(np.flatnonzero(a.label == x), np.flatnonzero(b.label == x)) for x in np.intersect1d(a.label, b.label) if x >= 0]
-            out = [found]
-            for mine, theirs in whole:
-                right = Factors(b, theirs, centre)
-                step = max(1, TILE_PAIRS // len(theirs))
-                for start in range(0, len(mine), step):
-                    with np.errstate(invalid="ignore", over="ignore"):
-                        i, j = _tile(a, mine[start : start + step], b, theirs, right, k, metric, per_group, bound)
-                    out.append((i, b.node[j], b.grp[j], measured(a, i, b, j)))
-            found = _best(tuple(np.concatenate(c) for c in zip(*out)), k, per_group)
-            count = np.bincount(found[0], minlength=len(bound))
-            last = np.cumsum(count)[count == k] - 1
-            w = found[3][last]
-            bound[found[0][last]] = np.where((w >= 0) & np.isfinite(w), w, np.inf)
-        i, dst, grp, w = found
-        return pa.table([a.node[i], dst, grp, pa.array(w, pa.float64(), mask=w < 0)], schema=_FOUND)
+            for mine_at, theirs_at in whole:
+                _meet(s, mine_at, t, theirs_at, centre, metric, both)
+            if both and not same:
+                out.append(found(t))
+        return pa.concat_tables([found(s), *out])
 
     return run

@@ -396,3 +396,28 @@ def test_equal_labels_meet_in_parts(spark, monkeypatch):
         near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in range(120) if j % 7 != i % 7 and label[j] == label[i] >= 0)
         want |= {(i, j, d, r) for r, (d, j) in enumerate(near[:2], 1)}
     assert got == want
+
+
+@pytest.mark.parametrize("tile", [7, 16, 512])
+@pytest.mark.parametrize("metric", ["any", "label-equal"])
+@pytest.mark.parametrize("per_group", [True, False])
+def test_two_blocks_meet_once_for_both(monkeypatch, tile, metric, per_group):
+    """Tasks of a ring of blocks give the nodes of either block of a meeting their neighbours; with ties, few waiting pairs,
+    and a node that is not finite."""
+    monkeypatch.setattr(nearest, "TILE", tile)
+    monkeypatch.setattr(nearest, "WAITING", 60)
+    rng, k, n, blocks = np.random.default_rng(8), 2, 150, 5
+    x = rng.integers(0, 5, (n, 8)).astype(float)
+    x[11, 3] = np.inf
+    node, grp = np.arange(n), np.arange(n) % 7
+    packed = [packed_block(b, node[b::blocks], x[b::blocks], grp[b::blocks]) for b in range(blocks)]
+    best = {int(i): set() for i in node}
+    for i in range(blocks):
+        met = [packed[i], *(packed[(i + s) % blocks] for s in range(blocks // 2 + 1))]
+        table = pa.concat_tables([t.append_column("left", pa.array([at == 0])) for at, t in enumerate(met)])
+        for r in nearest.block_neighbours(k, metric, per_group, 8, both=True)(table).to_pylist():
+            best[r["src"]].add((r["weight"], r["dst"]))
+    first = lambda found: list({(grp[j] if per_group else j): (d, j) for d, j in sorted(found, reverse=True)}.values())
+    for i in node:
+        every = [(float(np.cumsum((x[i] - x[j]) ** 2)[-1]), int(j)) for j in node if grp[j] != grp[i]]
+        assert sorted(first(best[int(i)]))[:k] == sorted(first(every))[:k]
