@@ -93,7 +93,7 @@ def distinct_units(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]
         marked = [(SPACE + t.replace(" ", SPACE)).replace(SPACE, mark + SPACE).replace(SPACE + mark, SPACE).replace("\n", new_line) if t else "" for t in texts]
         split = pc.split_pattern(pa.array(marked, pa.large_string()), mark)
     coded = split.flatten().dictionary_encode()
-    which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    which, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     ends = split.offsets.to_numpy()[1:].astype(np.int64)
     if "" in distinct:  # marks lie at the beginning of a text and between neighbouring marks
         void = distinct.index("")
@@ -143,7 +143,7 @@ class Lattices:
     def forget(self) -> None:
         """Empty the store of units; the trie stays."""
         self.index: dict[str, int] = {}  # units that are kept
-        self.spare: dict[str, int] = {}  # units met lately, of higher numbers
+        self.known: dict[str, int] = {}  # these and the units met lately, of higher numbers
         self.units = self.nodes = self.edges = 0  # in use; the arrays below have room for more
         self.units_kept = self.nodes_kept = self.edges_kept = 0
         self.first = np.zeros(0, np.int64)
@@ -188,8 +188,9 @@ class Lattices:
             setattr(self, name, have)
         have[at:need] = values
 
-    def _matches(self, codes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(node, length, piece) of all pieces inside units; codes: the characters, last: the node after each unit's end."""
+    def _matches(self, codes: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from one on, (node, piece) of all pieces of that length inside units; codes: the characters,
+        last: the node after each unit's end."""
         cls = self.class_of[codes]
         node, at, length, found = np.arange(len(codes)), self.root[cls], 1, []
         while True:
@@ -199,12 +200,12 @@ class Lattices:
                 break
             k = self.ends[at]
             hit = k >= 0
-            found.append((node[hit], np.full(int(hit.sum()), length), k[hit]))
+            found.append((node[hit], k[hit]))
             inside = node + length < last[node]
             node, at = node[inside], at[inside]
             at = self._child(at * self.width + cls[node + length])
             length += 1
-        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return found
 
     def add(self, new: list[str]) -> None:
         """Lay out units that are not in the index."""
@@ -215,36 +216,45 @@ class Lattices:
         codes = np.frombuffer("".join(new).encode("utf-32-le"), "<u4").astype(np.int64)
         n = len(codes)
         last = np.repeat(head + size, size)
-        node, length, p = self._matches(codes, last)
-        ident, weight = self.piece[p], self.weight[p]
+        found = self._matches(codes, last)
+        degree = np.zeros(n, np.int32)
+        for node, _ in found:
+            degree[node] += 1
         single = np.zeros(n, bool)
-        single[node[length == 1]] = True
-        if len(bare := np.flatnonzero(~single)):
+        if found:
+            single[found[0][0]] = True
+        bare = np.flatnonzero(~single)
+        degree[bare] += 1
+        # nodes by their distance from the end of their unit; the edges of a node lie together, long ones first
+        rest_of = last - np.arange(n)
+        near = int(rest_of.max())
+        order = np.argsort(rest_of.astype(np.uint16) if near < 1 << 16 else rest_of, kind="stable")
+        degree_at = degree[order]
+        lead = np.cumsum(degree_at, dtype=np.int64) - degree_at
+        start, place = np.empty(n, np.int64), np.empty(n, np.int64)
+        start[order], place[order] = lead, lead + degree_at
+        many = int(lead[-1] + degree_at[-1])
+        target, ident, weight = np.empty(many, np.int64), np.empty(many, np.int32), np.empty(many)
+        if len(bare):
             c = codes[bare]
-            n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-            node, length = np.concatenate([node, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-            ident, weight = np.concatenate([ident, (-1 - c).astype(np.int32)]), np.concatenate([weight, self.byte_weight * n_bytes])
-        rest = last[node] - node
-        if n < 1 << 28 and self.most < 256 and int(rest.max()) < 1 << 26:
-            order = np.argsort((rest << 36) | (node << 8) | (255 - length))  # one number says it all
-        else:
-            order = np.lexsort((-length, node, rest))
-        node, length, ident, weight, rest = node[order], length[order], ident[order], weight[order], rest[order]
-        target = node + length
-        target[target == last[node]] = -1
-        lead = np.flatnonzero(np.diff(node, prepend=-1))
-        degree_at = np.diff(np.append(lead, len(node)))
-        start, degree = np.zeros(n, np.int64), np.zeros(n, np.int32)
-        start[node[lead]], degree[node[lead]] = lead, degree_at
+            place[bare] -= 1
+            at = place[bare]
+            target[at], ident[at] = np.where(rest_of[bare] == 1, -1, bare + 1), -1 - c
+            weight[at] = self.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+        for length, (node, p) in enumerate(found, 1):
+            place[node] -= 1
+            at = place[node]
+            target[at], ident[at], weight[at] = np.where(rest_of[node] == length, -1, node + length), self.piece[p], self.weight[p]
+        source = np.repeat(order, degree_at)
         beta = np.zeros(n + 1)  # the last entry stands for a unit's end
-        step = np.flatnonzero(np.diff(rest[lead], prepend=0))
-        for x, y in zip(step, [*step[1:], len(lead)]):  # all nodes at one distance from their unit's end
-            a, b = lead[x], lead[y] if y < len(lead) else len(node)
+        step = np.cumsum(np.bincount(rest_of)).tolist()
+        for x, y in zip(step, step[1:]):  # all nodes at one distance from their unit's end
+            a, b = lead[x], lead[y] if y < n else many
             v = weight[a:b] + beta[target[a:b]]
             at = lead[x:y] - a
             top = np.maximum.reduceat(v, at)
-            beta[node[lead[x:y]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, degree_at[x:y])), at))
-        logq = np.minimum(weight + beta[target] - beta[node], 0.0)
+            beta[order[x:y]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, degree_at[x:y])), at))
+        logq = np.minimum(weight + beta[target] - beta[source], 0.0)
         q, cum = np.exp(logq), np.empty(len(logq))
         so_far, live, k = np.zeros(len(lead)), np.arange(len(lead)), 0
         while len(live := live[degree_at[live] > k]):
@@ -255,15 +265,15 @@ class Lattices:
         target[target >= 0] += nodes
         for name, at, values in (
             ("first", units, head + nodes), ("start", nodes, start + edges), ("degree", nodes, degree),
-            ("to", edges, target), ("id", edges, ident), ("source", edges, node + nodes), ("logq", edges, logq), ("cum", edges, cum),
+            ("to", edges, target), ("id", edges, ident), ("source", edges, source + nodes), ("logq", edges, logq), ("cum", edges, cum),
         ):
             self._store(name, at, values)
-        self.units, self.nodes, self.edges = units + len(new), nodes + n, edges + len(node)
+        self.units, self.nodes, self.edges = units + len(new), nodes + n, edges + many
 
     def trim(self) -> None:
         """Forget the units beyond those that are kept, if there are many."""
-        if len(self.spare) > SPARE_UNITS:
-            self.spare.clear()
+        if len(self.known) - len(self.index) > SPARE_UNITS:
+            self.known = dict(self.index)
             self.units, self.nodes, self.edges = self.units_kept, self.nodes_kept, self.edges_kept
             for name, n in (("to", self.edges), ("id", self.edges), ("source", self.edges), ("logq", self.edges), ("cum", self.edges)):
                 if len(getattr(self, name)) > 2 * n + MOST_SPARE_EDGES:  # one very long group made them long
@@ -272,17 +282,17 @@ class Lattices:
     def look_up(self, texts: list[str]) -> list[np.ndarray]:
         """Index of each unit of each text; lays out those that are new."""
         which, distinct, ends = distinct_units(texts)
-        index, spare = self.index, self.spare
-        at = np.fromiter((i if (i := index.get(x)) is not None else spare.get(x, -1) for x in distinct), np.int64, len(distinct))
+        at = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
         new = [distinct[i] for i in missing.tolist()]
-        room = max(0, self.kept - len(index)) if not spare else 0
+        room = max(0, self.kept - len(self.index)) if len(self.known) == len(self.index) else 0
         at[missing] = self.units + np.arange(len(new))
+        numbered = list(zip(new, range(self.units, self.units + len(new))))
+        self.known.update(numbered)
         if room:
-            index.update(zip(new[:room], range(self.units, self.units + room)))
+            self.index.update(numbered[:room])
             self.add(new[:room])
             self.units_kept, self.nodes_kept, self.edges_kept = self.units, self.nodes, self.edges
-        spare.update(zip(new[room:], range(self.units, self.units + len(new))))
         self.add(new[room:])
         return np.split(at[which], ends[:-1])
 
@@ -392,13 +402,13 @@ def sample_paths(lat: Lattices, rows: list[np.ndarray], keys: list[int], k: int)
             if b > a:
                 before[a] = upto[at - 1] if at else 0.0
         left = -np.expm1(logq)
-        alone = lat.degree[lat.source[every]] == 1
         for n, (_, _, _, _, gone) in enumerate(heads):
             if gone and size[n]:
                 a = bounds[n]
                 left[a] = 1.0 - float(np.exp(lat.logq[list(gone)]).sum())
-                alone[a] = len(gone) >= lat.degree[lat.source[every[a]]]
-        left[alone | (left < 0)] = 0.0
+                if len(gone) >= lat.degree[lat.source[every[a]]]:
+                    left[a] = 0.0
+        left[left < 0] = 0.0  # an edge that is alone has log probability 0, so nothing is left
         at_all = np.arange(len(every)) - np.repeat(bounds[:-1], size) + np.repeat(np.array([h[3] for h in heads], np.int64), size)
         u = uniform(np.repeat(base[todo], size), at_all, (1 << 42) + s)
         with np.errstate(divide="ignore"):
@@ -475,10 +485,10 @@ def code_pieces(docs: DataFrame, model: bytes, samples: int = 2, alpha: float =
     def columns(keys: list, texts: list[str]) -> list[pa.Array]:
         sp, lat, byte_ids = _state(shared.value, alpha)
         at = lat.look_up(texts)
-        coded = sp.encode(texts, num_threads=1)
+        coded = sp.encode(texts, num_threads=1, out_type="numpy")
         n_pieces = pa.array(map(len, coded), pa.int64())
         same = pa.array([sp.decode(x) == t for x, t in zip(coded, texts)], pa.bool_())
-        coded = listed([np.array(x, np.int32) for x in coded])
+        coded = listed(coded)
         found = sample_paths(lat, at, [row_key(x, seed) for x in keys], samples)
         flat = [(rank, edge_ids(lat, edges, byte_ids), *more) for row in found for rank, (edges, *more) in enumerate(row, 1)]
         lat.trim()

@@ -559,6 +559,27 @@ def test_pieces_leave_no_lattices_in_workers(spark, model):
 
 
 
+def test_lattices_are_laid_out_without_sorting_edges(model, monkeypatch):
+    """Edges are put in their places; only nodes are sorted, as short numbers. Units are looked up in one go."""
+    sp = pieces.processor(model)
+    lat = pieces.Lattices(sp, *pieces.piece_weights(sp))
+    real, sorted_ones = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, **more: (sorted_ones.append((len(a), a.dtype)), real(a, **more))[1])
+    monkeypatch.setattr(np, "lexsort", None)
+    texts = ["some words, 12345 and \u2603\U0001f600x", "", "words of another text\nsome"]
+    rows = lat.look_up(texts)
+    assert sorted_ones == [(lat.nodes, np.dtype(np.uint16))] and lat.edges > lat.nodes
+    for u in np.unique(np.concatenate(rows)):
+        first = lat.first[u]
+        size = (lat.first[u + 1] if u + 1 < lat.units else lat.nodes) - first
+        for node in range(first, first + size):
+            edges = np.arange(lat.start[node], lat.start[node] + lat.degree[node])
+            reach = np.where(lat.to[edges] < 0, first + size, lat.to[edges]) - node
+            assert (lat.source[edges] == node).all() and (np.diff(reach) < 0).all() and abs(np.exp(lat.logq[edges]).sum() - 1) < 1e-9
+    again = lat.look_up(texts[::-1])
+    assert len(sorted_ones) == 1 and [x.tolist() for x in again] == [x.tolist() for x in rows[::-1]]
+
+
 def test_query_codes_whole_texts(spark, model, tmp_path, monkeypatch):
     sp, real, made = pieces.processor(model), pieces.code_pieces, []
     text = {1: "a  b\n\nc\td", 2: "", 3: None, 4: "a▁b", 5: "word " * 300}
