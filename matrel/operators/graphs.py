@@ -17,7 +17,7 @@ from ..functions import arrays as A
 from ..functions.hashing import dealt, uniform
 from ..functions.stats import running_total
 from ..storage import cut
-from .nearest import FOUND, PACKED, block_neighbours, pack
+from .nearest import FOUND, PACKED, block_neighbours, pack, pair_distances
 
 #: Edges between components that one task makes a forest of.
 FEW_EDGES = 200_000
@@ -332,7 +332,14 @@ def scored(pairs: DataFrame, nodes: DataFrame, metric: str = "any") -> DataFrame
     b = nodes.select(F.col("node").alias("dst"), F.struct("grp", "eqv", "label", "x").alias("b"))
     both = pairs.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst")
     both = both.where(may_match() & METRICS[metric](F.col("a.label"), F.col("b.label")))
-    return both.select("src", "dst", F.col("b.grp").alias("dst_grp"), A.squared_distance(F.col("a.x"), F.col("b.x")).alias("weight"))
+    both = both.select("src", "dst", F.col("b.grp").alias("dst_grp"), *(F.col(f"{c}.x").cast("array<double>").alias(c) for c in "ab"))
+    of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[:3])
+    return both.mapInArrow(_with_distances, f"{of}, weight double")
+
+
+def _with_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pair_distances(batch.column(3), batch.column(4))], names=["src", "dst", "dst_grp", "weight"])
 
 
 def _bytes(r) -> int:
@@ -362,6 +369,8 @@ def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None
     largest = max(room.values(), default=0)
     blocks = blocks or max(-(-TASKS // max(1, len(room))), -(-largest // BLOCK_BYTES))
     share = max(1, blocks * RIGHT_BYTES // max(1, largest))  # blocks on the right of a task
+    if largest > BLOCK_BYTES:  # long tasks are at least twice as many, so that few cores wait for the last ones
+        share = min(share, -(-len(room) * blocks * (blocks // 2 + 1) // (2 * TASKS)))
     packed = cut(v.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).groupBy("part", "block").applyInArrow(pack, PACKED))
     # block b meets block i < b or > b, by which is fewer steps ahead on a ring, once
     steps = blocks // 2

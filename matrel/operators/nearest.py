@@ -95,6 +95,27 @@ def measured(a: Block, i: np.ndarray, b: Block, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Squared distances of the vectors in the rows of two columns, their terms added in order; null for pairs that have none
+    (a null, or unequal widths)."""
+    sizes = [x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (a, b)]
+    out = np.full(len(a), np.nan)
+    void = (sizes[0] != sizes[1]) | (sizes[0] < 0)
+    for size in np.unique(sizes[0][~void]).tolist():
+        at = np.flatnonzero(~void & (sizes[0] == size))
+        flat = [(x if len(at) == len(x) else x.take(pa.array(at))).flatten() for x in (a, b)]
+        for x in flat:
+            if x.null_count:
+                void[at] |= x.is_null().to_numpy(zero_copy_only=False).reshape(len(at), size).any(axis=1)
+        x, y = (f.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(at), size) for f in flat)
+        total = np.zeros(len(at))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for term in np.ascontiguousarray(((x - y) ** 2).T):
+                total += term
+        out[at] = total
+    return pa.array(out, pa.float64(), mask=void)
+
+
 def _barred(metric: str, a: Block, rows: np.ndarray, b: Block, cols: np.ndarray) -> np.ndarray | None:
     """Pairs that equivalence classes or labels bar; null when they bar none."""
     out = None
@@ -136,9 +157,9 @@ def _least(d: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return np.stack([d[:, x:y].min(axis=1) for x, y in zip(lead, [*lead[1:], d.shape[1]])], 1)
 
 
-def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: Factors, k: int, metric: str, per_group: bool, bound: np.ndarray, single: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: Factors, k: int, metric: str, per_group: bool, bound: np.ndarray, single: bool = True, prime: bool = False) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
     """Pairs (i, j) of rows and cols, both by group, among which those of the k best of each row are that are not over its
-    bound."""
+    bound; prime: only what the k-th best of each row is not over, infinite where fewer are known."""
     x = np.where(a.sound[rows, None], a.x[rows] - right.centre, 0.0)
     norm = np.einsum("ij,ij->i", x, x)
     single = single and right.single is not None and norm.max() < SINGLE
@@ -166,6 +187,8 @@ def _tile(a: Block, rows: np.ndarray, b: Block, cols: np.ndarray, right: Factors
     least = _least(d, lead).astype(np.float64)
     n = min(k, len(lead))
     best = np.partition(least, n - 1, axis=1)[:, :n]
+    if prime:
+        return best.max(axis=1) + slack if n == k else np.full(len(rows), np.inf)
     cut = np.where(np.isfinite(best), best, -np.inf).max(axis=1)
     if not per_group and (short := ~np.isfinite(best).all(axis=1) | (n < k)).any():
         cut[short] = np.where(np.isfinite(d[short]), d[short], -np.inf).max(axis=1)
@@ -276,15 +299,12 @@ class Side:
         step = max(1, TILE_PAIRS // len(theirs))
         for start in range(0, len(mine), step):
             with np.errstate(invalid="ignore", over="ignore"):
-                out.append(_tile(self.block, mine[start : start + step], b, theirs, right, self.k, metric, self.per_group, self.bound))
-        i, j = (np.concatenate(c) for c in zip(*out))
+                out.append(_tile(self.block, mine[start : start + step], b, theirs, right, self.k, metric, self.per_group, self.bound, prime=prime))
         if prime:
-            one = Side(self.block, self.k, self.per_group)
-            one.measure(b, i, j)
-            self.base = np.minimum(self.base, one.bound)
-            self.bound = np.minimum(self.bound, one.bound)
+            self.base[mine] = np.minimum(self.base[mine], np.concatenate(out))
+            self.bound[mine] = np.minimum(self.bound[mine], self.base[mine])
         else:
-            self.measure(b, i, j)
+            self.measure(b, *(np.concatenate(c) for c in zip(*out)))
 
 
 class Laid:
@@ -352,11 +372,12 @@ def _both(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.nda
         if back and not same:
             t.slack[theirs] = b.slack(a, single)
 
-    def cuts(side: Side, at: np.ndarray) -> np.ndarray:
-        c = side.bound[at] + side.slack[at]
-        return np.nextafter(c.astype(np.float32), np.float32(np.inf)) if single else c
+    def cuts() -> list[np.ndarray]:
+        every = [side.bound[at] + side.slack[at] for side, at in ((s, mine), (t, theirs))]
+        return [np.nextafter(c.astype(np.float32), np.float32(np.inf)) if single else c for c in every]
 
     slacks()
+    known = cuts()
     left, right = a.parts(), b.parts()
     for shift in range(len(right) // 2 + 1 if same else len(right)):
         for n, p in enumerate(left):
@@ -367,18 +388,18 @@ def _both(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.nda
             answer = shift > 0 if same else back
             while True:
                 d = _product(a, p, b, q, single, room)
-                over = [cuts(s, mine[p])[:, None]]
+                over = [known[0][p]]
                 if answer:
-                    over.append(cuts(t, theirs[q])[None, :])
+                    over.append(known[1][q])
                 hit = _set(np.less_equal(d, max(c.max() for c in over), out=low[: d.size].reshape(d.shape)), low)
                 if len(hit) <= d.size // 64:
                     i, j = np.divmod(hit, d.shape[1])
                     v = d.ravel()[hit]
-                    found = [(i[x], j[x], v[x]) for x in (v <= np.broadcast_to(c, d.shape)[i, j] for c in over)]
+                    found = [(i[x], j[x], v[x]) for x in (v <= c[of] for c, of in zip(over, (i, j)))]
                 else:
                     found = []
-                    for c in over:
-                        i, j = np.divmod(np.flatnonzero((d <= c) & np.isfinite(d)), d.shape[1])
+                    for c, row in zip(over, (False, True)):
+                        i, j = np.divmod(np.flatnonzero((d <= (c[None, :] if row else c[:, None])) & np.isfinite(d)), d.shape[1])
                         found.append((i, j, d[i, j]))
                 if single and max(len(f[0]) for f in found) > VAGUE * s.k * max(d.shape):
                     s.settle(t.block)  # bounds of the products of another precision do not hold
@@ -386,6 +407,7 @@ def _both(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.nda
                         t.settle(s.block)
                     single = False
                     slacks()
+                    known = cuts()
                     continue
                 break
             i, j, v = found[0]
@@ -396,9 +418,11 @@ def _both(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.nda
             for side, other in ((s, t), (t, s)):
                 if side.many > WAITING:
                     side.settle(other.block)
+                    known = cuts()
         for side, other, of in ((s, t, mine), (t, s, theirs)):
             if side.many > 4 * len(of):
                 side.tighten(other.block)
+                known = cuts()
 
 
 def _meet(s: Side, mine: np.ndarray, t: Side, theirs: np.ndarray, centre: np.ndarray, metric: str, back: bool) -> None:

@@ -421,3 +421,33 @@ def test_two_blocks_meet_once_for_both(monkeypatch, tile, metric, per_group):
     for i in node:
         every = [(float(np.cumsum((x[i] - x[j]) ** 2)[-1]), int(j)) for j in node if grp[j] != grp[i]]
         assert sorted(first(best[int(i)]))[:k] == sorted(first(every))[:k]
+
+
+def test_bounds_to_begin_with_need_no_measuring(monkeypatch):
+    """What a few columns tell by the product alone bounds the k-th best of each row."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    row = {c: v.astype(np.int64).tobytes() for c, v in {"node": np.arange(300), "grp": np.arange(300) % 7, "eqv": np.full(300, -1), "label": np.zeros(300), "size": np.full(300, 8)}.items()}
+    b = nearest.Block(row | {"x": x.tobytes(), "single": False, "hole": b""}, 8)
+    calls = []
+    monkeypatch.setattr(nearest, "measured", lambda *a: calls.append(a))
+    for per_group in (True, False):
+        side, few = nearest.Side(b, 3, per_group), np.arange(0, 300, 4)
+        side.one_way(np.arange(300), b, few, np.zeros(8), "any", True)
+        d = ((b.x[:, None] - b.x[None, few]) ** 2).sum(axis=2)
+        d[b.grp[:, None] == b.grp[None, few]] = np.inf
+        if per_group:
+            d = np.stack([d[:, b.grp[few] == g].min(axis=1) for g in range(7)], 1)
+        assert not calls and np.isfinite(side.bound).all() and (side.bound >= np.sort(d, axis=1)[:, 2]).all()
+
+
+def test_pairs_are_measured_in_batches(spark):
+    """scored: a vector with a null, null or of another width has no distance; the plan has no function over elements."""
+    rows = [(0, 0, [1.0, 2.0]), (1, 1, [0.0, 4.5]), (2, 2, None), (3, 3, [None, 1.0]), (4, 4, [1.0]), (5, 5, [float("nan"), 1.0]), (6, 6, []), (7, 7, [])]
+    nodes = spark.createDataFrame([(n, g, -1, 0, x) for n, g, x in rows], "node long, grp int, eqv int, label int, x array<double>")
+    pairs = spark.createDataFrame([(0, n) for n, _, _ in rows] + [(6, 7), (1, 0)], "src long, dst long")
+    out = G.scored(pairs, nodes)
+    assert "MapInArrow" in (plan := out._jdf.queryExecution().toString()) and "zip_with" not in plan
+    got = {(r["src"], r["dst"]): (r["dst_grp"], r["weight"]) for r in out.collect()}
+    assert np.isnan(got.pop((0, 5))[1])
+    assert got == {(0, 1): (1, 7.25), (1, 0): (0, 7.25), (0, 2): (2, None), (0, 3): (3, None), (0, 4): (4, None), (0, 6): (6, None), (0, 7): (7, None), (6, 7): (7, 0.0)}
