@@ -381,7 +381,8 @@ def exhaustive(nodes: DataFrame, k: int, metric: str = "any", blocks: int | None
         ahead = ahead.where((F.col("step") < steps) | (F.col("i") < steps))
     right = ahead.withColumn("j", F.floor(F.col("step") / F.lit(share)).cast("int")).drop("step").select(left.columns)
     tasks = max(1, len(room)) * blocks * (steps // share + 1)
-    both = left.unionByName(right).repartition(min(4 * tasks, 2000), "part", "i", "j")  # so few share a partition
+    sparse = 16 if largest > BLOCK_BYTES else 4  # partitions for each task, so few long ones share one
+    both = left.unionByName(right).repartition(min(sparse * tasks, 2000), "part", "i", "j")
     near = both.groupBy("part", "i", "j").applyInArrow(block_neighbours(k, metric, per_group, width, True), FOUND)
     near = near.select(F.col("src").cast(of["node"].dataType), F.col("dst").cast(of["node"].dataType), F.col("dst_grp").cast(of["grp"].dataType), "weight")
     return top_edges(near, k, per_group)

@@ -451,3 +451,16 @@ def test_pairs_are_measured_in_batches(spark):
     got = {(r["src"], r["dst"]): (r["dst_grp"], r["weight"]) for r in out.collect()}
     assert np.isnan(got.pop((0, 5))[1])
     assert got == {(0, 1): (1, 7.25), (1, 0): (0, 7.25), (0, 2): (2, None), (0, 3): (3, None), (0, 4): (4, None), (0, 6): (6, None), (0, 7): (7, None), (6, 7): (7, 0.0)}
+
+
+def test_long_tasks_are_many_and_apart(spark, monkeypatch):
+    """Blocks that are all sent to one task by their size still make at least twice TASKS of them, in many partitions."""
+    import re
+
+    x = np.random.default_rng(5).normal(size=(96, 4))
+    nodes = spark.createDataFrame([(i, i % 5, -1, 0, v) for i, v in enumerate(x.tolist())], "node long, grp int, eqv int, label int, x array<double>")
+    want = sorted(map(tuple, G.exhaustive(nodes, 2).collect()))
+    monkeypatch.setattr(G, "BLOCK_BYTES", 1 << 9)
+    out = G.exhaustive(nodes, 2)
+    assert sorted(map(tuple, out.collect())) == want
+    assert max(map(int, re.findall(r"hashpartitioning\(part#\d+, i#\d+, j#\d+L?, (\d+)\)", out._jdf.queryExecution().toString()))) >= 16 * 2 * G.TASKS
