@@ -7,8 +7,10 @@ the document with the smallest id that holds it is its owner; owners keep it, al
    windows have equal anchors, so windows can be compared anchor by anchor. The hash of each distinct anchor of a chunk
    is sent out, and one bit comes back: whether another chunk holds it too. Windows under other anchors are unique.
 2. Index. The remaining windows go out as the byte runs that hold them, each distinct run of a chunk once, with the
-   smallest id that holds it. A group takes them in batches of rising id. A batch gets a suffix array (positions in the
-   order of its suffixes, cut at 50 bytes, as longer matches are chains of these), which is merge-scanned against the
+   smallest id that holds it. A group files the windows of its distinct runs once more, under the longer strings that
+   all windows with the anchor at nearly one place have in common; windows whose string no other run has are their run's
+   alone. It takes the others in batches of rising id. A batch gets a suffix array (positions in the order of its
+   suffixes, cut at 50 bytes, as longer matches are chains of these), which is merge-scanned against the
    arrays of the existing levels; what is new becomes a level, and levels of equal size class merge, so n suffixes are in
    O(log n) arrays and each is moved O(log n) times. Levels live as long as the task of their group.
 3. Decision. One bit for each window of a run comes back: whether the id sent with it owns the window. The chunk
@@ -31,8 +33,9 @@ from .common import materialize, read_table
 
 #: Bytes of a repeated string, fixed by the contract; bytes of an anchor.
 LENGTH, ANCHOR = 50, 16
-#: Positions that are hashed at a time, and windows of a batch of the index.
-BLOCK, BATCH = 1 << 20, 1 << 17
+#: Positions that are hashed at a time; windows of a batch of the index, of which a large group takes up to GROWTH times as
+#: many, so that it has about BATCHES batches. Places of the anchor in a window that are filed together.
+BLOCK, BATCH, BATCHES, GROWTH, PLACES = 1 << 17, 1 << 13, 16, 16, 7
 _ANCHORS, _OWNED = 0, 1
 
 
@@ -227,6 +230,49 @@ def _anchor_answers(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "kind": table["kind"], "grp": table["grp"], "value": pa.array(bits, pa.binary())}, schema=ANSWER_ARROW)
 
 
+def rival_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each run of distinct contents (rising start): 64 bits, bit j whether its window j may equal one of another run.
+
+    Equal windows have their anchor at the same place. All windows with the anchor at one of PLACES neighbouring places
+    share a string around it, so where no other run has that string, none has the windows. Strings are told apart by hashes;
+    those that collide only leave more windows."""
+    span = length - ANCHOR + 1
+    out = np.zeros(len(start), np.uint64)
+    place = np.zeros(len(start), np.int64)  # of the anchor in the first window, from which it goes down by one a window
+    lows = range(0, span, PLACES)
+    keys = np.zeros((len(lows), len(start)), np.uint64)
+    at = 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(start, start[at] + BLOCK, side="left")))
+        s, base = start[at:upto], int(start[at])
+        h = anchor_hashes(raw[base : int(s[-1] + size[upto - 1]) + length - 1])
+        high = h & np.uint64((1 << 64) - (1 << 21))  # as in window_runs
+        s = s - base
+        best, where = high[s], np.zeros(len(s), np.int64)
+        for o in range(1, span):
+            less = (inside := high[s + o]) < best
+            best, where[less] = np.where(less, inside, best), o
+        place[at:upto] = where
+        for k, low in enumerate(lows):
+            high_place = min(low + PLACES, span) - 1
+            width = length - (high_place - low)  # of the string, which starts low before the anchor
+            key = np.zeros(len(s), np.uint64)
+            for o in (*range(0, width - ANCHOR, ANCHOR), width - ANCHOR):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ h[np.clip(s + where - low + o, 0, len(h) - 1)])
+            keys[k, at:upto] = key
+        at = upto
+    least = place - size + 1
+    for k, low in enumerate(lows):
+        high_place = min(low + PLACES, span) - 1
+        has = np.flatnonzero((least <= high_place) & (place >= low))
+        _, back, count = np.unique(keys[k, has], return_inverse=True, return_counts=True)
+        has = has[count[back] > 1]
+        a = np.maximum(place[has] - high_place, 0).astype(np.uint64)  # the first window of these places, and how many
+        n = (np.minimum(place[has] - low, size[has] - 1) + 1).astype(np.uint64) - a
+        out[has] |= (np.uint64((1 << 64) - 1) >> (np.uint64(64) - n)) << a
+    return out
+
+
 def _owner_answers(length: int, batch: int):
     def run(table: pa.Table) -> pa.Table:
         """For each chunk's runs of a group: 64 bits, bit j whether the id sent owns the run's window j."""
@@ -243,17 +289,25 @@ def _owner_answers(length: int, batch: int):
         first = order[lead == order]  # the first run of each content, by rising id
         del seen
         mask = np.zeros(len(size), np.uint64)
+        mask[first] = np.uint64((1 << 64) - 1) >> (64 - size[first]).astype(np.uint64)
+        rivals = np.zeros(len(size), np.uint64)
+        rising = np.sort(first)
+        rivals[rising] = rival_windows(raw, start[rising], size[rising], length)
         levels = SuffixLevels(raw, length)
-        edges = np.cumsum(size[first])
+        first = first[rivals[first] > 0]  # the other runs own their windows
+        edges = np.cumsum(np.bitwise_count(rivals[first]), dtype=np.int64)
+        most = max(batch, min(int(edges[-1]) // BATCHES, GROWTH * batch)) if len(first) else batch
         a = 0
         while a < len(first):
-            b = max(a + 1, int(np.searchsorted(edges, (edges[a - 1] if a else 0) + batch, side="right")))
+            b = max(a + 1, int(np.searchsorted(edges, (edges[a - 1] if a else 0) + most, side="right")))
             part = first[a:b]
             n = size[part]
             j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            who = np.repeat(every_id[part], n)
-            owned = levels.scan(np.repeat(start[part], n) + j, who) == who
-            mask[part] = np.bitwise_or.reduceat(owned.astype(np.uint64) << j.astype(np.uint64), np.cumsum(n) - n)
+            bit = np.uint64(1) << j.astype(np.uint64)
+            ask = (np.repeat(rivals[part], n) & bit) > 0
+            who, j, bit, run = np.repeat(every_id[part], n)[ask], j[ask], bit[ask], np.repeat(np.arange(len(part)), n)[ask]
+            lost = levels.scan(start[part][run] + j, who) != who
+            mask[part] &= ~np.bitwise_or.reduceat(np.where(lost, bit, np.uint64(0)), np.flatnonzero(np.diff(run, prepend=-1)))
             a = b
         # an equal run of another id owns nothing; one of the same id owns the same
         back = np.empty(len(size), np.int64)

@@ -159,6 +159,36 @@ def test_query_meets_and_merges_levels(spark, monkeypatch):
     assert seen[0].matched > 0 and (len(seen[0].levels) > 1 or seen[0].merged > 0)
 
 
+@pytest.mark.parametrize("length", [24, 50, 79])
+def test_index_takes_rival_windows(length, monkeypatch):
+    """Of runs whose anchors have chance company the index gets few windows, and all that another run holds."""
+    rng = random.Random(length)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(16 + i % 3 * 9)) for i in range(40)]
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passages = [text(120) for _ in range(4)]
+    data = "".join(text(60) + rng.choice(common) + (rng.choice(passages) if i % 20 == 0 else "") for i in range(1500)).encode()
+    first, size, h = suffix_dedup.window_runs(data, np.array([0]), np.array([len(data)]), length)
+    ids = {}
+    for a, n in zip(first.tolist(), size.tolist()):
+        ids.setdefault(data[a : a + n + length - 1], len(ids))
+    segs, sizes = list(ids), np.array([len(s) - length + 1 for s in ids])
+    start = np.cumsum(sizes + length - 1) - (sizes + length - 1)
+    bits = suffix_dedup.rival_windows(np.frombuffer(b"".join(segs), np.uint8), start, sizes, length)
+    held = collections.defaultdict(set)
+    for i, s in enumerate(segs):
+        for j in range(int(sizes[i])):
+            held[s[j : j + length]].add(i)
+    for i, s in enumerate(segs):
+        assert all(int(bits[i]) >> j & 1 for j in range(int(sizes[i])) if len(held[s[j : j + length]]) > 1)
+        assert int(bits[i]) >> int(sizes[i]) == 0
+    scanned, plain = [], suffix_dedup.SuffixLevels.scan
+    monkeypatch.setattr(suffix_dedup.SuffixLevels, "scan", lambda self, at, who: scanned.append(len(at)) or plain(self, at, who))
+    rows = pa.table({"chunk": [0], "grp": [0], "ids": [np.arange(len(segs)).tobytes()], "sizes": [sizes.astype(np.uint8).tobytes()], "data": [b"".join(segs)]})
+    got = np.frombuffer(suffix_dedup._owner_answers(length, 500)(rows)["value"][0].as_py(), np.uint64)
+    assert [[int(x) >> j & 1 for j in range(n)] for x, n in zip(got, sizes.tolist())] == [[int(min(held[s[j : j + length]]) == i) for j in range(len(s) - length + 1)] for i, s in enumerate(segs)]
+    assert len(scanned) > 1 and sum(scanned) < 0.5 * sizes.sum()
+
+
 # ---- 3 ------------------------------------------------------------------------------------------------------------------
 
 
